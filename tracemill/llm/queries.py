@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .substring import remove_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -13,5 +14,9 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85)
 
 
-QUERIES = {"op4_minhash": op4_minhash}
+def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(_table(spark, sf_dir, "documents"), n=13, digest=True)
+
+
+QUERIES = {"op4_minhash": op4_minhash, "op5_substring": op5_substring}
 SQL: dict[str, str] = {}
