@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .quality import quality_rules, quality_sql
 from .substring import remove_repeats
 
 
@@ -10,6 +11,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), n=3, percent=85)
 
@@ -18,5 +23,5 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), n=13, digest=True)
 
 
-QUERIES = {"op4_minhash": op4_minhash, "op5_substring": op5_substring}
-SQL: dict[str, str] = {}
+QUERIES = {"op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring}
+SQL: dict[str, str] = {"op3_quality": quality_sql()}
