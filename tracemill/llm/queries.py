@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from .minhash import near_duplicates
+from .mixing import mix_sources, mixing_sql
 from .quality import quality_rules, quality_sql
 from .substring import remove_repeats
 
@@ -11,6 +12,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_table(spark, sf_dir, "documents"))
+
+
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
@@ -23,5 +28,5 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), n=13, digest=True)
 
 
-QUERIES = {"op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring}
-SQL: dict[str, str] = {"op3_quality": quality_sql()}
+QUERIES = {"op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring}
+SQL: dict[str, str] = {"op1_mixing": mixing_sql(), "op3_quality": quality_sql()}
