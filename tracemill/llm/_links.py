@@ -38,10 +38,16 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(tops).distinct()
 
 
-def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], spread: int = 16) -> tuple[DataFrame, DataFrame]:
+def shared_buckets(members: DataFrame) -> DataFrame:
+    """The rows (key, node) whose key has two rows or more."""
+    crowd = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return cut(members.join(crowd, "key", "left_semi"))
+
+
+def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], spread: int = 64) -> tuple[DataFrame, DataFrame]:
     """Groups of nodes linked by verified pairs among those that share a bucket.
 
-    members: key, node. verify: pairs (a, b) -> the pairs that are links.
+    members: key, node, as shared_buckets() gives them. verify: pairs (a, b) -> the pairs that are links.
     Returns (links (a, b); node, component), both only with nodes that have a link.
 
     In each round a bucket names leaders, the smallest node of each of its parts, and members are
@@ -50,8 +56,6 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], spread:
     compared, so no link between components is missed; a large bucket whose nodes agree ends after
     the first round, with one comparison a node.
     """
-    crowd = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    members = cut(members.join(crowd, "key", "left_semi"))
     links, labels, done, parts = None, None, None, 1
     while True:
         if labels is None:

@@ -1,13 +1,16 @@
 """Near-duplicate documents by MinHash with tensored banding, links confirmed on whole shingle sets."""
 
+import itertools
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._links import group
-from ._shared import UPPER, LOWER, cut, written
-from ._words import Words, mix, read_words
+from ._links import group, shared_buckets
+from ._shared import cut, written
+from ._words import SLICE, Words, mix, read_words
 
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -73,29 +76,28 @@ def _confirmer(n: int, percent: int):
 
     def confirm(batches):
         for batch in batches:
-            keep = []
-            for w, v in zip(_aligned(batch.column(2)), _aligned(batch.column(3)), strict=True):
-                left, a = _sets(w, n)
-                right, b = _sets(v, n)
-                texts = w.hi - w.lo
-                doc, hashes = np.concatenate([left, right]), np.concatenate([a, b])
-                order = np.lexsort((hashes, doc))
-                doc, hashes = doc[order], hashes[order]
-                twice = (doc[1:] == doc[:-1]) & (hashes[1:] == hashes[:-1])
-                both = np.bincount(doc[1:][twice], minlength=texts)
-                union = np.bincount(doc, minlength=texts) - both
-                keep += list(w.lo + np.flatnonzero((both > 0) & (100 * both >= percent * union)))
-            yield batch.select([0, 1]).take(pa.array(keep, pa.int64()))
+            left, right = batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())
+            cost = np.cumsum(np.asarray(pc.binary_length(left)) + np.asarray(pc.binary_length(right)))
+            cuts = np.flatnonzero(np.diff(cost // SLICE, prepend=0)) if len(cost) else cost
+            keep = [_similar(pa.concat_arrays([left.slice(i, j - i), right.slice(i, j - i)]), n, percent) + i for i, j in itertools.pairwise([0, *cuts[cuts > 0], len(cost)])]
+            yield batch.select([0, 1]).take(pa.array(np.concatenate(keep)))
 
     return confirm
 
 
-def _aligned(texts: pa.Array):
-    """read_words one text at a time: the two sides of a pair stay in step."""
-    for k in range(len(texts)):
-        for w in read_words(texts.slice(k, 1), lower=True):
-            w.lo, w.hi = k, k + 1
-            yield w
+def _similar(texts: pa.Array, n: int, percent: int) -> np.ndarray:
+    """Of texts a1, a2, ..., b1, b2, ...: the places of pairs that are similar enough."""
+    pairs = len(texts) // 2
+    parts = [(w.lo, *_sets(w, n)) for w in read_words(texts, lower=True)]
+    doc = np.concatenate([lo + d for lo, d, _ in parts]) if parts else np.zeros(0, np.int64)
+    hashes = np.concatenate([h for _, _, h in parts]) if parts else np.zeros(0, np.uint64)
+    pair = doc % max(1, pairs)
+    order = np.lexsort((hashes, pair))
+    pair, hashes = pair[order], hashes[order]
+    twice = (pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])
+    both = np.bincount(pair[1:][twice], minlength=pairs)
+    union = np.bincount(pair, minlength=pairs) - both
+    return np.flatnonzero((both > 0) & (100 * both >= percent * union))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, rows: int = 2, collections: int = 12) -> DataFrame:
@@ -120,14 +122,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     nodes = cut(real.groupBy(*same).agg(F.min("id").alias("node"), F.first("sketch").alias("sketch")))
     numbers = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(collections) for j in range(i)]
     key: Column = F.transform(F.array(*numbers), lambda t: F.xxhash64(t.i, t.j, F.get(F.col("sketch"), t.i), F.get(F.col("sketch"), t.j)))
-    members = nodes.select(F.explode(key).alias("key"), "node").distinct()
+    members = shared_buckets(nodes.select(F.explode(key).alias("key"), "node"))
+    sizes = real.groupBy("id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    crowd = members.select(F.col("node").alias("id")).distinct().join(sizes, "id")
+    texts = written(slim.join(crowd, "id").select("id", "low", "high", "t"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        ends = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        texts = written(slim.join(ends, "id", "left_semi").select("id", F.translate("t", UPPER, LOWER).alias("t")))
-        left = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-        both = left.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-        return both.select("a", "b", "ta", "tb").mapInArrow(_confirmer(n, percent), "a long, b long").distinct()
+        left = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha")), "a")
+        both = left.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "b")
+        near = (100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))
+        return both.where(near).select("a", "b", "ta", "tb").mapInArrow(_confirmer(n, percent), "a long, b long").distinct()
 
     _, labels = group(members, verify)
     joined = nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
