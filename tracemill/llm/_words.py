@@ -15,6 +15,9 @@ _PLACE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
 _GRAM = _RNG.integers(1, 2**63, 64, dtype=np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91] += 32
+_PLAIN[[b for b in range(33, 128) if not chr(b).isalnum()]] = 32
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -53,8 +56,8 @@ class Words:
         return inside, mix(total[inside])
 
 
-def read_words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
-    """The words of a batch of texts in slices; null counts as empty. lower folds A-Z only."""
+def read_words(texts: pa.Array, lower: bool = False, plain: bool = False) -> Iterator[Words]:
+    """The words of a batch of texts in slices; null counts as empty. lower folds A-Z only; plain also makes ASCII punctuation a gap."""
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
     raw = texts.buffers()[2]
@@ -66,6 +69,8 @@ def read_words(texts: pa.Array, lower: bool = False) -> Iterator[Words]:
         data = every[offsets[lo] : offsets[hi]]
         if lower:
             data = np.where((data >= 65) & (data <= 90), data | 32, data)
+        if plain:
+            data = _PLAIN[data]
         yield _slice(lo, hi, data, offsets[lo : hi + 1] - offsets[lo])
         lo = hi
 

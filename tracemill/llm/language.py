@@ -17,7 +17,7 @@ _SMALL = 48
 class Encoder:
     """Trigram counts and their vectors. Trigram vectors are kept, up to `keep` of them."""
 
-    def __init__(self, size: int = 1024, seed: int = 11, keep: int = 60_000):
+    def __init__(self, size: int = 1024, seed: int = 11, keep: int = 30_000):
         self.size, self.seed, self.keep = size, seed, keep
         self.table = np.zeros(0x110000, np.int32) - 1  # letter: its number; 0 for a break
         self.letters: list[np.ndarray] = [np.ones(size, np.int8)]
