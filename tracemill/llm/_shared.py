@@ -3,7 +3,7 @@
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: What separates words: space and the ASCII controls tab to carriage return.
@@ -43,3 +43,16 @@ def words(text: Column) -> Column:
 def bind(value: Column, body) -> Column:
     """body(value) with value computed once, also where body uses it inside other lambdas."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def versioned(docs: DataFrame, doc_id: str, text: str, keep: bool = False) -> DataFrame:
+    """id, version, t, and with keep the whole row. Only where an id repeats are its rows numbered, equal texts alike; else version is 0."""
+    more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
+    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"), *more)
+    again = slim.where("id is not null").groupBy("id").count().where("count > 1").select("id")
+    if again.isEmpty():
+        return slim.withColumn("version", F.lit(0))
+    number = F.dense_rank().over(Window.partitionBy("id").orderBy(F.xxhash64("t"), "t")) - 1
+    some = slim.join(again, "id", "left_semi").withColumn("version", number)
+    rest = slim.join(again, "id", "left_anti").withColumn("version", F.lit(0))
+    return some.unionByName(rest)

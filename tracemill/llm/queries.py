@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from .decontaminate import contaminated
 from .language import identify_language
+from .lines import drop_lines
 from .minhash import near_duplicates
 from .mixing import mix_sources, mixing_sql
 from .quality import quality_rules, quality_sql
@@ -32,6 +33,11 @@ def op5_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(_table(spark, sf_dir, "documents"), n=13, digest=True)
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_lines(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.size(F.split("text", "\n")).cast("long").alias("n_lines_left"), "n_removed_lines", F.sha2("text", 256).alias("text_sha256"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(_table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,6 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring}
+QUERIES = {"op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring}
 _OUTCOMES = "SELECT url, quality = 0 OR toxic = 1 AS bad FROM pages JOIN labels ON doc_id = TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT)"
 SQL: dict[str, str] = {"op9_urls": filter_sql("SELECT * FROM pages", _OUTCOMES), "op1_mixing": mixing_sql(), "op3_quality": quality_sql()}

@@ -12,9 +12,10 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import versioned
 from ._words import Words, _slice, mix, read_words
 
 #: Bytes of text that one packing covers: equal strings inside it travel once.
@@ -261,24 +262,12 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spark = docs.sparkSession
     parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    slim = _versions(docs, doc_id, text).where("id is not null")
+    slim = versioned(docs, doc_id, text).where("id is not null")
     packed = slim.select("id", "version", "t").mapInArrow(_packer(n, m, 4 * parts), "bucket int, texts binary, places binary")
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_finder(n, m), "id long, version int, span long")
 
 
-def _versions(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """id, version, t. Only where an id repeats are its rows numbered, equal texts alike."""
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    again = slim.where("id is not null").groupBy("id").count().where("count > 1").select("id")
-    if again.isEmpty():
-        return slim.select("id", F.lit(0).alias("version"), "t")
-    number = F.dense_rank().over(Window.partitionBy("id").orderBy(F.xxhash64("t"), "t")) - 1
-    some = slim.join(again, "id", "left_semi").withColumn("version", number)
-    rest = slim.join(again, "id", "left_anti").withColumn("version", F.lit(0))
-    return some.unionByName(rest)
-
-
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 13, m: int = 3, digest: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text (kept_sha256 if digest) for every row.
 
@@ -290,7 +279,7 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     empty table lose nothing. Other columns are not read.
     """
     spans = repeated_spans(docs, doc_id, text, n, m).groupBy("id", "version").agg(F.collect_list("span").alias("spans"))
-    slim = _versions(docs, doc_id, text)
+    slim = versioned(docs, doc_id, text)
     joined = slim.join(spans.hint("shuffle_hash"), ["id", "version"], "left").select("id", "t", "spans")
     last = "kept_sha256" if digest else "kept_text"
     return joined.mapInArrow(_digest if digest else _remover, f"doc_id long, n_words long, n_removed long, {last} string")
