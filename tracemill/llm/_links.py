@@ -2,7 +2,7 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._shared import cut
@@ -39,24 +39,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """The rows (key, node) whose key has two rows or more."""
-    crowd = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return cut(members.join(crowd, "key", "left_semi"))
+    """key, node, weight: the rows (key, node) whose key has two rows or more; weight adds up the sizes of a node's buckets."""
+    crowd = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    rows = cut(members.join(crowd, "key").select("key", "node", "n"))
+    weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
+    return rows.select("key", "node").join(weight, "node")
 
 
-def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], spread: int = 64) -> tuple[DataFrame, DataFrame]:
+Refine = Callable[[DataFrame], DataFrame]
+
+
+def group(members: DataFrame, verify: Refine, refine: Refine | None = None, may_link: Callable[[Column, Column], Column] | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
     """Groups of nodes linked by verified pairs among those that share a bucket.
 
-    members: key, node, as shared_buckets() gives them. verify: pairs (a, b) -> the pairs that are links.
+    members: key, node, weight, as shared_buckets() gives them. verify: pairs (a, b) -> the pairs that are links.
+    refine: node -> node, facts; may_link: (facts, facts) -> false only where two nodes cannot be linked.
     Returns (links (a, b); node, component), both only with nodes that have a link.
 
-    In each round a bucket names leaders, the smallest node of each of its parts, and members are
-    compared with the leaders of other components only. The first round has one part, the next
-    `spread` times as many. When every part holds one node, all pairs of different components in the bucket have been
-    compared, so no link between components is missed; a large bucket whose nodes agree ends after
-    the first round, with one comparison a node.
+    In each round a bucket names leaders, the heaviest node of each of its parts, and members are compared with the
+    leaders of other components only. The first round has one part, the next `spread` times as many. When every part
+    holds one node, all pairs of different components in the bucket have been compared or ruled out, so no link between components is
+    missed; a large bucket whose nodes agree with its heaviest ends after one comparison a node.
+    Facts are asked for after the first round, for nodes of buckets that still hold several components.
     """
-    links, labels, done, parts = None, None, None, 1
+    links, labels, done, facts, parts = None, None, None, None, 1
     while True:
         if labels is None:
             open_ = members.withColumn("component", F.col("node"))
@@ -66,10 +72,19 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], spread:
         open_ = cut(open_.join(mixed, "key", "left_semi"))
         if open_.isEmpty():
             break
+        if refine is not None and labels is not None:
+            if facts is None:
+                facts = cut(refine(open_.select("node").distinct()))
+            open_ = open_.join(facts, "node")
+        else:
+            open_ = open_.withColumn("facts", F.lit(None).cast("string"))
         part = F.pmod(F.xxhash64("node"), F.lit(parts)) if parts > 1 else F.lit(0)
-        led = open_.withColumn("part", part).groupBy("key", "part").agg(F.min(F.struct("node", "component")).alias("l"), F.count("*").alias("n"))
-        heads = led.select("key", F.col("l.node").alias("head"), F.col("l.component").alias("of"))
-        pairs = open_.join(heads, "key").where("node <> head and component <> of")
+        led = open_.withColumn("part", part).groupBy("key", "part").agg(F.max(F.struct("weight", "node", "component", "facts")).alias("l"), F.count("*").alias("n"))
+        heads = led.select("key", F.col("l.node").alias("head"), F.col("l.component").alias("of"), F.col("l.facts").alias("head_facts"))
+        test = F.col("component") != F.col("of")
+        if facts is not None:
+            test = test & may_link(F.col("facts"), F.col("head_facts"))
+        pairs = open_.join(heads, "key").where(test)
         pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
@@ -83,7 +98,6 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], spread:
             break
         labels, parts = cut(labels), parts * spread
     if links is None:
-        node = members.schema["node"].dataType
         links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
-        labels = members.select("node", F.col("node").cast(node).alias("component")).limit(0)
+        labels = members.select("node", F.col("node").alias("component")).limit(0)
     return links, labels

@@ -71,6 +71,18 @@ def _signer(n: int, rows: int, collections: int):
     return sign
 
 
+def _shingle_rows(n: int):
+    """Each shingle of each text once."""
+
+    def rows(batches):
+        for batch in batches:
+            for w in read_words(batch.column(1), lower=True):
+                doc, hashes = _sets(w, n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.lo + doc)), pa.array(hashes.view(np.int64))], names=["id", "h"])
+
+    return rows
+
+
 def _confirmer(n: int, percent: int):
     """Pairs with both texts -> those with 100 * intersection >= percent * union."""
 
@@ -124,6 +136,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key: Column = F.transform(F.array(*numbers), lambda t: F.xxhash64(t.i, t.j, F.get(F.col("sketch"), t.i), F.get(F.col("sketch"), t.j)))
     members = shared_buckets(nodes.select(F.explode(key).alias("key"), "node"))
     sizes = real.groupBy("id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
+    members = cut(members)
     crowd = members.select(F.col("node").alias("id")).distinct().join(sizes, "id")
     texts = written(slim.join(crowd, "id").select("id", "low", "high", "t"))
 
@@ -133,7 +146,20 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         near = (100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))
         return both.where(near).select("a", "b", "ta", "tb").mapInArrow(_confirmer(n, percent), "a long, b long").distinct()
 
-    _, labels = group(members, verify)
+    def refine(nodes_: DataFrame) -> DataFrame:
+        own = texts.join(nodes_.select(F.col("node").alias("id")), "id")
+        once = own.select("id", "t").mapInArrow(_shingle_rows(n), "id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+        once = once.groupBy("id").agg(F.count("*").alias("once"))
+        facts = own.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("texts")).join(once, "id", "left")
+        shared = F.col("high") - F.when(F.col("texts") == 1, F.coalesce("once", F.lit(0))).otherwise(0)
+        return facts.select(F.col("id").alias("node"), F.struct("low", shared.alias("shared")).alias("facts"))
+
+    def may_link(x: Column, y: Column) -> Column:
+        """A shingle that one node alone has is in no intersection."""
+        both = F.least(x.shared, y.shared)
+        return 100 * both >= percent * (x.low + y.low - both)
+
+    _, labels = group(members, verify, refine, may_link)
     joined = nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
     out = signed.join(joined, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
