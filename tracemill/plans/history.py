@@ -1,0 +1 @@
+"""Queries."""
