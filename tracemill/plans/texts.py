@@ -1 +1,246 @@
-"""Queries."""
+"""Queries over tool results: classes, cuts, redaction, bounding and corpus reports."""
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..functions.numbers import canonical_json, digest, estimate_tokens
+from ..operators import bounding as B
+from .registry import query
+
+BUDGET = "CASE c WHEN 'source' THEN {0} WHEN 'structured-data' THEN {1} ELSE {2} END"
+_EXT = "CASE WHEN ends_with(p, '.json') THEN 'structured-data' WHEN ends_with(p, '.log') THEN 'bulk' ELSE 'source' END"
+_CMD = "regexp_replace(regexp_extract(command, '(\\S+)\\s*$', 1), '^[''\"]|[''\"]$', '', 'g')"
+_CLASS = f"""CASE tool WHEN 'grep' THEN 'structured' WHEN 'read' THEN {_EXT.replace('p,', 'path,')} WHEN 'bash' THEN CASE WHEN regexp_matches(command, '^(cat|head|tail|sed)\\b') AND NOT regexp_matches(command, '[|><;]')
+  THEN {_EXT.replace('p,', _CMD + ',')} ELSE 'process-output' END ELSE 'generic' END"""
+
+
+@query("prj2_estimate_tokens", "v_results", sql="SELECT result_id, ((strlen(output) + 3) // 4)::BIGINT AS tokens FROM v_results")
+def tokens(df: DataFrame) -> DataFrame:
+    return df.select("result_id", estimate_tokens(F.col("output")).alias("tokens"))
+
+
+@query("prj7_classify_source", "v_results", sql=f"SELECT result_id, {_CLASS} AS class FROM v_results")
+def classify(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.classify_source(F.col("tool"), F.col("path"), F.col("command")).alias("class"))
+
+
+@query("prj8_class_budget", "v_results", sql=f"SELECT result_id, c AS class, ({BUDGET.format(32768, 8192, 4096)})::INT AS budget FROM (SELECT result_id, {_CLASS} AS c FROM v_results)")
+def budget(df: DataFrame) -> DataFrame:
+    kind = T.classify_source(F.col("tool"), F.col("path"), F.col("command"))
+    return df.select("result_id", kind.alias("class"), T.class_budget(kind).alias("budget"))
+
+
+@query("prj9_plan_route", "v_results", sql="""SELECT result_id, CASE WHEN tool = 'read' AND len(string_split(output, chr(10))) BETWEEN 100 AND 20000 AND strlen(output) BETWEEN 1 AND 2097152 THEN 'summary'
+  WHEN tool = 'grep' THEN 'structured' WHEN tool = 'bash' AND strlen(output) > 51200 THEN 'artifact' ELSE 'passthrough' END AS route FROM v_results""")
+def route(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.plan_route(F.col("tool"), F.lit(False), F.size(T.lines(F.col("output"))), F.octet_length("output")).alias("route"))
+
+
+@query("prj11_classify_shell", "v_results")
+def shell(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.classify_shell(F.col("command")).alias("kind"))
+
+
+@query("prj12_readonly_filter", "v_results", sql="SELECT result_id, command FROM v_results WHERE regexp_matches(command, '^(cat|sed -n|head) ')")
+def readonly(df: DataFrame) -> DataFrame:
+    return df.where(T.readonly_command(F.col("command"))).select("result_id", "command")
+
+
+@query("prj15_grep_lines", "v_results", sql="""SELECT result_id, line::INT AS line, text FROM (SELECT result_id, u.i AS line, u.x AS text, row_number() OVER (PARTITION BY result_id ORDER BY u.i) AS k
+  FROM (SELECT result_id, unnest(list_transform(string_split(output, chr(10)), lambda x, i: {'i': i, 'x': x})) AS u FROM v_results) WHERE contains(u.x, 'the')) WHERE k <= 20 AND strlen(text) <= 512""")
+def grep(df: DataFrame) -> DataFrame:
+    out = B.grep_lines(df.select("result_id", "output"), "the", columns=1 << 20)
+    return out.where(F.octet_length("text") <= 512)
+
+
+@query("prj17_slice_lines", "v_results", sql="SELECT result_id, array_to_string(list_slice(string_split(regexp_replace(output, '\\n$', ''), chr(10)), 2, 4), chr(10)) AS text FROM v_results")
+def some_lines(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.slice_lines(F.col("output"), 2, 4).alias("text"))
+
+
+@query("txt1_redact", "v_results", sql="""SELECT result_id, regexp_replace(output, '(?i)((?:^|[^A-Za-z0-9_.-])["'']?token["'']?\\s*[:=]\\s*)"(?:\\\\.|[^"\\\\])*"', '\\1"[REDACTED]"', 'g') AS text FROM v_results
+  WHERE regexp_matches(output, '(?i)token\\s*=') AND NOT regexp_matches(output, '(?i)authorization|secret|passw|api[_-]?key|access[_-]?token|private[_-]?key|AKIA|sk-|rk-|gh[pousr]_|github_pat_|BEGIN')""")
+def redact(df: DataFrame) -> DataFrame:
+    some = df.where(F.col("output").rlike(r"(?i)token\s*=") & ~F.col("output").rlike("(?i)authorization|secret|passw|api[_-]?key|access[_-]?token|private[_-]?key|AKIA|sk-|rk-|gh[pousr]_|github_pat_|BEGIN"))
+    return some.select("result_id", T.redact(F.col("output"), ("token",)).alias("text"))
+
+
+@query("txt1_redaction_counts", "v_results")
+def redaction_counts(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.count_redactions(F.col("output"), ("token",)).alias("redactions"), F.octet_length(T.redact(F.col("output"), ("token",))).alias("bytes"))
+
+
+@query("txt2_redact_structured", "v_results")
+def redact_structured(df: DataFrame) -> DataFrame:
+    """Every string leaf of a nested record, keys kept."""
+    rec = df.select("result_id", F.struct(F.struct("output", "path").alias("result"), F.array("command", "output").alias("parts"), F.create_map(F.lit("text"), "output").alias("more")).alias("r"))
+    clean = lambda c: T.redact(c, ("token",))
+    out = F.struct(F.struct(clean(F.col("r.result.output")).alias("output"), clean(F.col("r.result.path")).alias("path")).alias("result"), F.transform("r.parts", clean).alias("parts"), F.transform_values("r.more", lambda k, v: clean(v)).alias("more"))
+    return rec.select("result_id", F.sha2(F.to_json(out), 256).alias("digest"))
+
+
+@query("txt3_truncate_utf8", "v_results", sql="""WITH n AS (SELECT result_id, output, list_max(list_filter(range(0, 101), lambda k: strlen(left(output, k)) <= 100)) AS k FROM v_results)
+  SELECT result_id, left(output, k) AS head FROM n""")
+def truncate(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.truncate_utf8(F.col("output"), 100).alias("head"))
+
+
+@query("txt3_suffix_and_columns", "v_results")
+def suffixes(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.suffix_utf8(F.col("output"), 100).alias("tail"), F.sha2(T.cap_columns(F.col("output"), 80), 256).alias("capped"))
+
+
+@query("txt4_strip_ansi", "v_results", sql="SELECT result_id, sha256(output) AS digest FROM v_results")
+def ansi(df: DataFrame) -> DataFrame:
+    coloured = F.concat(F.lit("\x1b[31m"), "output", F.lit("\x1b[0m"))
+    return df.select("result_id", F.sha2(T.strip_ansi(coloured), 256).alias("digest"))
+
+
+_NUMBERED = "SELECT result_id, output, u.i AS i, u.x AS x FROM (SELECT result_id, output, unnest(list_transform(string_split(output, chr(10)), lambda x, i: {'i': i, 'x': x})) AS u FROM v_results)"
+
+
+@query("txt5_structural_outline", "v_results", sql=f"""WITH l AS ({_NUMBERED}), k AS (SELECT result_id, any_value(output) AS output, count(*) AS n, count(*) FILTER (m) AS kept, string_agg(CASE WHEN m THEN i || ':' || x END, chr(10) ORDER BY i) AS body
+  FROM (SELECT *, regexp_matches(x, '^\\s*(import|from|export|use|package|def|function|class|interface|trait|impl|struct|enum|namespace|module|type|func|fn)\\b|^\\s*@[A-Za-z_]') AS m FROM l) GROUP BY result_id)
+  SELECT result_id, CASE WHEN kept >= 1 AND (n < 100 OR kept >= 2) AND strlen('[outline: ' || kept || '/' || n || ' lines]' || chr(10) || body) + 64 < strlen(output) THEN '[outline: ' || kept || '/' || n || ' lines]' || chr(10) || body END AS outline FROM k""")
+def outline(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.structural_outline(F.col("output")).alias("outline"))
+
+
+_RUNS = f"""WITH l AS ({_NUMBERED}), g AS (SELECT *, i - row_number() OVER (PARTITION BY result_id, x ORDER BY i) AS island FROM l),
+  r AS (SELECT result_id, any_value(output) AS output, min(i) AS s, any_value(x) AS x, count(*) AS n FROM g GROUP BY result_id, x, island)"""
+
+
+@query("txt6_collapse_repeats", "v_results", sql=_RUNS + """, j AS (SELECT result_id, any_value(output) AS output, string_agg(CASE WHEN n >= 3 AND x <> '' THEN x || chr(10) || '[repeated x' || n || ']' ELSE x || repeat(chr(10) || x, (n - 1)::BIGINT) END, chr(10) ORDER BY s) AS t FROM r GROUP BY result_id)
+  SELECT result_id, sha256(CASE WHEN strlen(t) + 32 < strlen(output) THEN t ELSE output END) AS digest FROM j""")
+def collapse(df: DataFrame) -> DataFrame:
+    return df.select("result_id", F.sha2(T.collapse_repeats(F.col("output")), 256).alias("digest"))
+
+
+@query("win15_repeated_runs", "v_results", sql=_RUNS + " SELECT result_id, s::INT AS first_line, n::INT AS run_length FROM r WHERE n > 1 AND x <> ''")
+def runs(df: DataFrame) -> DataFrame:
+    """Runs of equal lines, not empty, with their length."""
+    l = T.lines(F.col("output"))
+    d = df.select("result_id", l.alias("l")).withColumn("s", T.run_starts(F.col("l")))
+    d = d.select("result_id", "l", F.size("l").alias("n"), "s", F.posexplode("s").alias("k", "at"))
+    return d.select("result_id", (F.col("at") + 1).alias("first_line"), (F.coalesce(F.get("s", F.col("k") + 1), F.col("n")) - F.col("at")).alias("run_length"), F.get("l", "at").alias("x")).where("run_length > 1 and x <> ''").drop("x")
+
+
+@query("txt7_history_shake", "v_results")
+def shake(df: DataFrame) -> DataFrame:
+    return df.select("result_id", F.sha2(T.history_shake(F.col("tool"), F.col("output")), 256).alias("digest"))
+
+
+@query("txt8_bound_result", "v_results")
+def bound(df: DataFrame) -> DataFrame:
+    return B.bound_results(df).select(F.col("id").alias("result_id"), F.sha2("inline", 256).alias("inline_sha256"), "artifact_digest", "redacted_bytes", "inline_bytes")
+
+
+@query("top3_salvage_lines", "v_results")
+def salvaged(df: DataFrame) -> DataFrame:
+    """Telling lines of whole outputs, by class order, eight at most."""
+    told = F.transform(T.lines(F.col("output")), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
+    rank = lambda p: F.filter(told, lambda s: s.x.rlike(p))
+    severe, warn = rank(f"(?i){B.SEVERE.pattern}"), F.filter(told, lambda s: s.x.rlike(r"(?i)\bwarning\b") & ~s.x.rlike(f"(?i){B.SEVERE.pattern}"))
+    return df.select("result_id", F.transform(F.slice(F.concat(severe, warn), 1, 8), lambda s: s.i).alias("lines"))
+
+
+_SIZES = f"""SELECT result_id, regexp_extract(path, '\\.[a-z]+$') AS ext, ((strlen(output) + 3) // 4)::BIGINT AS before, ((least(strlen(output), {BUDGET.format(32768, 8192, 4096)}) + 3) // 4)::BIGINT AS after FROM (SELECT *, {_CLASS} AS c FROM v_results)"""
+
+
+def sizes(df: DataFrame) -> DataFrame:
+    """Extension, and tokens before and after the class budget."""
+    kind = T.classify_source(F.col("tool"), F.col("path"), F.col("command"))
+    cut = F.least(F.octet_length("output"), T.class_budget(kind))
+    return df.select("result_id", F.regexp_extract("path", r"\.[a-z]+$", 0).alias("ext"), estimate_tokens(F.col("output")).alias("before"), F.ceil(cut / 4).cast("long").alias("after"))
+
+
+@query("agg19_reduction_by_extension", "v_results", sql=f"""SELECT ext, count(*) AS files, count(*) FILTER (after < before) AS reduced, sum(before)::BIGINT AS before, sum(after)::BIGINT AS after, floor((sum(before) - sum(after)) * 1000 / sum(before))::BIGINT AS rho_mille
+  FROM ({_SIZES}) GROUP BY ROLLUP (ext)""")
+def reduction(df: DataFrame) -> DataFrame:
+    return B.reduction_by_extension(sizes(df))
+
+
+@query("top1_top_extensions", "v_results", sql=f"SELECT ext, count(*) AS files, sum(before)::BIGINT AS before FROM ({_SIZES}) GROUP BY ext ORDER BY before DESC, ext LIMIT 12")
+def top(df: DataFrame) -> DataFrame:
+    return B.top_extensions(sizes(df))
+
+
+@query("win9_window_capacity", "v_results", sql=f"""SELECT count(*) FILTER (b <= 200000) AS fit_before, count(*) FILTER (a <= 200000) AS fit_after FROM (SELECT sum(before) OVER (ORDER BY result_id) AS b, sum(after) OVER (ORDER BY result_id) AS a FROM ({_SIZES}))""")
+def capacity(df: DataFrame) -> DataFrame:
+    return B.window_capacity(sizes(df), "result_id")
+
+
+@query("agg20_shell_net_reduction", "v_results")
+def shell_net(df: DataFrame) -> DataFrame:
+    d = df.where("tool = 'bash'")
+    return B.shell_net_reduction(d.join(B.bound_results(d).select(F.col("id").alias("result_id"), "inline"), "result_id"))
+
+
+@query("top2_catalog_search", "documents", sql="""SELECT name, score FROM (SELECT lpad(doc_id::VARCHAR, 12, '0') AS name,
+  len(list_intersect(string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' '), ['the', 'tion', 'of', 'license', 'token', '42']))::INT AS score FROM documents) WHERE score > 0 ORDER BY score DESC, name LIMIT 50""")
+def search(df: DataFrame) -> DataFrame:
+    return B.catalog_search(df.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), "text"), "The tion of LICENSE, token 42")
+
+
+@query("txt9_useless_success", "v_history", sql="SELECT request_id, position, lower(trim(output)) = 'done' AS useless FROM v_history")
+def useless(df: DataFrame) -> DataFrame:
+    return df.select("request_id", "position", T.useless_success(F.col("output")).alias("useless"))
+
+
+@query("txt10_result_error", "v_history", sql="SELECT request_id, position, is_error OR regexp_matches(output, '(?i)^\\s*(error|failed|failure)\\b') AS error FROM v_history")
+def errors(df: DataFrame) -> DataFrame:
+    return df.select("request_id", "position", T.result_error(F.col("output"), F.col("is_error"), F.lit("completed")).alias("error"))
+
+
+@query("txt11_read_identity", "v_history", sql="SELECT request_id, position, path, lo, hi FROM v_history WHERE tool = 'read'")
+def identity(df: DataFrame) -> DataFrame:
+    with_range = F.to_json(F.struct("path", F.col("lo").alias("line_start"), F.col("hi").alias("line_end")))
+    d = df.where("tool = 'read'").select("request_id", "position", T.read_identity(F.col("tool"), with_range).alias("r"))
+    return d.select("request_id", "position", "r.path", "r.lo", "r.hi")
+
+
+@query("txt12_summary_check", "v_results")
+def summaries(df: DataFrame) -> DataFrame:
+    """Whether the first and last line of a text would pass as a summary of it: short, ordered, with the facts asked for."""
+    l = T.lines(F.col("output"))
+    return df.select("result_id", summary_ok(F.col("output"), F.concat_ws("\n", F.get(l, F.lit(0)), F.element_at(l, -1)), F.array(F.lit("a"))).alias("ok"))
+
+
+def summary_ok(source, summary, facts):
+    """A summary is smaller, at most a fifth of the tokens, has all facts and no secret, and its lines occur in order in the redacted source."""
+    clean = T.redact(source)
+    inside = F.filter(T.lines(summary), lambda x: F.trim(x) != "")
+    rest = F.aggregate(
+        inside,
+        F.struct(F.lit(True).alias("ok"), F.concat(F.lit("\n"), clean, F.lit("\n")).alias("left")),
+        lambda a, x: F.struct((a.ok & F.contains(a.left, F.concat(F.lit("\n"), x, F.lit("\n")))).alias("ok"), F.substring(a.left, F.instr(a.left, F.concat(F.lit("\n"), x, F.lit("\n"))) + F.length(x) + 1, F.length(a.left)).alias("left")),
+        lambda a: a.ok,
+    )
+    small = (F.octet_length(summary) < F.octet_length(source)) & (5 * estimate_tokens(summary) <= estimate_tokens(source))
+    return small & F.forall(facts, lambda f: F.contains(summary, f)) & (T.redact(summary) == summary) & rest
+
+
+@query("txt13_bounded_sample", "v_results", sql="SELECT result_id, CASE WHEN length(output) <= 61 THEN output ELSE output[:28] || ' ... ' || output[-28:] END AS sample FROM v_results")
+def sample(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.bounded_sample(F.col("output"), 61).alias("sample"))
+
+
+@query("txt14_disclosure", "v_results")
+def disclosure(df: DataFrame) -> DataFrame:
+    """What was shown of a result: bytes, markers, handle and a digest of the record itself."""
+    b = B.bound_results(df).withColumn("original", F.col("redacted_bytes"))
+    rec = F.struct(F.lit("bounded-result").alias("type"), F.struct("original", F.col("redacted_bytes").alias("redacted"), F.col("inline_bytes").alias("visible")).alias("bytes"), F.array_compact(F.array(F.when(F.contains("inline", F.lit(B.ELIDED)), "elided"), F.when(F.contains("inline", F.lit(T.GONE)), "redacted"))).alias("markers"), F.concat(F.lit("sha256:"), F.left("artifact_digest", F.lit(16))).alias("handle"))
+    return b.select(F.col("id").alias("result_id"), rec.alias("d")).select("result_id", "d.*", digest(F.to_json("d")).alias("provenance"))
+
+
+@query("jsn1_canonical_json", "events", sql="SELECT event_id, 'sha256:' || sha256('{\"a\":' || event_id || ',\"b\":' || user_id || '}') AS digest FROM events")
+def canonical(df: DataFrame) -> DataFrame:
+    body = F.concat(F.lit('{ "b": '), F.col("user_id").cast("string"), F.lit(', "a":'), F.col("event_id").cast("string"), F.lit("}"))
+    return df.select("event_id", digest(canonical_json(body)).alias("digest"))
+
+
+@query("jsn4_has_breakpoint", "events", sql="SELECT event_id, event_id % 3 = 0 AS marked FROM events")
+def breakpoints(df: DataFrame) -> DataFrame:
+    body = F.concat(F.lit('{"messages":[{"content":"\\"cache_control\\":"'), F.when(F.col("event_id") % 3 == 0, ',"cache_control" : {"type":"x"}').otherwise(""), F.lit("}]}"))
+    return df.select("event_id", T.has_breakpoint(body).alias("marked"))
