@@ -46,14 +46,11 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return rows.select("key", "node").join(weight, "node")
 
 
-Refine = Callable[[DataFrame], DataFrame]
-
-
-def group(members: DataFrame, verify: Refine, refine: Refine | None = None, may_link: Callable[[Column, Column], Column] | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
+def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, may_link: Callable[[Column, Column], Column] | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
     """Groups of nodes linked by verified pairs among those that share a bucket.
 
-    members: key, node, weight, as shared_buckets() gives them. verify: pairs (a, b) -> the pairs that are links.
-    refine: node -> node, facts; may_link: (facts, facts) -> false only where two nodes cannot be linked.
+    members: key, node, weight, as shared_buckets() gives them. verify: pairs (a, b) -> those looked at, with link (boolean).
+    refine: (node, weight), first round's verify() -> node, facts; may_link: (facts, facts) -> false only where two nodes cannot be linked.
     Returns (links (a, b); node, component), both only with nodes that have a link.
 
     In each round a bucket names leaders, the heaviest node of each of its parts, and members are compared with the
@@ -62,7 +59,7 @@ def group(members: DataFrame, verify: Refine, refine: Refine | None = None, may_
     missed; a large bucket whose nodes agree with its heaviest ends after one comparison a node.
     Facts are asked for after the first round, for nodes of buckets that still hold several components.
     """
-    links, labels, done, facts, parts = None, None, None, None, 1
+    links, labels, done, facts, checked, parts = None, None, None, None, None, 1
     while True:
         if labels is None:
             open_ = members.withColumn("component", F.col("node"))
@@ -74,7 +71,7 @@ def group(members: DataFrame, verify: Refine, refine: Refine | None = None, may_
             break
         if refine is not None and labels is not None:
             if facts is None:
-                facts = cut(refine(open_.select("node").distinct()))
+                facts = cut(refine(open_.select("node", "weight").distinct(), checked))
             open_ = open_.join(facts, "node")
         else:
             open_ = open_.withColumn("facts", F.lit(None).cast("string"))
@@ -90,7 +87,8 @@ def group(members: DataFrame, verify: Refine, refine: Refine | None = None, may_
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = cut(pairs)
         last = led.where("n > 1").isEmpty()
-        found = cut(verify(pairs).select("a", "b"))
+        checked = cut(verify(pairs))
+        found = checked.where("link").select("a", "b")
         links = found if links is None else cut(links.unionByName(found))
         done = pairs if done is None else cut(done.unionByName(pairs))
         labels = components(links)

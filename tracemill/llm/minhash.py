@@ -84,21 +84,22 @@ def _shingle_rows(n: int):
 
 
 def _confirmer(n: int, percent: int):
-    """Pairs with both texts -> those with 100 * intersection >= percent * union."""
+    """Pairs with both texts -> size of the intersection, and whether 100 * intersection >= percent * union."""
 
     def confirm(batches):
         for batch in batches:
             left, right = batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())
             cost = np.cumsum(np.asarray(pc.binary_length(left)) + np.asarray(pc.binary_length(right)))
             cuts = np.flatnonzero(np.diff(cost // SLICE, prepend=0)) if len(cost) else cost
-            keep = [_similar(pa.concat_arrays([left.slice(i, j - i), right.slice(i, j - i)]), n, percent) + i for i, j in itertools.pairwise([0, *cuts[cuts > 0], len(cost)])]
-            yield batch.select([0, 1]).take(pa.array(np.concatenate(keep)))
+            parts = [_compare(pa.concat_arrays([left.slice(i, j - i), right.slice(i, j - i)]), n) for i, j in itertools.pairwise([0, *cuts[cuts > 0], len(cost)])]
+            both, union = np.concatenate([b for b, _ in parts]), np.concatenate([u for _, u in parts])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both), pa.array((both > 0) & (100 * both >= percent * union))], names=["a", "b", "both", "link"])
 
     return confirm
 
 
-def _similar(texts: pa.Array, n: int, percent: int) -> np.ndarray:
-    """Of texts a1, a2, ..., b1, b2, ...: the places of pairs that are similar enough."""
+def _compare(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of texts a1, a2, ..., b1, b2, ...: sizes of intersection and union of each pair's sets."""
     pairs = len(texts) // 2
     parts = [(w.lo, *_sets(w, n)) for w in read_words(texts, lower=True)]
     doc = np.concatenate([lo + d for lo, d, _ in parts]) if parts else np.zeros(0, np.int64)
@@ -108,8 +109,7 @@ def _similar(texts: pa.Array, n: int, percent: int) -> np.ndarray:
     pair, hashes = pair[order], hashes[order]
     twice = (pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])
     both = np.bincount(pair[1:][twice], minlength=pairs)
-    union = np.bincount(pair, minlength=pairs) - both
-    return np.flatnonzero((both > 0) & (100 * both >= percent * union))
+    return both, np.bincount(pair, minlength=pairs) - both
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, rows: int = 2, collections: int = 12) -> DataFrame:
@@ -144,19 +144,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         left = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha")), "a")
         both = left.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "b")
         near = (100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))
-        return both.where(near).select("a", "b", "ta", "tb").mapInArrow(_confirmer(n, percent), "a long, b long").distinct()
+        return both.where(near).select("a", "b", "ta", "tb").mapInArrow(_confirmer(n, percent), "a long, b long, both long, link boolean").groupBy("a", "b").agg(F.max("both").alias("both"), F.bool_or("link").alias("link"))
 
-    def refine(nodes_: DataFrame) -> DataFrame:
-        own = texts.join(nodes_.select(F.col("node").alias("id")), "id")
+    def refine(open_: DataFrame, checked: DataFrame) -> DataFrame:
+        own = texts.join(open_.select(F.col("node").alias("id")), "id")
         once = own.select("id", "t").mapInArrow(_shingle_rows(n), "id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
         once = once.groupBy("id").agg(F.count("*").alias("once"))
-        facts = own.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("texts")).join(once, "id", "left")
-        shared = F.col("high") - F.when(F.col("texts") == 1, F.coalesce("once", F.lit(0))).otherwise(0)
-        return facts.select(F.col("id").alias("node"), F.struct("low", shared.alias("shared")).alias("facts"))
+        size = own.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("texts")).join(once, "id", "left")
+        size = size.withColumn("shared", F.col("high") - F.when(F.col("texts") == 1, F.coalesce("once", F.lit(0))).otherwise(0))
+        # the heaviest node that each was compared with, and how many shingles they have in common
+        ends = checked.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both").unionByName(checked.select(F.col("b").alias("node"), F.col("a").alias("hub"), "both"))
+        ends = ends.join(open_.select(F.col("node").alias("hub"), "weight"), "hub").groupBy("node").agg(F.max(F.struct("weight", "hub", "both")).alias("hub"))
+        j = open_.join(size.withColumnRenamed("id", "node"), "node").join(ends, "node", "left")
+        other = F.coalesce(F.struct("hub.weight", "hub.hub") > F.struct("weight", "node"), F.lit(False)) & (F.col("texts") == 1)
+        hub, common = F.when(other, F.col("hub.hub")).otherwise(F.col("node")), F.when(other, F.col("hub.both")).otherwise(F.col("shared"))
+        return j.select("node", F.struct("low", "shared", hub.alias("hub"), common.alias("common")).alias("facts"))
 
     def may_link(x: Column, y: Column) -> Column:
-        """A shingle that one node alone has is in no intersection."""
-        both = F.least(x.shared, y.shared)
+        """A shingle that one node alone has is in no intersection; with a hub in common, those in the hub and the others are bounded apart."""
+        apart = F.least(x.common, y.common) + F.least(x.shared - x.common, y.shared - y.common)
+        both = F.when(x.hub == y.hub, apart).otherwise(F.least(x.shared, y.shared))
         return 100 * both >= percent * (x.low + y.low - both)
 
     _, labels = group(members, verify, refine, may_link)
