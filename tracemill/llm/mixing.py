@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._shared import cut, words
+from ._shared import cut, words, written
 
 #: The golden ratio's fraction as an odd number over 2^31: multiples of it modulo 2^31 are its low-discrepancy points.
 GOLDEN, POINTS = 1327217885, 1 << 31
@@ -61,7 +61,10 @@ def _schedule(sources: DataFrame) -> DataFrame:
     slots = chunks.select(F.explode(F.expr(f"sequence(chunk * {CHUNK}, least(total, (chunk + 1) * {CHUNK}) - 1)")).alias("slot"))
     point = (F.col("slot") % POINTS) * GOLDEN % POINTS
     slots = slots.select("slot", point.alias("point"), F.floor(point / width).alias("cell"))
-    drawn = slots.join(cells, "cell").where("lo <= point and point < hi").select("slot", "number", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    # Spark takes generated slots for a few bytes and would broadcast them: the cells are the side to build on, and the
+    # drawn slots, a few numbers for each block, are written so that later joins know their size
+    drawn = slots.join(cells.hint("shuffle_hash"), "cell").where("lo <= point and point < hi").select("slot", "number", F.expr(f"slot div {CHUNK}").alias("chunk"))
+    drawn = written(drawn)
     # rank within a source: by chunk, then the slots of the chunks before
     drawn = drawn.withColumn("own", F.row_number().over(Window.partitionBy("number", "chunk").orderBy("slot")) - 1)
     counts = drawn.groupBy("number", "chunk").agg(F.count("*").alias("n"))
