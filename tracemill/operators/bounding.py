@@ -71,18 +71,17 @@ def middle_view(text: str, most: int, head: int, tail: int, keep_diagnostics: bo
 
 def _view(batches):
     for batch in batches:
-        cols = [batch.column(k).to_pylist() for k in range(1, 7)]
+        cols = [batch.column(k).to_pylist() for k in range(1, 8)]
         out = []
-        for text, most, head, tail, bash, outline in zip(*cols, strict=True):
+        for text, most, head, tail, bash, outline, before in zip(*cols, strict=True):
             if text is None:
                 out.append((None, None, 0, 0))
                 continue
             view = outline if outline is not None else middle_view(text, most, head, tail, bash)
-            full = hashlib.sha256(text.encode()).hexdigest()
-            cut = view != text
-            out.append((view, full if cut else None, len(text.encode()), len(view.encode())))
-        views, digests, before, after = zip(*out, strict=True) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(views, pa.string()), pa.array(digests, pa.string()), pa.array(before, pa.int64()), pa.array(after, pa.int64())], names=["id", "inline", "artifact_digest", "redacted_bytes", "inline_bytes"])
+            full = text if before is None else before
+            out.append((view, hashlib.sha256(full.encode()).hexdigest() if view != full else None, len(full.encode()), len(view.encode())))
+        views, digests, sizes, after = zip(*out, strict=True) if out else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(views, pa.string()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(after, pa.int64())], names=["id", "inline", "artifact_digest", "redacted_bytes", "inline_bytes"])
 
 
 def bound_results(df: DataFrame, result_id: str = "result_id", keys: tuple[str, ...] = ("token",), line_cap: int = 768) -> DataFrame:
@@ -97,7 +96,7 @@ def bound_results(df: DataFrame, result_id: str = "result_id", keys: tuple[str,
     shown = F.when(bash, T.cap_columns(T.collapse_repeats(clean), line_cap)).otherwise(clean)
     route = T.plan_route(F.col("tool"), F.lit(False), F.size(T.lines(F.col("output"))), F.octet_length("output"))
     outline = F.when(route == "summary", T.structural_outline(clean))
-    slim = df.select(F.col(result_id).alias("id"), shown.alias("t"), *[T.class_budget(kind, k).cast("long").alias(f"b{k}") for k in range(3)], bash.alias("bash"), outline.alias("outline"))
+    slim = df.select(F.col(result_id).alias("id"), shown.alias("t"), *[T.class_budget(kind, k).cast("long").alias(f"b{k}") for k in range(3)], bash.alias("bash"), outline.alias("outline"), F.when(shown != clean, clean).alias("before"))
     schema = f"id {slim.schema['id'].dataType.simpleString()}, inline string, artifact_digest string, redacted_bytes long, inline_bytes long"
     return slim.mapInArrow(_view, schema)
 

@@ -119,9 +119,10 @@ def metrics_by_arm_turn(df: DataFrame) -> DataFrame:
 
 def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
     """Of each group the value at place n div 2, counting from 0: the upper of two middle ones."""
-    w = Window.partitionBy(by)
-    ranked = df.where(F.col(value).isNotNull()).select(by, value, (F.row_number().over(w.orderBy(value)) - 1).alias("k"), F.count("*").over(w).alias("n"))
-    return ranked.where("k = n div 2").select(by, F.col(value).alias("median"))
+    w = Window.partitionBy("by_")
+    d = df.where(F.col(value).isNotNull()).select(F.col(by).alias("by_"), F.col(value).alias("value_"))
+    ranked = d.withColumn("place_", F.row_number().over(w.orderBy("value_")) - 1).withColumn("n_", F.count("*").over(w))
+    return ranked.where("place_ = n_ div 2").select(F.col("by_").alias(by), F.col("value_").alias("median"))
 
 
 def gateway_gate(evidence: DataFrame, thresholds: DataFrame) -> DataFrame:
