@@ -39,18 +39,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def shared_buckets(members: DataFrame) -> DataFrame:
-    """key, node, weight: the rows (key, node) whose key has two rows or more; weight adds up the sizes of a node's buckets."""
+    """key, node, slot, weight: the rows (key, node, slot) whose key has two rows or more; weight adds up the sizes of a node's buckets.
+
+    slot tells which of a node's keys it is, where members has it.
+    """
+    members = members if "slot" in members.columns else members.withColumn("slot", F.lit(0))
     crowd = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(members.join(crowd, "key").select("key", "node", "n"))
+    rows = cut(members.join(crowd, "key").select("key", "node", "slot", "n"))
     weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    return rows.select("key", "node").join(weight, "node")
+    return rows.select("key", "node", "slot").join(weight, "node")
 
 
-def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, may_link: Callable[[Column, Column], Column] | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
+def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, may_link: Callable[[Column, Column, Column], Column] | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
     """Groups of nodes linked by verified pairs among those that share a bucket.
 
-    members: key, node, weight, as shared_buckets() gives them. verify: pairs (a, b) -> those looked at, with link (boolean).
-    refine: (node, weight), first round's verify() -> node, facts; may_link: (facts, facts) -> false only where two nodes cannot be linked.
+    members: key, node, slot, weight, as shared_buckets() gives them. verify: pairs (a, b) -> those looked at, with link (boolean).
+    refine: (node, weight), first round's verify() -> node, facts; may_link: (facts, facts, slot) -> false where two
+    nodes cannot be linked, and where they share a bucket of another slot that stands for them.
     Returns (links (a, b); node, component), both only with nodes that have a link.
 
     In each round a bucket names leaders, the heaviest node of each of its parts, and members are compared with the
@@ -80,7 +85,7 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
         heads = led.select("key", F.col("l.node").alias("head"), F.col("l.component").alias("of"), F.col("l.facts").alias("head_facts"))
         test = F.col("component") != F.col("of")
         if facts is not None:
-            test = test & may_link(F.col("facts"), F.col("head_facts"))
+            test = test & may_link(F.col("facts"), F.col("head_facts"), F.col("slot"))
         pairs = open_.join(heads, "key").where(test)
         pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         if done is not None:

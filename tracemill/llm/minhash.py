@@ -133,8 +133,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     real = signed.where("id is not null and n_shingles > 0")
     nodes = cut(real.groupBy(*same).agg(F.min("id").alias("node"), F.first("sketch").alias("sketch")))
     numbers = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(collections) for j in range(i)]
-    key: Column = F.transform(F.array(*numbers), lambda t: F.xxhash64(t.i, t.j, F.get(F.col("sketch"), t.i), F.get(F.col("sketch"), t.j)))
-    members = shared_buckets(nodes.select(F.explode(key).alias("key"), "node"))
+    key: Column = F.transform(F.array(*numbers), lambda t: F.struct(F.xxhash64(t.i, t.j, F.get(F.col("sketch"), t.i), F.get(F.col("sketch"), t.j)).alias("key"), (t.i * 256 + t.j).alias("slot")))
+    members = shared_buckets(nodes.select("node", F.explode(key).alias("k")).select("k.key", "node", "k.slot"))
     sizes = real.groupBy("id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
     members = cut(members)
     crowd = members.select(F.col("node").alias("id")).distinct().join(sizes, "id")
@@ -155,16 +155,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         # the heaviest node that each was compared with, and how many shingles they have in common
         ends = checked.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both").unionByName(checked.select(F.col("b").alias("node"), F.col("a").alias("hub"), "both"))
         ends = ends.join(open_.select(F.col("node").alias("hub"), "weight"), "hub").groupBy("node").agg(F.max(F.struct("weight", "hub", "both")).alias("hub"))
-        j = open_.join(size.withColumnRenamed("id", "node"), "node").join(ends, "node", "left")
+        sketches = nodes.groupBy("node").agg(F.first("sketch").alias("sketch"), F.count("*").alias("sets"))
+        j = open_.join(size.withColumnRenamed("id", "node"), "node").join(ends, "node", "left").join(sketches, "node")
         other = F.coalesce(F.struct("hub.weight", "hub.hub") > F.struct("weight", "node"), F.lit(False)) & (F.col("texts") == 1)
         hub, common = F.when(other, F.col("hub.hub")).otherwise(F.col("node")), F.when(other, F.col("hub.both")).otherwise(F.col("shared"))
-        return j.select("node", F.struct("low", "shared", hub.alias("hub"), common.alias("common")).alias("facts"))
+        # an id with several sets has no one sketch by which to name the first table of a pair
+        return j.select("node", F.struct("low", "shared", hub.alias("hub"), common.alias("common"), F.when(F.col("sets") == 1, F.col("sketch")).alias("sketch")).alias("facts"))
 
-    def may_link(x: Column, y: Column) -> Column:
-        """A shingle that one node alone has is in no intersection; with a hub in common, those in the hub and the others are bounded apart."""
+    def may_link(x: Column, y: Column, slot: Column) -> Column:
+        """A shingle that one node alone has is in no intersection; with a hub in common, those in the hub and the others are bounded apart.
+
+        Of the tables that a pair shares, the one of the first two collections in which they agree stands for all.
+        """
+        i, j = F.floor(slot / 256), slot % 256
+        earlier = sum((F.when((F.get(x.sketch, F.lit(c)) == F.get(y.sketch, F.lit(c))) & (j != c) & (i > c), 1).otherwise(0) for c in range(collections)), F.lit(0))
         apart = F.least(x.common, y.common) + F.least(x.shared - x.common, y.shared - y.common)
         both = F.when(x.hub == y.hub, apart).otherwise(F.least(x.shared, y.shared))
-        return 100 * both >= percent * (x.low + y.low - both)
+        return (100 * both >= percent * (x.low + y.low - both)) & (earlier == 0)
 
     _, labels = group(members, verify, refine, may_link)
     joined = nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
