@@ -50,7 +50,7 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return rows.select("key", "node", "slot").join(weight, "node")
 
 
-def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, may_link: Callable[[Column, Column, Column], Column] | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
+def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, may_link: Callable[[Column, Column, Column], Column] | None = None, facts: DataFrame | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
     """Groups of nodes linked by verified pairs among those that share a bucket.
 
     members: key, node, slot, weight, as shared_buckets() gives them. verify: pairs (a, b) -> those looked at, with link (boolean).
@@ -62,9 +62,10 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
     leaders of other components only. The first round has one part, the next `spread` times as many. When every part
     holds one node, all pairs of different components in the bucket have been compared or ruled out, so no link between components is
     missed; a large bucket whose nodes agree with its heaviest ends after one comparison a node.
-    Facts are asked for after the first round, for nodes of buckets that still hold several components.
+    Facts (node, facts) that are at hand hold from the first round; else refine is asked after it, for nodes of
+    buckets that still hold several components.
     """
-    links, labels, done, facts, checked, parts = None, None, None, None, None, 1
+    links, labels, done, checked, parts = None, None, None, None, 1
     while True:
         if labels is None:
             open_ = members.withColumn("component", F.col("node"))
@@ -74,9 +75,9 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
         open_ = cut(open_.join(mixed, "key", "left_semi"))
         if open_.isEmpty():
             break
-        if refine is not None and labels is not None:
-            if facts is None:
-                facts = cut(refine(open_.select("node", "weight").distinct(), checked))
+        if facts is None and refine is not None and labels is not None:
+            facts = cut(refine(open_.select("node", "weight").distinct(), checked))
+        if facts is not None:
             open_ = open_.join(facts, "node")
         else:
             open_ = open_.withColumn("facts", F.lit(None).cast("string"))
