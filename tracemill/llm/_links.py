@@ -59,14 +59,14 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
     Returns (links (a, b); node, component), both only with nodes that have a link.
 
     In each round a bucket names leaders, the heaviest node of each of its parts, and members are compared with the
-    leaders of other components only. The first round has one part, the next `spread` times as many. When every part
-    holds one node, all pairs of different components in the bucket have been compared or ruled out, so no link between components is
-    missed; a large bucket whose nodes agree with its heaviest ends after one comparison a node.
+    leaders of other components only. The first round has one part, the second `spread` parts, and in the third every
+    node leads: then all pairs of different components in the bucket have been compared or ruled out, so no link between
+    components is missed. A large bucket whose nodes agree with its heaviest ends after one comparison a node.
     Facts (node, facts) that are at hand hold from the first round; else refine is asked after it, for nodes of
     buckets that still hold several components.
     """
-    links, labels, done, checked, parts = None, None, None, None, 1
-    while True:
+    links, labels, done, checked = None, None, None, None
+    for part in (F.lit(0), F.pmod(F.xxhash64("node"), F.lit(spread)), F.col("node")):
         if labels is None:
             open_ = members.withColumn("component", F.col("node"))
         else:
@@ -81,7 +81,6 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
             open_ = open_.join(facts, "node")
         else:
             open_ = open_.withColumn("facts", F.lit(None).cast("string"))
-        part = F.pmod(F.xxhash64("node"), F.lit(parts)) if parts > 1 else F.lit(0)
         led = open_.withColumn("part", part).groupBy("key", "part").agg(F.max(F.struct("weight", "node", "component", "facts")).alias("l"), F.count("*").alias("n"))
         heads = led.select("key", F.col("l.node").alias("head"), F.col("l.component").alias("of"), F.col("l.facts").alias("head_facts"))
         test = F.col("component") != F.col("of")
@@ -100,7 +99,7 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
         labels = components(links)
         if last:
             break
-        labels, parts = cut(labels), parts * spread
+        labels = cut(labels)
     if links is None:
         links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         labels = members.select("node", F.col("node").alias("component")).limit(0)
