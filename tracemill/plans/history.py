@@ -53,7 +53,7 @@ def guard(df: DataFrame) -> DataFrame:
     return d.select("request_id", "position", H.cache_guard(F.col("tokens"), F.col("suffix_tokens"), F.col("request_id") % 3 != 0, F.lit(60)).alias("held"))
 
 
-@query("win5_idle_gap", "v_turns", sql="SELECT session_id, turn, (epoch(date_trunc('second', at)) - epoch(date_trunc('second', lag(at) OVER (PARTITION BY session_id ORDER BY turn))))::BIGINT AS idle_s FROM v_turns")
+@query("win5_idle_gap", "v_turns", sql="SELECT session_id, turn::INT AS turn, (epoch(date_trunc('second', at)) - epoch(date_trunc('second', lag(at) OVER (PARTITION BY session_id ORDER BY turn))))::BIGINT AS idle_s FROM v_turns")
 def gaps(df: DataFrame) -> DataFrame:
     return H.idle_gap(df).select("session_id", "turn", "idle_s")
 

@@ -56,3 +56,15 @@ def late(df: DataFrame) -> DataFrame:
   FROM (SELECT * REPLACE ('1.' || (event_id % 2) AS version) FROM v_counters)) WHERE b IS DISTINCT FROM day_utc || version""")
 def adoption(df: DataFrame) -> DataFrame:
     return J.stream_adoption(df.withColumn("version", F.concat(F.lit("1."), (F.col("event_id") % 2).cast("string"))))
+
+
+@_stream("str7_stream_proxy_rollup", "v_metrics", sql="""SELECT window_start, host, count(*) AS requests, sum(input_tokens - inline_tokens)::BIGINT AS saved FROM (SELECT *, unnest(generate_series(date_trunc('hour', at) - INTERVAL 23 HOUR, date_trunc('hour', at), INTERVAL 1 HOUR)) AS window_start FROM v_metrics)
+  WHERE window_start + INTERVAL 24 HOUR <= (SELECT max(at) - INTERVAL 1 DAY FROM v_metrics) GROUP BY ALL""")
+def rollup(df: DataFrame) -> DataFrame:
+    out = J.stream_proxy_rollup(df)
+    return out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@_stream("str5_stream_idle_sessions", "v_metrics")
+def idle(df: DataFrame) -> DataFrame:
+    return J.stream_idle_sessions(df)

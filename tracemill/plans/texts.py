@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.numbers import canonical_json, digest, estimate_tokens
 from ..operators import bounding as B
+from ..operators.summaries import summary_ok
 from .registry import query
 
 BUDGET = "CASE c WHEN 'source' THEN {0} WHEN 'structured-data' THEN {1} ELSE {2} END"
@@ -207,20 +208,6 @@ def summaries(df: DataFrame) -> DataFrame:
     return df.select("result_id", summary_ok(F.col("output"), F.concat_ws("\n", F.get(l, F.lit(0)), F.element_at(l, -1)), F.array(F.lit("a"))).alias("ok"))
 
 
-def summary_ok(source, summary, facts):
-    """A summary is smaller, at most a fifth of the tokens, has all facts and no secret, and its lines occur in order in the redacted source."""
-    clean = T.redact(source)
-    inside = F.filter(T.lines(summary), lambda x: F.trim(x) != "")
-    rest = F.aggregate(
-        inside,
-        F.struct(F.lit(True).alias("ok"), F.concat(F.lit("\n"), clean, F.lit("\n")).alias("left")),
-        lambda a, x: F.struct((a.ok & F.contains(a.left, F.concat(F.lit("\n"), x, F.lit("\n")))).alias("ok"), F.substring(a.left, F.instr(a.left, F.concat(F.lit("\n"), x, F.lit("\n"))) + F.length(x) + 1, F.length(a.left)).alias("left")),
-        lambda a: a.ok,
-    )
-    small = (F.octet_length(summary) < F.octet_length(source)) & (5 * estimate_tokens(summary) <= estimate_tokens(source))
-    return small & F.forall(facts, lambda f: F.contains(summary, f)) & (T.redact(summary) == summary) & rest
-
-
 @query("txt13_bounded_sample", "v_results", sql="SELECT result_id, CASE WHEN length(output) <= 61 THEN output ELSE output[:28] || ' ... ' || output[-28:] END AS sample FROM v_results")
 def sample(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.bounded_sample(F.col("output"), 61).alias("sample"))
