@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
-_USAGE = """SELECT l_orderkey AS session_id, l_linenumber AS turn_no, l_returnflag AS host, l_shipdate AS at, l_linestatus AS model, concat(cast(l_orderkey AS string), '|', cast(l_linenumber AS string), '|', cast(l_partkey AS string), '|', cast(l_suppkey AS string)) AS line_key,
+_USAGE = """SELECT l_orderkey AS session_id, l_linenumber AS turn_no, l_returnflag AS host, l_shipdate AS at, l_linestatus AS model, concat(cast(l_orderkey AS string), '|', cast(l_linenumber AS string), '|', cast(l_partkey AS string), '|', cast(l_suppkey AS string), '|', l_linestatus, '|', cast(cast(floor(l_extendedprice) AS bigint) AS string),
+  '|', cast(cast(round(l_discount * 100) AS int) AS string), '|', cast(cast(round(l_tax * 100) AS int) AS string), '|', cast(cast(l_quantity AS bigint) AS string)) AS line_key,
   cast(floor(l_extendedprice) AS bigint) AS prompt,
   cast(floor(l_extendedprice) AS bigint) * cast(round(l_discount * 100) AS int) DIV 100 AS cached,
   cast(floor(l_extendedprice) AS bigint) * cast(round(l_tax * 100) AS int) DIV 100 AS cache_write,
