@@ -425,6 +425,27 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(documents(spark, []), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.8])
+def test_decontamination_finds_all_that_align(spark, threshold):
+    """Copies with words replaced, put in and left out, up to and over the threshold, against alignment of every item with every text."""
+    rng = random.Random(16)
+    word = lambda: f"w{rng.randrange(400)}"
+    items = [[word() for _ in range(n)] for n in (4, 5, 6, 9, 15, 24, 38, 38, 59)]
+    rows = []
+    for k in range(400):
+        t = []
+        kinds, rate = rng.choice(["r", "i", "d", "rid"]), rng.uniform(0.05, 0.8)
+        own = items[k % len(items)]
+        for at, w in enumerate(own):
+            kind = rng.choice(kinds) if rng.random() < rate * (1 if kinds == "i" else 0.45) or (k % 7 == 0 and at % 4 == 3) else ""
+            t += {"": [w], "r": [word()], "i": [word(), w], "d": []}[kind]
+        rows.append((k, " ".join([word() for _ in range(rng.randint(0, 60))] + t + [word() for _ in range(rng.randint(0, 60))]), "en", "s", 1))
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.score for r in decontaminate.contaminated(documents(spark, rows), bench, threshold=threshold).collect()}
+    scores = {(r[0], k): align_brute(t, r[1].split()) / (2 * len(t)) for r in rows for k, t in enumerate(items)}
+    assert got == {k: s for k, s in scores.items() if s >= threshold} and len(got) > 50
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     df, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = sorted(map(tuple, decontaminate.contaminated(df, bench).collect()))

@@ -1,6 +1,6 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment over words scores them."""
+"""Benchmark decontamination: runs of one or two words that every match must hold find passages, Smith-Waterman alignment over words scores them."""
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -13,93 +13,115 @@ from ._words import Words, read_words
 #: Words of test items that one pass over the corpus carries to every task; more items take more passes.
 BLOCK_WORDS = 1 << 20
 MATCH, OTHER, GAP = 2, -1, -1
+#: Hits looked at together, words over which starts are joined to a passage, and passage words aligned together.
+PART, STRETCH, CELLS = 1 << 21, 1 << 12, 1 << 14
 
 
 @dataclass
 class Items:
-    """Test items as word hashes, and the seeds: hash of n words, item and place of each."""
+    """Test items as word hashes, and the seeds of them: hash of a run of words and item, for runs of one word and of two.
+
+    An alignment with m of an item's L words and e errors scores 2m - e, and passes at T = 2 * threshold * L. It spans at most
+    3L - T words of a text, in which at least T - L - 1 pairs of adjacent words of the item stand, and at least T / 2 of its words.
+    Items of which no pair is certain are looked for by their words.
+    """
 
     ids: list
     words: list[np.ndarray]
-    n: int
-    seed: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    item: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    place: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    need: np.ndarray
+    span: np.ndarray
+    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
 
     @classmethod
-    def read(cls, rows: list, n: int) -> "Items":
+    def read(cls, rows: list, n: int, threshold: float) -> "Items":
         ids, texts = [r[0] for r in rows], pa.array([r[1] for r in rows], pa.large_string())
-        own, seeds, items, places = [], [], [], []
+        own, found = [], {1: [], 2: []}
         for w in read_words(texts, plain=True):
             first = w.first()
             own += [w.hash[first[k] : first[k + 1]] for k in range(w.hi - w.lo)]
-            at, grams = w.grams(n)
-            seeds.append(grams)
-            items.append(w.lo + w.doc[at])
-            places.append(at - first[w.doc[at]])
-        if not seeds:
-            return cls(ids, own, n)
-        seed, item, place = np.concatenate(seeds), np.concatenate(items), np.concatenate(places)
-        order = np.lexsort((place, item, seed))
-        return cls(ids, own, n, seed[order], item[order], place[order])
-
-    def rare(self, frequency: dict[int, int]) -> "Items":
-        """With only the rarer half of each item's seeds, one at least; ties by place."""
-        often = np.array([frequency.get(int(s), 0) for s in self.seed.view(np.int64)], np.int64)
-        order = np.lexsort((self.place, often, self.item))
-        item = self.item[order]
-        first = np.searchsorted(item, item)
-        size = np.searchsorted(item, item, "right") - first
-        keep = np.sort(order[np.arange(len(item)) - first < (size + 1) // 2])
-        return Items(self.ids, self.words, self.n, self.seed[keep], self.item[keep], self.place[keep])
-
-    def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
-        """Word and seed number of every place of the texts where a seed stands; a seed of several items gives each."""
-        at, grams = w.grams(self.n)
-        maybe = np.flatnonzero(self._sieve()[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
-        at, grams = at[maybe], grams[maybe]
-        lo, hi = np.searchsorted(self.seed, grams), np.searchsorted(self.seed, grams, "right")
-        number = hi - lo
-        if not number.sum():
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        past = np.cumsum(number)
-        return np.repeat(at, number), np.arange(past[-1]) + np.repeat(lo - (past - number), number)
-
-    def _sieve(self) -> np.ndarray:
-        sieve = np.zeros(1 << 20, bool)
-        sieve[(self.seed & np.uint64(0xFFFFF)).astype(np.int64)] = True
-        self._sieve = lambda: sieve
-        return sieve
-
-
-def _counter(items: Items):
-    """Texts -> seed, number of texts that have it, summed over a batch."""
-
-    def count(batches):
-        for batch in batches:
-            found = []
-            for w in read_words(batch.column(0), plain=True):
-                at, seed = items.hits(w)
-                found.append(np.unique(np.stack([w.lo + w.doc[at], items.seed[seed].view(np.int64)]), axis=1)[1] if len(at) else np.zeros(0, np.int64))
-            seeds, number = np.unique(np.concatenate(found) if found else np.zeros(0, np.int64), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(seeds), pa.array(number)], names=["seed", "n"])
-
-    return count
+            for q in found:
+                at, grams = w.grams(q)
+                found[q].append((grams, w.lo + w.doc[at]))
+        length = np.array([len(x) for x in own], np.int64)
+        least = MATCH * threshold * length
+        pairs = np.ceil(least - length - 1 - 1e-9).astype(np.int64)
+        need = np.where(pairs > 0, pairs, np.maximum(1, np.ceil(least / MATCH - 1e-9))).astype(np.int64)
+        span = np.maximum(length, np.floor(3 * length - least + 1e-9)).astype(np.int64)
+        seeds = {}
+        for q, parts in found.items():
+            seed, item = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            use = (length[item] >= n) & ((pairs[item] > 0) == (q == 2))
+            order = np.lexsort((item[use], seed[use]))
+            seed, item = seed[use][order], item[use][order]
+            new = np.ones(len(seed), bool)
+            new[1:] = (seed[1:] != seed[:-1]) | (item[1:] != item[:-1])
+            seeds[q] = seed[new], item[new]
+        return cls(ids, own, need, span, seeds)
+
+    def starts(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
+        """Word and item of every place of the texts from which as many seeds of the item as a match needs stand within its span."""
+        places, items = [], []
+        for q, (seed, item) in self.seeds.items():
+            if not len(seed):
+                continue
+            at, grams = w.grams(q)
+            maybe = np.flatnonzero(self._sieve(q)[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
+            if not len(maybe):
+                continue
+            at, grams = at[maybe], grams[maybe]
+            lo, hi = np.searchsorted(seed, grams), np.searchsorted(seed, grams, "right")
+            past = np.cumsum(hi - lo)
+            # whole texts at a time, as many as have PART hits, one at least
+            text = np.flatnonzero(np.diff(w.doc[at], prepend=-1))
+            cuts = text[np.flatnonzero(np.diff(past[text] // PART, prepend=-1))] 
+            for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
+                number = (hi - lo)[a:b]
+                if not number.sum():
+                    continue
+                own = np.cumsum(number)
+                place = np.repeat(at[a:b], number)
+                which = item[np.arange(own[-1]) + np.repeat(lo[a:b] - (own - number), number)]
+                order = np.argsort(which, kind="stable")
+                place, which = place[order], which[order]
+                last = np.arange(len(place)) + self.need[which] - 1
+                inside = last < len(place)
+                last = np.minimum(last, len(place) - 1)
+                good = inside & (which[last] == which) & (w.doc[place[last]] == w.doc[place]) & (place[last] - place <= self.span[which] - q)
+                places.append(place[good])
+                items.append(which[good])
+        return (np.concatenate(places), np.concatenate(items)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+    def _sieve(self, q: int) -> np.ndarray:
+        if not hasattr(self, "_sieves"):
+            self._sieves = {k: np.zeros(1 << 20, bool) for k in self.seeds}
+            for k, (seed, _) in self.seeds.items():
+                self._sieves[k][(seed & np.uint64(0xFFFFF)).astype(np.int64)] = True
+        return self._sieves[q]
 
 
 def align(item: np.ndarray, passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Best local alignment score of an item with each passage, and the passage word on which it ends."""
-    width = max(map(len, passages))
-    text = np.zeros((len(passages), width), np.uint64)
-    for k, p in enumerate(passages):
-        text[k, : len(p)] = p
-    real = np.arange(width) < np.array([[len(p)] for p in passages])
-    slope = np.arange(width + 1) * -GAP
-    above = np.zeros((len(passages), width + 1), np.int64)
+    return align_each([item] * len(passages), passages)
+
+
+def _table(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of several lengths as one array, and which cells are of a row."""
+    real = np.arange(max(map(len, rows))) < np.array([[len(r)] for r in rows])
+    cells = np.zeros(real.shape, np.uint64)
+    cells[real] = np.concatenate(rows)
+    return cells, real
+
+
+def align_each(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """As align(), with an item for each passage."""
+    (text, real), (item, word) = _table(passages), _table(items)
+    slope = np.arange(text.shape[1] + 1) * -GAP
+    above = np.zeros((len(passages), text.shape[1] + 1), np.int64)
     best, end = np.zeros(len(passages), np.int64), np.zeros(len(passages), np.int64)
-    for word in item:
+    for k in range(item.shape[1]):  # past the end of an item nothing matches and no score rises
         row = np.zeros_like(above)
-        row[:, 1:] = np.maximum(above[:, :-1] + np.where((text == word) & real, MATCH, OTHER), above[:, 1:] + GAP)
+        same = (text == item[:, k, None]) & real & word[:, k, None]
+        row[:, 1:] = np.maximum(above[:, :-1] + np.where(same, MATCH, OTHER), above[:, 1:] + GAP)
         row = np.maximum(row, 0)
         row = np.maximum.accumulate(row + slope, axis=1) - slope  # gaps in the item
         above = row
@@ -115,9 +137,9 @@ def _aligner(items: Items, threshold: float):
         for batch in batches:
             out = []
             for w in read_words(batch.column(1), plain=True):
-                at, seed = items.hits(w)
+                at, item = items.starts(w)
                 if len(at):
-                    out += _passages(items, w, at, seed, threshold)
+                    out += _passages(items, w, at, item, threshold)
             rows, item, score, start = zip(*out, strict=True) if out else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(rows, pa.int64())), pa.array(item, pa.int64()), pa.array(score, pa.float64()), pa.array(start, pa.int64())],
@@ -127,43 +149,40 @@ def _aligner(items: Items, threshold: float):
     return find
 
 
-def _passages(items: Items, w: Words, at: np.ndarray, seed: np.ndarray, threshold: float) -> list:
-    """Clusters hits of an item that are closer than its length, and aligns the passage around each."""
-    item, doc = items.item[seed], w.doc[at]
-    length = np.array([len(x) for x in items.words])[item]
-    begin = at - items.place[seed]
-    order = np.lexsort((begin, item, doc))
-    item, doc, length, begin = item[order], doc[order], length[order], begin[order]
+def _passages(items: Items, w: Words, at: np.ndarray, item: np.ndarray, threshold: float) -> list:
+    """Aligns each item with all that lies within its span of a start; spans that meet are one passage, up to STRETCH words of starts."""
+    order = np.lexsort((at, item))
+    at, item = at[order], item[order]
+    doc, span = w.doc[at], items.span[item]
     new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (begin[1:] - begin[:-1] > length[1:])
+    new[1:] = (item[1:] != item[:-1]) | (doc[1:] != doc[:-1]) | (at[1:] - at[:-1] > 2 * span[1:]) | (at[1:] // STRETCH != at[:-1] // STRETCH)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(item)) - 1
     bounds = w.first()
-    slack = length[first] // 4 + 2
-    lo = np.maximum(begin[first] - slack, bounds[doc[first]])
-    hi = np.minimum(begin[last] + length[first] + slack, bounds[doc[first] + 1])
+    item, doc, span = item[first], doc[first], span[first]
+    lo, hi = np.maximum(at[first] - span, bounds[doc]), np.minimum(at[last] + span, bounds[doc + 1])
+    length = np.array([len(x) for x in items.words])[item]
+    order = np.lexsort((length, hi - lo))
+    heavy = np.cumsum((hi - lo)[order]) // CELLS
     out = []
-    for k in np.unique(item[first]):
-        own = np.flatnonzero(item[first] == k)
-        own = own[np.argsort(hi[own] - lo[own], kind="stable")]
-        for part in np.array_split(own, max(1, len(own) // 64)):
-            score, end = align(items.words[k], [w.hash[lo[c] : hi[c]] for c in part])
-            share = score / (MATCH * len(items.words[k]))
-            for c, s, e in zip(part, share, end, strict=True):
-                if s >= threshold:
-                    out.append((w.lo + doc[first[c]], int(k), float(s), int(lo[c] + e - bounds[doc[first[c]]])))
+    for part in np.split(order, np.flatnonzero(np.diff(heavy)) + 1):
+        score, end = align_each([items.words[k] for k in item[part]], [w.hash[lo[c] : hi[c]] for c in part])
+        share = score / (MATCH * length[part])
+        for c, s, e in zip(part, share, end, strict=True):
+            if s >= threshold:
+                out.append((w.lo + doc[c], int(item[c]), float(s), int(lo[c] + e - bounds[doc[c]])))
     return out
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", n: int = 4, threshold: float = 0.6) -> DataFrame:
     """doc_id, item_id, score, end_word: documents that hold a test item, with the best score of each item and the word on which it ends.
 
-    Words are runs without white space or ASCII punctuation, A-Z lowered. Seeds are runs of n words of an item, of which the half that
-    fewest documents have is used; hits of an item closer than its length make one passage. score is the best
-    local alignment (match 2, other word or gap -1) over twice the item's words; passages of `threshold` or more count.
+    Words are runs without white space or ASCII punctuation, A-Z lowered. score is the best local alignment (match 2, other
+    word or gap -1) over twice the item's words; all of `threshold` or more count. What is aligned are the places that hold as many
+    of an item's word pairs (or words) as such an alignment cannot do without, so none is missed.
 
     Texts never leave their task and only hits are shuffled; a very common passage is many rows of output and no larger
-    group anywhere but the count of its seeds, which tasks add up first. Items travel to all tasks, at most BLOCK_WORDS words in one pass.
+    group anywhere. Items travel to all tasks, at most BLOCK_WORDS words in one pass.
 
     Null texts and items, and items under n words, match nothing; null ids come back null. Repeated rows give the row of their id once. Other
     columns are not read. An empty table on either side gives an empty result.
@@ -176,9 +195,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     spark, out = docs.sparkSession, None
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).orderBy("item_id", "t").collect()
-        own = Items.read([tuple(r) for r in rows], n)
-        counts = slim.select("t").mapInArrow(_counter(own), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n"))
-        own = own.rare({r.seed: r.n for r in counts.collect()})
+        own = Items.read([tuple(r) for r in rows], n, threshold)
         names = spark.createDataFrame(list(enumerate(own.ids)), f"item long, item_id {item_kind}")
         found = slim.mapInArrow(_aligner(own, threshold), f"doc_id {kind}, item long, score double, end_word long")
         found = found.groupBy("doc_id", "item").agg(F.max(F.struct("score", "end_word")).alias("s"))
