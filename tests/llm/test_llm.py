@@ -301,6 +301,34 @@ def test_lines_brute_force(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_lines_with_changed_words(spark):
+    """Lines with up to a fifth of the words changed: of the pairs that edit distance links, at least 95 % are met, and nothing else goes."""
+    rng = random.Random(26)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    rows, pairs = [], {}
+    for k in range(160):
+        a = [word() for _ in range(rng.choice((8, 10, 20, 27, 40)))]
+        b = list(a)
+        for at in rng.sample(range(len(b)), rng.randint(1, 1 + len(b) // 9)):
+            b[at] = word()
+        a, b = " ".join(a), " ".join(b)
+        rows += [(2 * k, a, "en", "s", 1), (2 * k + 1, b, "en", "s", 1)]
+        pairs[2 * k + 1] = edits(a, b) <= max(len(a), len(b)) * 20 // 100
+    got = {r.id: r.keeper["id"] for r in lines.line_groups(documents(spark, rows)).collect()}
+    must = {k for k, v in pairs.items() if v}
+    assert all(k in must and got[k] == k - 1 for k in got)
+    assert len(must) > 100 and len(set(got) & must) >= 0.95 * len(must), (len(set(got) & must), len(must))
+
+
 def test_lines_odd_rows(spark):
     got = lines.drop_lines(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)
