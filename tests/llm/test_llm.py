@@ -329,6 +329,14 @@ def test_lines_with_changed_words(spark):
     assert len(must) > 100 and len(set(got) & must) >= 0.95 * len(must), (len(set(got) & must), len(must))
 
 
+def test_lines_of_very_many_words(spark):
+    rng = random.Random(3)
+    a = [rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(33_000)]
+    b = [*a[:9000], "1", *a[9001:]]
+    df = documents(spark, [(1, " ".join(a), "en", "s", 1), (2, " ".join(b), "en", "s", 1)])
+    assert [(r.id, r.keeper["id"]) for r in lines.line_groups(df).collect()] == [(2, 1)]
+
+
 def test_lines_odd_rows(spark):
     got = lines.drop_lines(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)
