@@ -55,6 +55,12 @@ def grep(df: DataFrame) -> DataFrame:
     return out.where(F.octet_length("text") <= 512)
 
 
+@query("prj15_grep_cut_lines", "v_results")
+def grep_cut(df: DataFrame) -> DataFrame:
+    """With the operator's own width: long lines are cut, none is left out."""
+    return B.grep_lines(df.select("result_id", "output"), "the")
+
+
 @query("prj17_slice_lines", "v_results", sql="SELECT result_id, array_to_string(list_slice(string_split(regexp_replace(output, '\\n$', ''), chr(10)), 2, 4), chr(10)) AS text FROM v_results")
 def some_lines(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.slice_lines(F.col("output"), 2, 4).alias("text"))
