@@ -73,6 +73,11 @@ def redact(df: DataFrame) -> DataFrame:
     return some.select("result_id", T.redact(F.col("output"), ("token",)).alias("text"))
 
 
+@query("txt1_redact_all", "v_results")
+def redact_all(df: DataFrame) -> DataFrame:
+    return df.select("result_id", T.redact(F.col("output"), ("token",)).alias("text"))
+
+
 @query("txt1_redaction_counts", "v_results")
 def redaction_counts(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.count_redactions(F.col("output"), ("token",)).alias("redactions"), F.octet_length(T.redact(F.col("output"), ("token",))).alias("bytes"))
