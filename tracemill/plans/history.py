@@ -232,6 +232,14 @@ def recovered(df: DataFrame) -> DataFrame:
     return A.recover_artifacts(handles, store).select("handle", "status", F.sha2("content", 256).alias("content_digest"))
 
 
+@query("jn8_recover_all_artifacts", "v_results")
+def recovered_all(df: DataFrame) -> DataFrame:
+    """All texts are stored; the operator cuts the long ones."""
+    store = A.distinct_artifacts(df, "output")
+    handles = store.select(F.left("digest", F.lit(20)).alias("handle"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    return A.recover_artifacts(handles, store).select("handle", "status", F.sha2("content", 256).alias("content_digest"))
+
+
 @query("win11_evict_artifacts", "v_results", sql="""SELECT workspace, name FROM (SELECT workspace, name, sum(bytes) OVER (PARTITION BY workspace ORDER BY created_at DESC, name DESC) AS run FROM (SELECT workspace, lpad(result_id::VARCHAR, 12, '0') AS name, strlen(output) AS bytes,
   TIMESTAMP '2024-01-10 00:00:00' - INTERVAL 1 HOUR * (result_id % 200) AS created_at FROM v_results) WHERE created_at > TIMESTAMP '2024-01-03 00:00:00') WHERE run <= 50000""")
 def evicted(df: DataFrame) -> DataFrame:
