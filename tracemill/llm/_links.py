@@ -5,7 +5,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._shared import cut
+from ._shared import Tables
+
+#: Edges for each task of components(); up to this many, all rounds run in one task each.
+TASK_EDGES = 50_000
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,18 +22,23 @@ def components(edges: DataFrame) -> DataFrame:
     Each round points every node at the smallest neighbour of its neighbours and then
     short-cuts (large star, small star), so long chains close in logarithmically many rounds.
     Only groupings and equi-joins: a node with very many edges is partially aggregated, and its join
-    partition can be split. Null ends, loops and repeated edges are ignored; no edges give no rows.
+    partition can be split. The number of tasks follows the number of edges.
+    Null ends, loops and repeated edges are ignored; no edges give no rows.
     """
+    tables = Tables(edges.sparkSession)
     e = edges.select("a", "b").where("a <> b")
-    e = cut(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    e = tables.put(e.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = _state(e)
-    while True:
-        both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    while state[0]:
+        tasks = 1 + state[0] // TASK_EDGES
+        few = e.coalesce(tasks)
+        both = few.unionByName(few.select(F.col("b").alias("a"), F.col("a").alias("b"))).coalesce(tasks)
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        star = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        star = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct().coalesce(tasks)
         low = star.groupBy("a").agg(F.min("b").alias("m"))
         hooked = star.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(hooked.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
+        last, e = e, tables.put(hooked.unionByName(low.select("a", F.col("m").alias("b"))).coalesce(tasks).distinct())
+        tables.drop(last)
         before, state = state, _state(e)
         if before == state:
             break
@@ -45,9 +53,12 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     """
     members = members if "slot" in members.columns else members.withColumn("slot", F.lit(0))
     crowd = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    rows = cut(members.join(crowd, "key").select("key", "node", "slot", "n"))
+    tables = Tables(members.sparkSession)
+    rows = tables.put(members.join(crowd, "key").select("key", "node", "slot", "n"))
     weight = rows.groupBy("node").agg(F.sum("n").alias("weight"))
-    return rows.select("key", "node", "slot").join(weight, "node")
+    out = tables.put(rows.select("key", "node", "slot").join(weight, "node"))
+    tables.drop(rows)
+    return out
 
 
 def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, may_link: Callable[[Column, Column, Column], Column] | None = None, facts: DataFrame | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
@@ -63,24 +74,24 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
     node leads: then all pairs of different components in the bucket have been compared or ruled out, so no link between
     components is missed. A large bucket whose nodes agree with its heaviest ends after one comparison a node.
     Facts (node, facts) that are at hand hold from the first round; else refine is asked after it, for nodes of
-    buckets that still hold several components.
+    buckets that still hold several components. A round's tables are deleted when the next has its own.
     """
+    tables = Tables(members.sparkSession)
     links, labels, done, checked = None, None, None, None
     for part in (F.lit(0), F.pmod(F.xxhash64("node"), F.lit(spread)), F.col("node")):
         if labels is None:
-            open_ = members.withColumn("component", F.col("node"))
+            rows = members.withColumn("component", F.col("node"))
         else:
-            open_ = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        mixed = open_.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-        open_ = cut(open_.join(mixed, "key", "left_semi"))
+            rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+            rows = rows.join(mixed, "key", "left_semi")
+        if facts is None and refine is not None and labels is not None:
+            rows = tables.put(rows)
+            facts = tables.put(refine(rows.select("node", "weight").distinct(), checked))
+        open_ = tables.put(rows.join(facts, "node") if facts is not None else rows.withColumn("facts", F.lit(None).cast("string")))
+        tables.drop(rows)
         if open_.isEmpty():
             break
-        if facts is None and refine is not None and labels is not None:
-            facts = cut(refine(open_.select("node", "weight").distinct(), checked))
-        if facts is not None:
-            open_ = open_.join(facts, "node")
-        else:
-            open_ = open_.withColumn("facts", F.lit(None).cast("string"))
         led = open_.withColumn("part", part).groupBy("key", "part").agg(F.max(F.struct("weight", "node", "component", "facts")).alias("l"), F.count("*").alias("n"))
         heads = led.select("key", F.col("l.node").alias("head"), F.col("l.component").alias("of"), F.col("l.facts").alias("head_facts"))
         test = F.col("component") != F.col("of")
@@ -90,16 +101,17 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
         pairs = pairs.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
         if done is not None:
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
+        pairs = tables.put(pairs)
         last = led.where("n > 1").isEmpty()
-        checked = cut(verify(pairs))
-        found = checked.where("link").select("a", "b")
-        links = found if links is None else cut(links.unionByName(found))
-        done = pairs if done is None else cut(done.unionByName(pairs))
+        tables.drop(open_, checked)
+        checked = tables.put(verify(pairs))
+        found = tables.put(checked.where("link").select("a", "b"))
+        links = found if links is None else links.unionByName(found)
+        done = pairs if done is None else done.unionByName(pairs)
         labels = components(links)
         if last:
             break
-        labels = cut(labels)
+        labels = tables.put(labels)
     if links is None:
         links = members.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
         labels = members.select("node", F.col("node").alias("component")).limit(0)

@@ -1,4 +1,4 @@
-"""Small pieces that several operators share: lineage cuts and the word pattern."""
+"""Small pieces that several operators share: tables in the shared folder and the word pattern."""
 
 import tempfile
 import uuid
@@ -9,12 +9,16 @@ from pyspark.sql import functions as F
 #: What separates words: space and the ASCII controls tab to carriage return.
 GAP = "[\\x20\\x09-\\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Lets Spark remove the shuffle files of a job once its table is written.
+TIDY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: the session's spark.checkpoint.dir, or a new local one where none is set (tests)."""
+    """The folder that all executors share: the session's spark.checkpoint.dir. Only a local session gets a new one where none is set (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = tempfile.mkdtemp(prefix="spark-shared-")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
@@ -27,12 +31,34 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+class Tables:
+    """Parquet tables of one run in the shared folder. A written table has no lineage, so that a lost executor costs nothing that
+    is in it; drop() deletes one as soon as the next step has what it needs. What the returned rows still read stays."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.top, self.paths = spark, f"{shared_dir(spark)}/tables-{uuid.uuid4().hex}", {}
+
+    def put(self, df: DataFrame) -> DataFrame:
+        path, before = f"{self.top}/{uuid.uuid4().hex}", self.spark.conf.get(TIDY, "false")
+        self.spark.conf.set(TIDY, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(TIDY, before)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.paths[out] = path
+        return out
+
+    def drop(self, *tables: DataFrame | None) -> None:
+        for df in tables:
+            if df in self.paths:
+                at = self.spark._jvm.org.apache.hadoop.fs.Path(self.paths.pop(df))
+                at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def written(df: DataFrame) -> DataFrame:
     """As cut(), for rows with texts: a Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return Tables(df.sparkSession).put(df)
 
 
 def words(text: Column) -> Column:

@@ -1,16 +1,13 @@
 """Near-duplicate documents by MinHash with tensored banding, links confirmed on whole shingle sets."""
 
-import itertools
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._links import group, shared_buckets
-from ._shared import cut, written
-from ._words import SLICE, Words, mix, read_words
+from ._shared import Tables
+from ._words import Words, mix, read_words
 
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -71,47 +68,21 @@ def _signer(n: int, rows: int, collections: int):
     return sign
 
 
-def _shingle_rows(n: int):
-    """Each shingle of each text once."""
+def _set_rows(n: int):
+    """The set of each text as one array."""
 
     def rows(batches):
         for batch in batches:
             for w in read_words(batch.column(1), lower=True):
                 doc, hashes = _sets(w, n)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.lo + doc)), pa.array(hashes.view(np.int64))], names=["id", "h"])
+                if len(doc):
+                    texts, at = np.unique(doc, return_index=True)
+                    lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(hashes.view(np.int64)))
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.lo + texts)), lists], names=["id", "h"])
 
     return rows
 
 
-def _confirmer(n: int, percent: int):
-    """Pairs with both texts -> size of the intersection, and whether 100 * intersection >= percent * union."""
-
-    def confirm(batches):
-        for batch in batches:
-            left, right = batch.column(2).cast(pa.large_string()), batch.column(3).cast(pa.large_string())
-            cost = np.cumsum(np.asarray(pc.binary_length(left)) + np.asarray(pc.binary_length(right)))
-            cuts = np.flatnonzero(np.diff(cost // SLICE, prepend=0)) if len(cost) else cost
-            parts = [_compare(pa.concat_arrays([left.slice(i, j - i), right.slice(i, j - i)]), n) for i, j in itertools.pairwise([0, *cuts[cuts > 0], len(cost)])]
-            both, union = np.concatenate([b for b, _ in parts]), np.concatenate([u for _, u in parts])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(both), pa.array((both > 0) & (100 * both >= percent * union))], names=["a", "b", "both", "link"])
-
-    return confirm
-
-
-def _compare(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of texts a1, a2, ..., b1, b2, ...: sizes of intersection and union of each pair's sets."""
-    pairs = len(texts) // 2
-    parts = [(w.lo, *_sets(w, n)) for w in read_words(texts, lower=True)]
-    doc = np.concatenate([lo + d for lo, d, _ in parts]) if parts else np.zeros(0, np.int64)
-    hashes = np.concatenate([h for _, _, h in parts]) if parts else np.zeros(0, np.uint64)
-    pair = doc % max(1, pairs)
-    order = np.lexsort((hashes, pair))
-    pair, hashes = pair[order], hashes[order]
-    twice = (pair[1:] == pair[:-1]) & (hashes[1:] == hashes[:-1])
-    both = np.bincount(pair[1:][twice], minlength=pairs)
-    return both, np.bincount(pair, minlength=pairs) - both
-
-
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, rows: int = 2, collections: int = 12) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest id reachable over links, its own included), kept.
 
@@ -120,37 +91,38 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     Each of `collections` small collections holds `rows` minima; a table key joins two of them, so
     collections * (collections - 1) / 2 tables cost only rows * collections minima. With the defaults a pair at
     similarity s is met with 1 - (1-q)^12 - 12 q (1-q)^11, q = s^2: 0.99999 at 0.85.
-    Documents with equal sets become one node first; candidate pairs are confirmed on whole texts.
+    Documents with equal sets become one node first; candidate pairs are confirmed on the whole sets, which each candidate
+    writes once. Ids are whole numbers (or their text).
 
     Null or empty texts have no shingles and no link. Rows with a null id have no part in links and come
     back with a null component and kept true. Repeated ids with one text count once for links and come
     back as often as they came; of rows that share an id but differ in text, a pair is confirmed if any of their texts is
     similar. An empty table gives an empty result. Other columns are not read.
     """
+    tables = Tables(docs.sparkSession)
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"))
-    signed = cut(slim.mapInArrow(_signer(n, rows, collections), "id long, n_shingles long, same_1 long, same_2 long, sketch array<long>"))
+    signed = tables.put(slim.mapInArrow(_signer(n, rows, collections), "id long, n_shingles long, same_1 long, same_2 long, sketch array<long>"))
     same = ["n_shingles", "same_1", "same_2"]
     real = signed.where("id is not null and n_shingles > 0")
-    nodes = cut(real.groupBy(*same).agg(F.min("id").alias("node"), F.first("sketch").alias("sketch")))
+    nodes = tables.put(real.groupBy(*same).agg(F.min("id").alias("node"), F.first("sketch").alias("sketch")))
     numbers = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in range(collections) for j in range(i)]
     key: Column = F.transform(F.array(*numbers), lambda t: F.struct(F.xxhash64(t.i, t.j, F.get(F.col("sketch"), t.i), F.get(F.col("sketch"), t.j)).alias("key"), (t.i * 256 + t.j).alias("slot")))
     members = shared_buckets(nodes.select("node", F.explode(key).alias("k")).select("k.key", "node", "k.slot"))
-    sizes = real.groupBy("id").agg(F.min("n_shingles").alias("low"), F.max("n_shingles").alias("high"))
-    members = cut(members)
-    crowd = members.select(F.col("node").alias("id")).distinct().join(sizes, "id")
-    texts = written(slim.join(crowd, "id").select("id", "low", "high", "t"))
+    # the sets of all texts of a candidate's id; a pair of candidates needs these and no text
+    sets = tables.put(slim.join(members.select(F.col("node").alias("id")).distinct(), "id").select("id", "t").mapInArrow(_set_rows(n), "id long, h array<long>"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta"), F.col("low").alias("la"), F.col("high").alias("ha")), "a")
-        both = left.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb"), F.col("low").alias("lb"), F.col("high").alias("hb")), "b")
-        near = (100 * F.col("ha") >= percent * F.col("lb")) & (100 * F.col("hb") >= percent * F.col("la"))
-        return both.where(near).select("a", "b", "ta", "tb").mapInArrow(_confirmer(n, percent), "a long, b long, both long, link boolean").groupBy("a", "b").agg(F.max("both").alias("both"), F.bool_or("link").alias("link"))
+        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
+        pair = left.join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+        pair = pair.where((100 * F.size("ha") >= percent * F.size("hb")) & (100 * F.size("hb") >= percent * F.size("ha")))
+        pair = pair.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).cast("long").alias("both"))
+        return pair.groupBy("a", "b").agg(F.max("both").alias("both"), F.bool_or(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).alias("link"))
 
     def refine(open_: DataFrame, checked: DataFrame) -> DataFrame:
-        own = texts.join(open_.select(F.col("node").alias("id")), "id")
-        once = own.select("id", "t").mapInArrow(_shingle_rows(n), "id long, h long").groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
+        own = sets.join(open_.select(F.col("node").alias("id")), "id")
+        once = own.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
         once = once.groupBy("id").agg(F.count("*").alias("once"))
-        size = own.groupBy("id").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.count("*").alias("texts")).join(once, "id", "left")
+        size = own.groupBy("id").agg(F.min(F.size("h")).cast("long").alias("low"), F.max(F.size("h")).cast("long").alias("high"), F.count("*").alias("texts")).join(once, "id", "left")
         size = size.withColumn("shared", F.col("high") - F.when(F.col("texts") == 1, F.coalesce("once", F.lit(0))).otherwise(0))
         # the heaviest node that each was compared with, and how many shingles they have in common
         ends = checked.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both").unionByName(checked.select(F.col("b").alias("node"), F.col("a").alias("hub"), "both"))
@@ -175,7 +147,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     _, labels = group(members, verify, refine, may_link)
     joined = nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
-    out = signed.join(joined, same, "left")
+    out = signed.drop("sketch").join(joined, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
