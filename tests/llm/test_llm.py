@@ -419,6 +419,18 @@ def test_reputation_shrinks(spark):
     assert rep["once.b.org"].mean < rep["bad.a.org"].mean and rep["bad.a.org"].low > 0.5
 
 
+def test_new_hosts_are_judged_by_their_domain(spark, duck):
+    """A host without labelled pages is blocked where its domain is bad; DuckDB says the same. Repeats, nulls and empty tables have their rows."""
+    known = [("http://bad.a.org/", True)] * 30 + [(f"http://h{k}.c.org/", False) for k in range(60)]
+    rows = [(1, "http://new.a.org/x"), (1, "http://new.a.org/x"), (2, "http://new.c.org/"), (3, "http://q.net/x"), (None, None), (4, "http://8825.c.org:80/1")]
+    pages, outcomes = spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(known, "url string, bad boolean")
+    got = urls.filter_urls(pages, outcomes)
+    assert [r.verdict for r in got.where("page_id = 1").collect()] == ["block", "block"] and {r.verdict for r in got.where("page_id > 1 or page_id is null").collect()} == {"allow"}
+    values = lambda rows: "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("NULL" if x is None else repr(x) for x in r) + ")" for r in rows) + ") AS v"
+    same_rows(got, duck, urls.filter_sql(values(rows) + "(page_id, url)", values(known) + "(url, bad)"))
+    assert urls.filter_urls(pages.limit(0), outcomes).count() == 0 and urls.filter_urls(pages, outcomes.limit(0)).where("verdict = 'block'").count() == 0
+
+
 # --- 10 decontamination
 
 

@@ -12,9 +12,10 @@ from .mixing import mix_sources, mixing_sql
 from .quality import quality_rules, quality_sql
 from .substring import remove_repeats
 from .tokens import count_tokens, read_vocabulary
-from .urls import filter_sql, filter_urls
+from .urls import filter_sql, filter_urls, url_path
 
-#: The public tokenizer whose pieces and scores are counted with, read by the driver.
+#: A public vocabulary of pieces with scores, read by the driver. The file is a BPE model: its pieces and scores are taken as a unigram
+#: vocabulary, since no public unigram file is at hand and none is trained, so counts are those of that unigram model.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -58,7 +59,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page shows the document whose number its path ends with; it is a bad outcome if that is labelled poor or toxic."""
     pages, labels = _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels")
-    shown = pages.select("url", F.regexp_extract("url", "/([0-9]+)", 1).try_cast("long").alias("doc_id"))
+    shown = pages.select("url", F.regexp_extract(url_path(F.col("url")), "/([0-9]+)$", 1).try_cast("long").alias("doc_id"))
     bad = labels.select("doc_id", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
     return filter_urls(pages, shown.join(bad, "doc_id").select("url", "bad"))
 
@@ -68,5 +69,5 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_tokens": op2_tokens, "op7_classifier": op7_classifier, "op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring}
-_OUTCOMES = "SELECT url, quality = 0 OR toxic = 1 AS bad FROM pages JOIN labels ON doc_id = TRY_CAST(regexp_extract(url, '/([0-9]+)', 1) AS BIGINT)"
+_OUTCOMES = "SELECT url, quality = 0 OR toxic = 1 AS bad FROM pages JOIN labels ON doc_id = TRY_CAST(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/([0-9]+)$', 1) AS BIGINT)"
 SQL: dict[str, str] = {"op9_urls": filter_sql("SELECT * FROM pages", _OUTCOMES), "op1_mixing": mixing_sql(), "op3_quality": quality_sql()}
