@@ -20,7 +20,7 @@ def items(spark, *rows):
 
 
 def test_superseded(spark):
-    df = items(spark, (0, "read", "a", 1, 20, "x", False, False), (1, "read", "a", None, None, "y", False, False), (2, "read", "b", 1, 5, "x", False, False), (3, "read", "b", 2, 9, "x", False, False), (4, "read", "c", None, None, "x", False, False), (5, "read", "c", 1, 9, "x", False, False), (6, "read", "d", 3, 4, "z", False, False), (7, "read", "d", 1, 9, "done", False, False))
+    df = items(spark, (0, "read", "a", 1, 20, "x", False, False), (1, "read", "a", None, None, "y", False, False), (2, "read", "b", 1, 5, "x", False, False), (3, "read", "b", 2, 9, "x", False, False), (4, "read", "c", None, None, "x", False, False), (5, "read", "c", 1, 9, "x", False, False), (6, "read", "d", 3, 4, "z", False, False), (7, "read", "d", 1, 9, "(no output)", False, False))
     assert [r.position for r in H.superseded_reads(df).collect()] == [0]
 
 

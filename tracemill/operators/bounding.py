@@ -11,12 +11,14 @@ from ..functions import text as T
 from ..functions.numbers import estimate_tokens
 
 ELIDED = "[... middle left out ...]"
-#: Lines worth keeping from the middle, most telling first.
-SUMMARY = re.compile(r"^\s*(?:#\s*(?:tests|pass|fail|skipped|todo|cancelled|suites)\b|test result:|(?:Tests|Test Suites):\s|=+[^=]*\b\d+\s+(?:passed|failed)\b)", re.I)
-HEADLINE = re.compile(r"^\s*(?:#\s*(?:tests|pass|fail)\b|test result:|Tests:\s)", re.I)
-SEVERE = re.compile(r"\b(?:error|fail(?:ed|ure)?|exception|fatal|panic|traceback|assertion)\b", re.I)
-WARNING = re.compile(r"\bwarning\b", re.I)
-MOST_SUMMARIES, MOST_SALVAGED, LINE_BYTES = 4, 8, 256
+#: What lines worth keeping from the middle look like, most telling first, and how many and how much of them is kept.
+TELLING = tuple(re.compile(p) for p in (
+    rb"(?im)^[^\S\n]*(?:#[^\S\n]*(?:tests|pass|fail)\b|test result:|Tests:\s)",
+    rb"(?im)^[^\S\n]*(?:#[^\S\n]*(?:tests|pass|fail|skipped|todo|cancelled|suites)\b|test result:|(?:Tests|Test Suites):\s|=+[^=\n]*\b\d+[^\S\n]+(?:passed|failed)\b)",
+    rb"(?i)\b(?:error|fail(?:ed|ure)?|exception|fatal|panic|traceback|assertion)\b",
+    rb"(?i)\bwarning\b",
+))
+SUMMARIES, MOST_SUMMARIES, MOST_SALVAGED, LINE_BYTES = 2, 4, 8, 256
 
 
 def _head(raw: bytes, n: int) -> bytes:
@@ -31,42 +33,56 @@ def _tail(raw: bytes, n: int) -> bytes:
 
 
 def salvage(raw: bytes, lo: int, hi: int) -> list[bytes]:
-    """Telling lines wholly inside bytes lo..hi: at most 4 summaries (headlines first), then severe, then warnings; 8 in all."""
-    found: dict[str, list[bytes]] = {"headline": [], "summary": [], "severe": [], "warning": []}
-    at = 0
-    for line in raw.split(b"\n"):
-        if at >= lo and at + len(line) <= hi:
-            told = line.decode("utf-8", "replace")
-            kind = ("headline" if HEADLINE.search(told) else "summary") if SUMMARY.search(told) else "severe" if SEVERE.search(told) else "warning" if WARNING.search(told) else None
-            if kind:
-                found[kind].append(line)
-        at += len(line) + 1
-    return [*(found["headline"] + found["summary"])[:MOST_SUMMARIES], *found["severe"], *found["warning"]][:MOST_SALVAGED]
+    """Telling lines wholly inside bytes lo..hi, by class and place: at most 4 of the first two classes (summaries), 8 in all.
+
+    Each class is searched for in the bytes as a whole; a hit is widened to its line, which counts for the first class that it is in.
+    """
+    known: dict[int, tuple[int, int]] = {}
+    for rank, pattern in enumerate(TELLING):
+        for hit in pattern.finditer(raw, max(0, lo), max(0, hi)):
+            start = raw.rfind(b"\n", 0, hit.start()) + 1
+            end = raw.find(b"\n", hit.start())
+            end = len(raw) if end < 0 else end
+            if lo <= start and end <= hi:
+                known.setdefault(start, (rank, end))
+    ranked = sorted((rank, start, end) for start, (rank, end) in known.items())
+    some = [x for x in ranked if x[0] < SUMMARIES][:MOST_SUMMARIES] + [x for x in ranked if x[0] >= SUMMARIES]
+    return [raw[start:end] for _, start, end in some[:MOST_SALVAGED]]
+
+
+def _block(lines: list[bytes], room: int) -> bytes:
+    """As many of the lines as fit, each cut to LINE_BYTES and what is left; between line ends, or empty."""
+    out: list[bytes] = []
+    for line in lines:
+        width = min(LINE_BYTES, room)
+        if width < 1:
+            break
+        out.append(line if len(line) <= width else _head(line, width - 1) + b"~")
+        room -= len(out[-1]) + 1
+    return b"".join([b"\n", b"\n".join(out), b"\n"]) if out else b""
+
+
+def _edges(room: int, head: int, tail: int) -> tuple[int, int]:
+    """Room for both ends of a text, shared in proportion."""
+    first = max(1, room * max(1, head) // (max(1, head) + max(1, tail)))
+    return first, max(1, room - first)
 
 
 def middle_view(text: str, most: int, head: int, tail: int, keep_diagnostics: bool, marker: str = ELIDED) -> str:
-    """A text within `most` bytes: its head, a marker, telling lines of the middle if asked for, its tail."""
+    """A text within `most` bytes: its head, a marker, its tail. With keep_diagnostics up to half is for telling lines of what falls out."""
     raw, mark = text.encode(), marker.encode()
     if len(raw) <= most:
         return text
-    if most <= len(mark):
+    room = most - len(mark)
+    if room <= 0:
         return _head(mark, most).decode()
-    room, head, tail, block = most - len(mark), max(1, head), max(1, tail), b""
+    block = b""
     if keep_diagnostics:
-        budget = max(0, room // 2 - 2)
-        edges = room - budget - 2
-        first = max(1, edges * head // (head + tail))
-        kept: list[bytes] = []
-        for line in salvage(raw, first, len(raw) - max(1, edges - first)):
-            left = budget - sum(map(len, kept)) - len(kept)
-            if left < 1:
-                break
-            n = min(LINE_BYTES, left)
-            kept.append(line if len(line) <= n else _head(line, n - 1) + b"~")
-        block = b"\n" + b"\n".join(kept) + b"\n" if kept else b""
-    room -= len(block)
-    first = max(1, room * head // (head + tail))
-    return (_head(raw, first) + mark + block + _tail(raw, max(1, room - first))).decode()
+        spare = max(0, room // 2 - 2)
+        first, last = _edges(room - spare - 2, head, tail)
+        block = _block(salvage(raw, first, len(raw) - last), spare)
+    first, last = _edges(room - len(block), head, tail)
+    return b"".join([_head(raw, first), mark, block, _tail(raw, last)]).decode()
 
 
 def _view(batches):
@@ -84,6 +100,19 @@ def _view(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(views, pa.string()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64()), pa.array(after, pa.int64())], names=["id", "inline", "artifact_digest", "redacted_bytes", "inline_bytes"])
 
 
+def salvage_lines(df: DataFrame, head: int, tail: int, result_id: str = "result_id", text: str = "output") -> DataFrame:
+    """result_id, lines: of each text the telling lines between its first `head` and last `tail` bytes; none for null."""
+
+    def rows(batches):
+        for batch in batches:
+            raw = [None if x is None else x.encode() for x in batch.column(1).to_pylist()]
+            out = [[] if x is None else [y.decode("utf-8", "replace") for y in salvage(x, head, len(x) - tail)] for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.list_(pa.string()))], names=["result_id", "lines"])
+
+    slim = df.select(F.col(result_id).alias("result_id"), F.col(text).cast("string").alias("t"))
+    return slim.mapInArrow(rows, f"result_id {slim.schema['result_id'].dataType.simpleString()}, lines array<string>")
+
+
 def bound_results(df: DataFrame, result_id: str = "result_id", keys: tuple[str, ...] = ("token",), line_cap: int = 768) -> DataFrame:
     """id, inline, artifact_digest, redacted_bytes, inline_bytes for results (tool, path, command, output).
 
@@ -91,12 +120,17 @@ def bound_results(df: DataFrame, result_id: str = "result_id", keys: tuple[str,
     budget, with telling lines of the middle for shell output. The digest is that of the full text where the view is shorter. No shuffle.
     """
     kind = T.classify_source(F.col("tool"), F.col("path"), F.col("command"))
-    clean = T.redact(T.strip_ansi(T.redact(F.col("output"), keys)), keys)
     bash = F.lower("tool") == "bash"
-    shown = F.when(bash, T.cap_columns(T.collapse_repeats(clean), line_cap)).otherwise(clean)
     route = T.plan_route(F.col("tool"), F.lit(False), F.size(T.lines(F.col("output"))), F.octet_length("output"))
-    outline = F.when(route == "summary", T.structural_outline(clean))
-    slim = df.select(F.col(result_id).alias("id"), shown.alias("t"), *[T.class_budget(kind, k).cast("long").alias(f"b{k}") for k in range(3)], bash.alias("bash"), outline.alias("outline"), F.when(shown != clean, clean).alias("before"))
+
+    def parts(clean):
+        """All that the view needs of the cleaned text, which is computed once."""
+        shown = T.bind(F.when(bash, T.cap_columns(T.collapse_repeats(clean), line_cap)).otherwise(clean), lambda t: F.struct(t.alias("t"), F.when(t != clean, clean).alias("before")))
+        return F.struct(shown.alias("shown"), F.when(route == "summary", T.structural_outline(clean)).alias("outline"))
+
+    view = T.bind(T.redact(T.strip_ansi(T.redact(F.col("output"), keys)), keys), parts)
+    slim = df.select(F.col(result_id).alias("id"), view.alias("v"), *[T.class_budget(kind, k).cast("long").alias(f"b{k}") for k in range(3)], bash.alias("bash"))
+    slim = slim.select("id", F.col("v.shown.t").alias("t"), "b0", "b1", "b2", "bash", F.col("v.outline").alias("outline"), F.col("v.shown.before").alias("before"))
     schema = f"id {slim.schema['id'].dataType.simpleString()}, inline string, artifact_digest string, redacted_bytes long, inline_bytes long"
     return slim.mapInArrow(_view, schema)
 

@@ -126,7 +126,8 @@ def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def gateway_gate(evidence: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """Per report: pass, fail or missing for each named threshold, and go / no-go / insufficient-evidence.
+    """Per report: pass, fail or missing for each named threshold, and go / no-go / insufficient-evidence;
+    a missing check wins over a failed one.
 
     evidence: report, check, value. thresholds: check, kind (max or min), bound. Every report is held against every
     threshold: checks are few, so they are exploded from an array beside each report.
@@ -137,4 +138,4 @@ def gateway_gate(evidence: DataFrame, thresholds: DataFrame) -> DataFrame:
     good = F.when(F.col("t.kind") == "max", F.col("value") <= F.col("t.bound")).otherwise(F.col("value") >= F.col("t.bound"))
     rows = rows.withColumn("status", F.when(F.col("value").isNull(), "missing").when(good, "pass").otherwise("fail"))
     g = rows.groupBy("report").agg(F.bool_or(F.col("status") == "fail").alias("f"), F.bool_or(F.col("status") == "missing").alias("m"), F.array_sort(F.collect_set(F.when(F.col("status") != "pass", F.concat_ws(":", F.col("t.check"), F.col("status"))))).alias("reasons"))
-    return g.select("report", F.when(F.col("f"), "no-go").when(F.col("m"), "insufficient-evidence").otherwise("go").alias("decision"), "reasons")
+    return g.select("report", F.when(F.col("m"), "insufficient-evidence").when(F.col("f"), "no-go").otherwise("go").alias("decision"), "reasons")

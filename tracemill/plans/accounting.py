@@ -234,7 +234,7 @@ def median(df: DataFrame) -> DataFrame:
   SELECT host || '/' || version, 'calls', count(*) FROM v_counters WHERE version <> '1.2' GROUP BY ALL),
   r AS (SELECT DISTINCT report FROM e), t AS (SELECT * FROM (VALUES ('latency_ms', 'max', 4990), ('errors_mille', 'max', 120), ('calls', 'min', 500)) AS x(c, k, b)),
   j AS (SELECT r.report, t.c, CASE WHEN e.v IS NULL THEN 'missing' WHEN (k = 'max' AND v <= b) OR (k = 'min' AND v >= b) THEN 'pass' ELSE 'fail' END AS s FROM r CROSS JOIN t LEFT JOIN e ON e.report = r.report AND e.c = t.c)
-  SELECT report, CASE WHEN bool_or(s = 'fail') THEN 'no-go' WHEN bool_or(s = 'missing') THEN 'insufficient-evidence' ELSE 'go' END AS decision, coalesce(list_sort(list(c || ':' || s) FILTER (s <> 'pass')), []) AS reasons FROM j GROUP BY report""")
+  SELECT report, CASE WHEN bool_or(s = 'missing') THEN 'insufficient-evidence' WHEN bool_or(s = 'fail') THEN 'no-go' ELSE 'go' END AS decision, coalesce(list_sort(list(c || ':' || s) FILTER (s <> 'pass')), []) AS reasons FROM j GROUP BY report""")
 def gateway(df: DataFrame) -> DataFrame:
     report = F.concat_ws("/", "host", "version").alias("report")
     rows = [df.groupBy(report).agg(F.lit("latency_ms").alias("check"), F.max("latency_ms").alias("value")), df.groupBy(report).agg(F.lit("errors_mille").alias("check"), F.expr("count_if(outcome = 'error') * 1000 div count(*)").alias("value")), df.where("version <> '1.2'").groupBy(report).agg(F.lit("calls").alias("check"), F.count("*").alias("value"))]

@@ -25,7 +25,7 @@ def pairs(df: DataFrame) -> DataFrame:
 
 
 _OLD = """SELECT request_id, path, position, ordinal::INT AS ordinal FROM v_history o WHERE tool = 'read' AND NOT is_error AND NOT is_current AND EXISTS (SELECT 1 FROM v_history n WHERE n.request_id = o.request_id AND n.path = o.path AND n.tool = 'read' AND NOT n.is_error
-  AND lower(trim(n.output)) NOT IN ('done', 'no output', '(no output)') AND n.position > o.position AND (n.lo IS NULL OR (o.lo IS NOT NULL AND n.lo <= o.lo AND n.hi >= o.hi)))"""
+  AND lower(trim(n.output)) NOT IN ('command completed successfully with no output.', 'no output.', '(no output)') AND n.position > o.position AND (n.lo IS NULL OR (o.lo IS NOT NULL AND n.lo <= o.lo AND n.hi >= o.hi)))"""
 
 
 @query("jn2_superseded_reads", "v_history", sql=_OLD)

@@ -150,11 +150,8 @@ def bound(df: DataFrame) -> DataFrame:
 
 @query("top3_salvage_lines", "v_results")
 def salvaged(df: DataFrame) -> DataFrame:
-    """Telling lines of whole outputs, by class order, eight at most."""
-    told = F.transform(T.lines(F.col("output")), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
-    rank = lambda p: F.filter(told, lambda s: s.x.rlike(p))
-    severe, warn = rank(f"(?i){B.SEVERE.pattern}"), F.filter(told, lambda s: s.x.rlike(r"(?i)\bwarning\b") & ~s.x.rlike(f"(?i){B.SEVERE.pattern}"))
-    return df.select("result_id", F.transform(F.slice(F.concat(severe, warn), 1, 8), lambda s: s.i).alias("lines"))
+    """Telling lines of what a view of 4,096 bytes leaves out of each output."""
+    return B.salvage_lines(df, 2457, 1024)
 
 
 _SIZES = f"""SELECT result_id, regexp_extract(path, '\\.[a-z]+$') AS ext, ((strlen(output) + 3) // 4)::BIGINT AS before, ((least(strlen(output), {BUDGET.format(32768, 8192, 4096)}) + 3) // 4)::BIGINT AS after FROM (SELECT *, {_CLASS} AS c FROM v_results)"""
@@ -195,7 +192,7 @@ def search(df: DataFrame) -> DataFrame:
     return B.catalog_search(df.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("name"), "text"), "The tion of LICENSE, token 42")
 
 
-@query("txt9_useless_success", "v_history", sql="SELECT request_id, position, lower(trim(output)) = 'done' AS useless FROM v_history")
+@query("txt9_useless_success", "v_history", sql="SELECT request_id, position, lower(trim(output)) IN ('command completed successfully with no output.', 'no output.', '(no output)') AS useless FROM v_history")
 def useless(df: DataFrame) -> DataFrame:
     return df.select("request_id", "position", T.useless_success(F.col("output")).alias("useless"))
 
