@@ -49,7 +49,7 @@ VIEWS = {
     "v_history": """SELECT conv_id AS request_id, turn AS position, 0 AS ordinal, concat(cast(conv_id AS string), '-', cast(turn - CASE WHEN conv_id % 7 = 0 AND turn = 3 THEN 1 ELSE 0 END AS string)) AS call_id,
   CASE WHEN turn % 5 = 4 THEN 'bash' WHEN conv_id % 3 = 0 THEN 'grep' ELSE 'read' END AS tool, concat('src/f', cast(turn % 2 AS string), '.py') AS path,
   CASE WHEN turn % 3 <> 2 THEN turn * 10 % 40 END AS lo, CASE WHEN turn % 3 <> 2 THEN turn * 10 % 40 + 20 + turn END AS hi,
-  CASE WHEN turn % 4 = 1 THEN 'Done' WHEN conv_id % 5 = 0 THEN role ELSE text END AS output, turn % 11 = 10 AS is_error,
+  CASE WHEN turn % 4 = 1 THEN 'No output.' WHEN conv_id % 5 = 0 THEN role ELSE text END AS output, turn % 11 = 10 AS is_error,
   turn = max(turn) OVER (PARTITION BY conv_id) AS is_current FROM conversations""",
     "v_turns": """SELECT user_id AS session_id, turn, ts AS at, CASE WHEN k % 4 = 0 THEN 0 ELSE k * 10 END AS cached, CASE WHEN k % 5 = 0 THEN k * 20 ELSE 0 END AS cache_write,
   k * 30 AS prompt, cast(k DIV 60 AS string) AS tools_digest, cast(k DIV 80 AS string) AS system_digest, turn % 6 + k % 3 AS message_count, k DIV 70 AS branch, k % 8 <> 0 AS breakpoint
