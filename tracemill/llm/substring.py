@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from ._shared import versioned
 from ._words import Words, _slice, mix, read_words
 
+#: Bytes of text for each task that counts windows; the number of buckets follows the input.
+PART_BYTES = 64 << 20
 #: Bytes of text that one packing covers: equal strings inside it travel once.
 PACK = 16 << 20
 
@@ -261,8 +263,9 @@ def repeated_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     version numbers the distinct texts of a repeated id, 0 for an id with one row.
     """
     spark = docs.sparkSession
-    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
     slim = versioned(docs, doc_id, text).where("id is not null")
+    size = slim.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    parts = max(16, int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
     packed = slim.select("id", "version", "t").mapInArrow(_packer(n, m, 4 * parts), "bucket int, texts binary, places binary")
     dealt = packed.repartition(parts, "bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(_finder(n, m), "id long, version int, span long")
@@ -280,6 +283,6 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     """
     spans = repeated_spans(docs, doc_id, text, n, m).groupBy("id", "version").agg(F.collect_list("span").alias("spans"))
     slim = versioned(docs, doc_id, text)
-    joined = slim.join(spans.hint("shuffle_hash"), ["id", "version"], "left").select("id", "t", "spans")
+    joined = slim.join(spans, ["id", "version"], "left").select("id", "t", "spans")
     last = "kept_sha256" if digest else "kept_text"
     return joined.mapInArrow(_digest if digest else _remover, f"doc_id long, n_words long, n_removed long, {last} string")
