@@ -71,8 +71,10 @@ def bind(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def versioned(docs: DataFrame, doc_id: str, text: str, keep: bool = False) -> DataFrame:
-    """id, version, t, and with keep the whole row. Only where an id repeats are its rows numbered, equal texts alike; else version is 0."""
+def versioned(docs: DataFrame, doc_id: str, text: str, keep: bool = False, once: bool = False) -> DataFrame:
+    """id, version, t, and with keep the whole row. Only where an id repeats are its rows numbered, equal texts alike; else version is 0.
+
+    With once, rows with the same id and text come back as one."""
     more = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if keep else []
     slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("t"), *more)
     again = slim.where("id is not null").groupBy("id").count().where("count > 1").select("id")
@@ -80,5 +82,6 @@ def versioned(docs: DataFrame, doc_id: str, text: str, keep: bool = False) -> Da
         return slim.withColumn("version", F.lit(0))
     number = F.dense_rank().over(Window.partitionBy("id").orderBy(F.xxhash64("t"), "t")) - 1
     some = slim.join(again, "id", "left_semi").withColumn("version", number)
+    some = some.dropDuplicates(["id", "version"]) if once else some
     rest = slim.join(again, "id", "left_anti").withColumn("version", F.lit(0))
     return some.unionByName(rest)
