@@ -379,6 +379,13 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language.identify_language(documents(spark, [(1, "abc", None, None, None)])).collect()} == {"und"}
 
 
+def test_languages_in_blocks_give_the_same(spark):
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").unionByName(documents(spark, [*ODD, (9, "123 !?", "en", "s", 1)]))
+    whole, *blocks = [sorted(tuple(r) for r in language.identify_language(df, most_languages=k).collect() if r.doc_id is not None) for k in (1000, 1, 2, 3)]
+    for got in blocks:  # cosines are single precision, whose last digit follows the size of the block
+        assert [r[:3] for r in got] == [r[:3] for r in whole] and [r[3] for r in got] == pytest.approx([r[3] for r in whole], abs=1e-6)
+
+
 def test_language_encoding_is_a_sum_of_products():
     import numpy as np
 

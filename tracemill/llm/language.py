@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import Tables
+
 #: Letters with a small number; trigrams of these are counted in a table, others by sorting.
 _SMALL = 48
 
@@ -115,28 +117,29 @@ def language_prototypes(docs: DataFrame, text: str = "text", lang: str = "lang",
     return added.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", F.transform("v", lambda s: s.x).alias("vector"))
 
 
-def _judge(size: int, seed: int, names: list[str], prototypes: np.ndarray):
+def _judge(size: int, seed: int, names: list[str], prototypes: np.ndarray, last: bool):
+    """Rows with their best language so far -> with the best of these as well; the text goes on unless it is the last block."""
     norms = np.linalg.norm(prototypes, axis=1)
     units = (prototypes / np.maximum(norms, 1e-12)[:, None]).astype(np.float32)
 
     def judge(batches):
         encoder = Encoder(size, seed)
         for batch in batches:
-            lang, score = [], []
-            for text in _batches(batch.column(2)):
+            lang, best = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            for i, text in enumerate(_batches(batch.column(2)) if names else ()):
                 key, count = encoder.counts(text)
-                if not len(key) or not names:
-                    lang.append("und")
-                    score.append(0.0)
+                if not len(key):
                     continue
                 own = np.zeros(size, np.float32)
                 for at in range(0, len(key), 8192):
                     own += encoder.encode(key[at : at + 8192], count[at : at + 8192])
                 cosine = units @ own / max(float(np.linalg.norm(own)), 1e-12)
-                best = int(np.argmax(cosine))
-                lang.append(names[best])
-                score.append(min(1.0, max(0.0, float(cosine[best]))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(lang, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
+                top = int(np.argmax(cosine))
+                if float(cosine[top]) > best[i]:
+                    lang[i], best[i] = names[top], float(cosine[top])
+            carried = ["doc_id", "held_out"] if last else ["doc_id", "held_out", "t"]
+            columns = [*batch.columns[: len(carried)], pa.array(lang, pa.string()), pa.array(best, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, names=[*carried, "lang_pred", "cosine"])
 
     return judge
 
@@ -150,15 +153,25 @@ def identify_language(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     """doc_id, held_out, lang_pred, score for every row.
 
     Prototypes are learnt from the rows that are not held out and have a text and a language; a prediction sees the text alone. score is the cosine with the
-    best prototype, 0 at least. The prototypes, `size` numbers for each language, are read by the driver: over `most_languages` languages it raises.
+    best prototype, 0 at least. The driver reads the prototypes, `size` numbers for each language, in blocks of `most_languages`: each block is one
+    pass over the texts, and between two of them the rows are a table in the shared folder.
 
     Null texts and texts without letters, and all texts if nothing could be learnt, are `und` with score 0. Of equal cosines the
     language first by code point wins. A null id is not held out. Repeated rows count as often as they come. Other columns are not read.
     """
-    known = language_prototypes(docs.where(~held_out(F.col(doc_id))), text, lang, size, seed).orderBy("lang").limit(most_languages + 1).collect()
-    if len(known) > most_languages:
-        raise ValueError(f"more than {most_languages} languages")
-    prototypes = np.array([r.vector for r in known], np.float64).reshape(len(known), size)
     slim = docs.select(F.col(doc_id).alias("doc_id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).cast("string").alias("t"))
     kind = slim.schema["doc_id"].dataType.simpleString()
-    return slim.mapInArrow(_judge(size, seed, [r.lang for r in known], prototypes), f"doc_id {kind}, held_out boolean, lang_pred string, score double")
+    tables = Tables(docs.sparkSession)
+    learnt = tables.put(language_prototypes(docs.where(~held_out(F.col(doc_id))), text, lang, size, seed))
+    rows, rest, last = slim.withColumns({"lang_pred": F.lit("und"), "cosine": F.lit(-2.0)}), learnt, False
+    while not last:
+        known = rest.orderBy("lang").limit(most_languages).collect()
+        last = len(known) < most_languages
+        prototypes = np.array([r.vector for r in known], np.float64).reshape(len(known), size)
+        judge, carried = _judge(size, seed, [r.lang for r in known], prototypes, last), "" if last else "t string, "
+        before, rows = rows, rows.mapInArrow(judge, f"doc_id {kind}, held_out boolean, {carried}lang_pred string, cosine double")
+        if not last:
+            rows, rest = tables.put(rows), learnt.where(F.col("lang") > known[-1].lang)
+            tables.drop(before)
+    tables.drop(learnt)
+    return rows.select("doc_id", "held_out", "lang_pred", F.least(F.lit(1.0), F.greatest(F.lit(0.0), "cosine")).alias("score"))
