@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._shared import LOWER, UPPER
 from .classifier import classify_quality
 from .decontaminate import contaminated
 from .language import identify_language
 from .lines import drop_lines
+from .merkle import fold, leaf_digest, merkle_manifest, merkle_sql, siblings
 from .minhash import near_duplicates
 from .mixing import mix_sources, mixing_sql
 from .quality import quality_rules, quality_sql
@@ -68,6 +70,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op2_tokens": op2_tokens, "op7_classifier": op7_classifier, "op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring}
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest of documents, held against a copy in which a third of the texts are lower-cased."""
+    docs = _table(spark, sf_dir, "documents")
+    touched = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    text = F.when(touched, F.translate("text", UPPER, LOWER)).otherwise(F.col("text"))
+    rows = merkle_manifest(docs, keep={"claimed": leaf_digest([F.col("doc_id"), F.col("source"), F.col("lang"), F.col("n_chars"), text])})
+    out = rows.select("doc_id", "leaf", "subroot", "root", F.sha2(siblings(F.col("path")), 256).alias("proof_sha256"), fold(F.col("claimed"), F.col("path")).alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+QUERIES = {"op2_tokens": op2_tokens, "op7_classifier": op7_classifier, "op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op13_merkle": op13_merkle}
 _OUTCOMES = "SELECT url, quality = 0 OR toxic = 1 AS bad FROM pages JOIN labels ON doc_id = TRY_CAST(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/([0-9]+)$', 1) AS BIGINT)"
-SQL: dict[str, str] = {"op9_urls": filter_sql("SELECT * FROM pages", _OUTCOMES), "op1_mixing": mixing_sql(), "op3_quality": quality_sql()}
+SQL: dict[str, str] = {"op9_urls": filter_sql("SELECT * FROM pages", _OUTCOMES), "op1_mixing": mixing_sql(), "op3_quality": quality_sql(), "op13_merkle": merkle_sql()}
