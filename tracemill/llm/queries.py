@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._shared import LOWER, UPPER
+from ._shared import LOWER, UPPER, Tables
 from .classifier import classify_quality
 from .decontaminate import contaminated
 from .language import identify_language
@@ -12,6 +12,7 @@ from .merkle import fold, leaf_digest, merkle_manifest, merkle_sql, siblings
 from .minhash import near_duplicates
 from .mixing import mix_sources, mixing_sql
 from .quality import quality_rules, quality_sql
+from .records import write_records
 from .substring import remove_repeats
 from .tokens import count_tokens, read_vocabulary
 from .urls import filter_sql, filter_urls, url_path
@@ -19,6 +20,8 @@ from .urls import filter_sql, filter_urls, url_path
 #: A public vocabulary of pieces with scores, read by the driver. The file is a BPE model: its pieces and scores are taken as a unigram
 #: vocabulary, since no public unigram file is at hand and none is trained, so counts are those of that unigram model.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+#: A public byte-level tokenizer.
+TOKENIZER = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +73,16 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
+    """Documents written as binary records in the shared folder; the rows are those of the index, which is read from the files."""
+    if tokenizer is None:
+        import public_tokenizers
+
+        tokenizer = public_tokenizers.path(TOKENIZER)
+    index = write_records(_table(spark, sf_dir, "documents"), f"{Tables(spark).top}/records", tokenizer)
+    return index.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of documents, held against a copy in which a third of the texts are lower-cased."""
     docs = _table(spark, sf_dir, "documents")
@@ -80,6 +93,6 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {"op2_tokens": op2_tokens, "op7_classifier": op7_classifier, "op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op13_merkle": op13_merkle}
+QUERIES = {"op2_tokens": op2_tokens, "op7_classifier": op7_classifier, "op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op11_records": op11_records, "op13_merkle": op13_merkle}
 _OUTCOMES = "SELECT url, quality = 0 OR toxic = 1 AS bad FROM pages JOIN labels ON doc_id = TRY_CAST(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/([0-9]+)$', 1) AS BIGINT)"
 SQL: dict[str, str] = {"op9_urls": filter_sql("SELECT * FROM pages", _OUTCOMES), "op1_mixing": mixing_sql(), "op3_quality": quality_sql(), "op13_merkle": merkle_sql()}
