@@ -1,5 +1,7 @@
 """The registered queries of this subpackage: each applies one operator, with production parameters, to its whole table."""
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from .minhash import near_duplicates
 from .mixing import mix_sources, mixing_sql
 from .quality import quality_rules, quality_sql
 from .records import write_records
+from .repair import repair_conversations, repair_report
 from .substring import remove_repeats
 from .tokens import count_tokens, read_vocabulary
 from .urls import filter_sql, filter_urls, url_path
@@ -83,6 +86,28 @@ def op11_records(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return index.select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with a fifth of their rows dropped, emptied, cut, repeated or said by the user."""
+    key = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit(" ")), F.lit(":"), F.coalesce(F.col("turn").cast("string"), F.lit(" ")))
+    text, lot = F.coalesce("text", F.lit(" ")), F.crc32(key) % 20
+    text = F.when(lot == 1, "").when(lot == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(lot == 4, "user").otherwise(F.coalesce("role", F.lit(" ")))
+    copies = F.explode(F.when(lot == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.where(lot != 0).select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repair of damaged conversations; those without rows after the damage are there too."""
+    rows = _table(spark, sf_dir, "conversations")
+    broken = damaged(rows)
+    report = repair_report(repair_conversations(broken))
+    turns = broken.groupBy("conv_id", "turn").agg(F.count("*")).groupBy("conv_id").agg(F.max("turn").alias("last"), F.min("turn").alias("first"), F.count("turn").alias("n"))
+    gaps = turns.select(F.col("conv_id").alias("of"), F.coalesce(F.col("last") - F.col("first") + 1 - F.col("n"), F.lit(0)).cast("long").alias("gaps"))
+    out = rows.select("conv_id").distinct().join(gaps, F.col("conv_id").eqNullSafe(F.col("of")), "left").drop("of")
+    out = out.join(report.withColumnRenamed("conv_id", "of"), F.col("conv_id").cast("string").eqNullSafe(F.col("of")), "left").drop("of")
+    return out.na.fill({**dict.fromkeys(["gaps", "blank", "duplicate", "truncated", "illegal", "cost"], 0), "audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest of documents, held against a copy in which a third of the texts are lower-cased."""
     docs = _table(spark, sf_dir, "documents")
@@ -93,6 +118,6 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("verified", F.col("folded_root") == F.col("root"))
 
 
-QUERIES = {"op2_tokens": op2_tokens, "op7_classifier": op7_classifier, "op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op11_records": op11_records, "op13_merkle": op13_merkle}
+QUERIES = {"op2_tokens": op2_tokens, "op7_classifier": op7_classifier, "op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op11_records": op11_records, "op12_conversations": op12_conversations, "op13_merkle": op13_merkle}
 _OUTCOMES = "SELECT url, quality = 0 OR toxic = 1 AS bad FROM pages JOIN labels ON doc_id = TRY_CAST(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/([0-9]+)$', 1) AS BIGINT)"
 SQL: dict[str, str] = {"op9_urls": filter_sql("SELECT * FROM pages", _OUTCOMES), "op1_mixing": mixing_sql(), "op3_quality": quality_sql(), "op13_merkle": merkle_sql()}
