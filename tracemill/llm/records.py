@@ -7,6 +7,7 @@ and the ids. All numbers are little-endian.
 """
 
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -22,8 +23,9 @@ from ._shared import TIDY, Tables
 
 #: Bytes of text in a shard, and of text that a task has in hand at once; one longer text is a piece of its own.
 SHARD_BYTES, SLICE = 64 << 20, 4 << 20
-#: Distinct words whose ids a worker remembers; beyond, it starts anew.
+#: Distinct pieces after which a worker forgets those that it has not met since the last time.
 REMEMBERED = 300_000
+LETTER = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 HEAD, HEAD_SIZE = "<BBBxq", 12
 INDEX = "shard string, doc_id long, offset long, length long, start long, n_tokens long, ids_crc32 long"
 
@@ -88,23 +90,52 @@ def masked_crc32c(parts: list[bytes]) -> np.ndarray:
 class Encoder:
     """Ids of texts by a tokenizer that cuts texts into words before anything else, as byte-level ones with its pattern do.
 
-    A text is cut before each space that follows a character other than white space: there a word begins whatever stands around, so
-    the pieces have the ids that they have in the text. Each distinct piece is encoded once.
+    A text is cut where words end whatever stands around: before white space and ASCII marks that follow something else, and after a single
+    line end or tab. So the pieces have the ids that they have in the text, and each distinct piece is encoded once. Marks of special tokens
+    cut nothing.
     """
 
+    #: A space and one word: what a text of such pieces is cut into again at the tokens that start with a space.
+    PLAIN = re.compile(rb" [^\x00-\x20]+(?<!\xc2[\x85\xa0])(?<![\xe1-\xe3]..)", re.S)
+
     def __init__(self, tokenizer: str, end_id: int):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.end_id, self.known = Tokenizer.from_str(tokenizer), end_id, {}
+        self.tokenizer, self.end_id, self.known, self.older = Tokenizer.from_str(tokenizer), end_id, {}, {}
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.spaced = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.spaced[[k for t, k in vocabulary.items() if t.startswith("Ġ")]] = True
+        special = set("".join(t.content for t in self.tokenizer.get_added_tokens_decoder().values()))
+        self.mark = np.zeros(256, bool)
+        self.mark[[b for b in range(33, 127) if not chr(b).isalnum() and chr(b) not in special]] = True
 
     def pieces(self, words: list[bytes]) -> list[bytes]:
         """The ids of each piece, as little-endian 32-bit numbers."""
         if len(self.known) > REMEMBERED:
-            self.known.clear()
-        new = [w for w in words if w not in self.known]
-        for lo in range(0, len(new), 10_000):
-            some = new[lo : lo + 10_000]
+            self.known, self.older = {}, self.known
+        known, older = self.known, self.older
+        new = []
+        for w in words:
+            if w not in known:
+                if w in older:
+                    known[w] = older[w]
+                else:
+                    new.append(w)
+        plain, rest = [], []
+        for w in new:
+            (plain if self.PLAIN.fullmatch(w) else rest).append(w)
+        for lo in range(0, len(plain), 1000):
+            some = plain[lo : lo + 1000]
+            ids = np.array(self.tokenizer.encode(b"".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.spaced[ids])
+            if len(at) != len(some):
+                rest += some
+                continue
+            raw, bounds = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
+            self.known.update((w, raw[bounds[k] : bounds[k + 1]]) for k, w in enumerate(some))
+        for lo in range(0, len(rest), 10_000):
+            some = rest[lo : lo + 10_000]
             for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
                 self.known[w] = np.array(e.ids, "<u4").tobytes()
         return [self.known[w] for w in words]
@@ -127,7 +158,11 @@ class Encoder:
         back = lambda k: np.r_[np.zeros(min(k, len(data)), np.uint8), data[:-k]]
         one, two, three = back(1), back(2), back(3)
         wide = (two == 0xC2) & ((one == 0x85) | (one == 0xA0)) | (three == 0xE1) & (two == 0x9A) | (three == 0xE2) & ((two == 0x80) | (two == 0x81)) | (three == 0xE3) & (two == 0x80)
-        cut = (data == 32) & (one > 32) & ~wide
+        ended = (one > 32) & ~wide
+        cut = (data <= 32) & ended | self.mark[data] & LETTER[one]
+        single = (one >= 9) & (one <= 13) & (data > 32) & (data < 128)
+        single[1:] &= ended[:-1]
+        cut |= single
         cut[first] = True
         start = np.flatnonzero(cut)
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, len(data)].astype(np.int64)), pa.py_buffer(data)])
