@@ -1,7 +1,11 @@
 """Prompt-cache misses turn by turn, and where the bytes of a request go."""
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Why a turn missed, and what the bytes of a request are.
 CAUSES = ("cold-start", "tools-changed", "system-changed", "history-rewritten", "no-breakpoint", "below-minimum", "ttl-expired", "unexplained")
@@ -89,10 +93,35 @@ def footprint_by_category(segments: DataFrame, bodies: DataFrame) -> DataFrame:
     return d.select("request_id", *[F.col(c).alias(c.replace("-", "_")) for c in CATEGORIES], "segments", "body_bytes", F.ceil(F.col("body_bytes") / 4).cast("long").alias("tokens"), status.alias("status"))
 
 
+_USAGE_KEY = re.compile(r'"usage"\s*:')
+#: A string, to the end of the text if it is not closed, or a brace.
+_TOKEN = re.compile(r'"(?:[^"\\]|\\.)*(?:"|\Z)|[{}]', re.S)
+
+
+def _usage_objects(text: str | None) -> list[str]:
+    """The objects after each key usage, braces balanced outside of strings; those that do not end are left out."""
+    out = []
+    for key in _USAGE_KEY.finditer(text or ""):
+        start, depth = text.find("{", key.end()), 0
+        for token in _TOKEN.finditer(text, start) if start >= 0 else ():
+            depth += {"{": 1, "}": -1}.get(token[0], 0)
+            if depth == 0:
+                out.append(text[start : token.end()])
+                break
+    return out
+
+
+@F.pandas_udf(ArrayType(StringType()))
+def usage_objects(text: pd.Series) -> pd.Series:
+    return text.map(_usage_objects)
+
+
 def extract_usage(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds usage: every flat "usage":{...} object of a streamed answer merged, later keys winning."""
-    found = F.regexp_extract_all(F.col(text), F.lit(r'"usage"\s*:\s*(\{[^{}]*\})'), 1)
+    """Adds usage: the "usage": {...} objects of a streamed answer, of any depth, merged key by key; later ones win, nested values stay JSON.
+
+    Broken objects are left out; a text without any has an empty map, and so has null. An object is looked for after each key, also inside another.
+    """
+    found = F.filter(F.col("_found"), lambda x: F.try_parse_json(x).isNotNull())
     maps = F.transform(found, lambda x: F.from_json(x, "map<string,string>"))
-    entries = lambda m: F.map_entries(m)
-    merged = F.aggregate(maps, F.create_map().cast("map<string,string>"), lambda a, m: F.map_from_entries(F.concat(F.filter(entries(a), lambda e: ~F.map_contains_key(m, e.key)), entries(m))))
-    return df.withColumn("usage", merged)
+    merged = F.aggregate(maps, F.create_map().cast("map<string,string>"), lambda a, m: F.map_from_entries(F.concat(F.filter(F.map_entries(a), lambda e: ~F.map_contains_key(m, e.key)), F.map_entries(m))))
+    return df.withColumn("_found", usage_objects(F.col(text))).withColumn("usage", merged).drop("_found")

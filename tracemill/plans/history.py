@@ -149,6 +149,17 @@ def usage(df: DataFrame) -> DataFrame:
     return d.select("session_id", "turn_no", d.usage["input_tokens"].alias("input_tokens"), d.usage["output_tokens"].alias("output_tokens"))
 
 
+@query("jsn6_extract_nested_usage", "v_usage", sql="""SELECT session_id, turn_no, prompt::VARCHAR AS input_tokens, output::VARCHAR AS output_tokens,
+  '{"cached":' || cached || ',"by":{"kind":"a}b"}}' AS details FROM v_usage""")
+def nested_usage(df: DataFrame) -> DataFrame:
+    """Objects in objects, braces and quotes in strings, a key that a later event replaces, an event cut off at the end."""
+    s = lambda c: F.col(c).cast("string")
+    first = F.concat(F.lit('event: start\ndata: {"message":{"note":"say \\"usage\\": {","usage":{"input_tokens":'), s("prompt"), F.lit(',"details":{"cached":0},"output_tokens":1}}}\n\n'))
+    last = F.concat(F.lit('data: {"usage" : {"details":{"cached":'), s("cached"), F.lit(',"by":{"kind":"a}b"}},"output_tokens":'), s("output"), F.lit('}}\n\ndata: {"usage":{"output_tokens":"cut'))
+    d = C.extract_usage(df.withColumn("text", F.concat(first, last)))
+    return d.select("session_id", "turn_no", *[d.usage[k].alias(k) for k in ("input_tokens", "output_tokens", "details")])
+
+
 _SEGMENTS = "(SELECT conv_id AS request_id, turn AS seq, CASE role WHEN 'user' THEN 'user-prompt' WHEN 'system' THEN 'host-instructions' ELSE 'history' END AS category, strlen(text)::BIGINT AS bytes, sum(strlen(text)) OVER (PARTITION BY conv_id)::BIGINT - conv_id % 5 * 40 + 60 AS body_bytes FROM conversations)"
 
 

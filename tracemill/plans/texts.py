@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.shell import classify_shell_call
+from ..functions.structured import redact_structured
 from ..functions.numbers import canonical_json, digest, estimate_tokens
 from ..operators import bounding as B
 from ..operators.summaries import summary_ok
@@ -43,6 +45,16 @@ def shell(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.classify_shell(F.col("command")).alias("kind"))
 
 
+@query("prj11_shell_routes", "v_results", sql="""SELECT result_id, CASE WHEN k IN (0, 1, 4) THEN 'eligible' ELSE 'bypassed' END AS status, CASE WHEN k IN (0, 1, 4) THEN 'read' END AS route,
+  CASE k WHEN 2 THEN 'ambiguous-shell' WHEN 3 THEN 'unsupported-shell' END AS reason, CASE k WHEN 0 THEN workspace || '.py' WHEN 1 THEN workspace || '.json' WHEN 4 THEN workspace || '.py' END AS path,
+  (CASE WHEN k IN (1, 4) THEN 1 END)::BIGINT AS start_line, (CASE k WHEN 1 THEN 20 WHEN 4 THEN 5 END)::BIGINT AS end_line FROM (SELECT *, result_id % 5 AS k FROM v_results)""")
+def shell_routes(df: DataFrame) -> DataFrame:
+    """Each command plainly, or as the text of sh -c, without wrapping."""
+    argv = F.when(F.col("result_id") % 2 == 0, F.to_json(F.struct("command"))).otherwise(F.to_json(F.struct(F.array(F.lit("/bin/bash"), F.lit("-lc"), F.col("command")).alias("command"))))
+    d = df.select("result_id", classify_shell_call(F.lit("Bash"), argv, F.lit("/work"), wrap=False).alias("d"))
+    return d.select("result_id", *[f"d.{c}" for c in ("status", "route", "reason", "path", "start_line", "end_line")])
+
+
 @query("prj12_readonly_filter", "v_results", sql="SELECT result_id, command FROM v_results WHERE regexp_matches(command, '^(cat|sed -n|head) ')")
 def readonly(df: DataFrame) -> DataFrame:
     return df.where(T.readonly_command(F.col("command"))).select("result_id", "command")
@@ -80,11 +92,12 @@ def redact_all(df: DataFrame) -> DataFrame:
 
 @query("txt1_redaction_counts", "v_results")
 def redaction_counts(df: DataFrame) -> DataFrame:
-    return df.select("result_id", T.count_redactions(F.col("output"), ("token",)).alias("redactions"), F.octet_length(T.redact(F.col("output"), ("token",))).alias("bytes"))
+    done = df.select("result_id", T.redaction(F.col("output"), ("token",)).alias("r"))
+    return done.select("result_id", F.col("r.n").alias("redactions"), F.octet_length("r.text").alias("bytes"))
 
 
 @query("txt2_redact_structured", "v_results")
-def redact_structured(df: DataFrame) -> DataFrame:
+def redact_records(df: DataFrame) -> DataFrame:
     """Every string leaf of a nested record, keys kept."""
     rec = df.select("result_id", F.struct(F.struct("output", "path").alias("result"), F.array("command", "output").alias("parts"), F.create_map(F.lit("text"), "output").alias("more")).alias("r"))
     clean = lambda c: T.redact(c, ("token",))
@@ -92,6 +105,14 @@ def redact_structured(df: DataFrame) -> DataFrame:
     return rec.select("result_id", F.sha2(F.to_json(out), 256).alias("digest"))
 
 
+@query("txt2_redact_json", "v_results")
+def redact_nested(df: DataFrame) -> DataFrame:
+    """Every text of the table as a string deep inside JSON, redacted by a walk that knows nothing of the shape."""
+    deep = F.to_json(F.struct("tool", F.array(F.struct(F.col("path").alias("token"), F.map_from_arrays(F.array("path"), F.array(F.array("output", "command"))).alias("by_path"))).alias("calls"), F.to_json(F.struct("output")).alias("log")))
+    done = redact_structured(df.select("result_id", deep.alias("record")), "record", ("token",), json=True)
+    return done.select("result_id", "redactions", F.sha2("record", 256).alias("digest"), F.octet_length("record").alias("bytes"))
+
+
 @query("txt3_truncate_utf8", "v_results", sql="""WITH n AS (SELECT result_id, output, list_max(list_filter(range(0, 101), lambda k: strlen(left(output, k)) <= 100)) AS k FROM v_results)
   SELECT result_id, left(output, k) AS head FROM n""")
 def truncate(df: DataFrame) -> DataFrame:
