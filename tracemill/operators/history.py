@@ -31,40 +31,80 @@ def detect_provider(v: Column) -> Column:
     return F.when(a & ~c & ~r, "anthropic").when(c & ~a & ~r, "openai-chat").when(r & ~a & ~c, "openai-responses")
 
 
+ITEM = "struct<position:int,ordinal:int,kind:string,call_id:string,tool:string,input:string,output:string,is_error:boolean,status:string,is_current:boolean,failed:boolean,ok:boolean>"
+
+
+def _string(x: Column, path: str) -> Column:
+    return F.try_variant_get(x, path, "string")
+
+
+def _list(x: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(x, path, "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _item(position: Column, ordinal: Column, is_call: Column | bool, call_id: Column, is_current: Column | bool, x: Column, tool: Column | None = None, tool_input: Column | None = None, output: Column | None = None, is_error: Column | None = None) -> Column:
+    """One ITEM. failed and ok tell what flags of a result say beside its text; status and the like are looked up in x."""
+    lit = lambda v: v if isinstance(v, Column) else F.lit(v)
+    text = lambda v: F.lit(None).cast("string") if v is None else v
+    is_call, status = lit(is_call), _string(x, "$.status")
+    error = F.lit(False) if is_error is None else is_error
+    failed = error | F.try_variant_get(x, "$.error", "variant").isNotNull() | F.coalesce(status.isin("error", "failed"), F.lit(False))
+    ok = F.coalesce(F.try_variant_get(x, "$.ok", "boolean"), F.lit(False)) | F.coalesce(status.isin("completed", "success", "succeeded"), F.lit(False))
+    fields = [position, ordinal, F.when(is_call, "call").otherwise("result"), call_id, text(tool), text(tool_input), text(output), error, status, lit(is_current), failed, ok]
+    return F.struct(*[f.alias(f"c{k}") for k, f in enumerate(fields)]).cast(ITEM)
+
+
+def _anthropic_items(messages: Column) -> Column:
+    def of_message(m: Column, i: Column) -> Column:
+        def of_part(x: Column, k: Column) -> Column:
+            kind = _string(x, "$.type")
+            error = F.coalesce(F.try_variant_get(x, "$.is_error", "boolean"), F.lit(False))
+            item = _item(i, k, kind == "tool_use", F.coalesce(_string(x, "$.tool_use_id"), _string(x, "$.id")), i == F.size(messages) - 1, x, _string(x, "$.name"), F.to_json(F.try_variant_get(x, "$.input", "variant")), _text(x, "$.content"), error)
+            return F.when(kind.isin("tool_use", "tool_result"), item)
+
+        return F.array_compact(F.transform(_list(m, "$.content"), of_part))
+
+    return F.flatten(F.transform(messages, of_message))
+
+
+def _chat_items(messages: Column) -> Column:
+    is_result = lambda m: _string(m, "$.role") == "tool"
+
+    def calls(m: Column, i: Column) -> Column:
+        return F.transform(_list(m, "$.tool_calls"), lambda x, k: _item(i, k, True, _string(x, "$.id"), False, x, _string(x, "$.function.name"), _string(x, "$.function.arguments")))
+
+    def results(last: Column) -> Column:
+        return F.array_compact(F.transform(messages, lambda m, i: F.when(is_result(m), _item(i, F.lit(0), False, _string(m, "$.tool_call_id"), i > last, m, output=_text(m, "$.content")))))
+
+    last = F.coalesce(F.array_max(F.transform(messages, lambda m, i: F.when(~is_result(m), i))), F.lit(-1))
+    return F.concat(F.flatten(F.transform(messages, calls)), T.bind(last, results))
+
+
+def _response_items(items: Column) -> Column:
+    is_call = lambda x: _string(x, "$.type").isin("function_call", "custom_tool_call")
+
+    def found(last: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            error = F.coalesce(F.try_variant_get(x, "$.is_error", "boolean"), F.lit(False))
+            item = _item(i, F.lit(0), is_call(x), _string(x, "$.call_id"), ~is_call(x) & (i > last), x, _string(x, "$.name"), F.coalesce(_string(x, "$.arguments"), _string(x, "$.input")), _text(x, "$.output"), error)
+            return F.when(is_call(x) | _string(x, "$.type").isin("function_call_output", "custom_tool_call_output"), item)
+
+        return F.array_compact(F.transform(items, one))
+
+    return T.bind(F.coalesce(F.array_max(F.transform(items, lambda x, i: F.when(is_call(x), i))), F.lit(-1)), found)
+
+
+def body_items(v: Column, provider: Column) -> Column:
+    """Array of ITEM: the calls and results of a parsed body, whatever its shape. Nothing is shuffled, and the body is read once."""
+    found = F.when(provider == "anthropic", T.bind(_list(v, "$.messages"), _anthropic_items)).when(provider == "openai-chat", T.bind(_list(v, "$.messages"), _chat_items))
+    return found.when(provider == "openai-responses", T.bind(_list(v, "$.input"), _response_items))
+
+
 def collect_items(df: DataFrame, request_id: str = "request_id", body: str = "body") -> DataFrame:
-    """request_id, provider, position, ordinal, kind, call_id, tool, input, output, is_error, status, is_current: calls and results of all three request shapes."""
+    """request_id, provider, and the fields of ITEM: calls and results of all three request shapes, one row each; broken bodies have none."""
     v = df.select(F.col(request_id).alias("request_id"), F.try_parse_json(F.col(body)).alias("v"))
     v = v.withColumn("provider", detect_provider(F.col("v"))).where("provider is not null")
-    s = lambda x, p: F.try_variant_get(x, p, "string")
-    m = v.where("provider <> 'openai-responses'").select("request_id", "provider", F.posexplode(F.try_variant_get("v", "$.messages", "array<variant>")).alias("position", "m"), F.size(F.try_variant_get("v", "$.messages", "array<variant>")).alias("n"))
-    m = m.withColumn("last_plain", F.max(F.when(s(F.col("m"), "$.role") != "tool", F.col("position"))).over(Window.partitionBy("request_id")))
-    a = m.where("provider = 'anthropic'").select("request_id", "provider", "position", "n", F.posexplode(F.try_variant_get("m", "$.content", "array<variant>")).alias("ordinal", "x"))
-    none = F.lit(None).cast("string")
-    x = F.col("x")
-    a = a.where(s(x, "$.type").isin("tool_use", "tool_result")).select(
-        "request_id", "provider", "position", "ordinal", F.when(s(x, "$.type") == "tool_use", "call").otherwise("result").alias("kind"), F.coalesce(s(x, "$.tool_use_id"), s(x, "$.id")).alias("call_id"),
-        s(x, "$.name").alias("tool"), F.to_json(F.try_variant_get(x, "$.input", "variant")).alias("input"), _text(x, "$.content").alias("output"), F.coalesce(F.try_variant_get(x, "$.is_error", "boolean"), F.lit(False)).alias("is_error"),
-        none.alias("status"), (F.col("position") == F.col("n") - 1).alias("is_current"),
-    )
-    c = m.where("provider = 'openai-chat'")
-    calls = c.select("request_id", "provider", "position", F.posexplode(F.try_variant_get("m", "$.tool_calls", "array<variant>")).alias("ordinal", "x")).select(
-        "request_id", "provider", "position", "ordinal", F.lit("call").alias("kind"), s(x, "$.id").alias("call_id"), s(x, "$.function.name").alias("tool"), s(x, "$.function.arguments").alias("input"), none.alias("output"),
-        F.lit(False).alias("is_error"), none.alias("status"), F.lit(False).alias("is_current"),
-    )
-    y = F.col("m")
-    results = c.where(s(y, "$.role") == "tool").select(
-        "request_id", "provider", "position", F.lit(0).alias("ordinal"), F.lit("result").alias("kind"), s(y, "$.tool_call_id").alias("call_id"), none.alias("tool"), none.alias("input"), _text(y, "$.content").alias("output"),
-        F.lit(False).alias("is_error"), s(y, "$.status").alias("status"), (F.col("position") > F.coalesce("last_plain", F.lit(-1))).alias("is_current"),
-    )
-    r = v.where("provider = 'openai-responses'").select("request_id", "provider", F.posexplode(F.try_variant_get("v", "$.input", "array<variant>")).alias("position", "x")).withColumn("type", s(x, "$.type"))
-    is_call = F.col("type").isin("function_call", "custom_tool_call")
-    r = r.withColumn("last_call", F.max(F.when(is_call, F.col("position"))).over(Window.partitionBy("request_id")))
-    r = r.where(is_call | F.col("type").isin("function_call_output", "custom_tool_call_output")).select(
-        "request_id", "provider", "position", F.lit(0).alias("ordinal"), F.when(is_call, "call").otherwise("result").alias("kind"), s(x, "$.call_id").alias("call_id"), s(x, "$.name").alias("tool"),
-        F.coalesce(s(x, "$.arguments"), s(x, "$.input")).alias("input"), _text(x, "$.output").alias("output"), F.coalesce(F.try_variant_get(x, "$.is_error", "boolean"), F.lit(False)).alias("is_error"), s(x, "$.status").alias("status"),
-        (~is_call & (F.col("position") > F.coalesce("last_call", F.lit(-1)))).alias("is_current"),
-    )
-    return a.unionByName(calls).unionByName(results).unionByName(r)
+    return v.select("request_id", "provider", F.explode(body_items(F.col("v"), F.col("provider"))).alias("i")).select("request_id", "provider", "i.*")
 
 
 def pair_calls(calls: DataFrame, results: DataFrame, key: str = "request_id") -> DataFrame:
@@ -151,8 +191,8 @@ def judge_pairs(pairs: DataFrame, judge, on: list[str]) -> DataFrame:
 def compact_history(df: DataFrame, budget: int | None = None, superseded: str = "[superseded by a later read]", useless: str = "[no output]", duplicate: str = "[same as a later result]") -> DataFrame:
     """request_id, position, ordinal, output, reason: each result after the stages superseded, useless, duplicate, repeated lines and shake, in this order.
 
-    Later stages see what earlier ones left. Current results and errors stay. Shake runs only where the request is over its budget. Every step is
-    keyed by request, so one exchange on it serves them all; outputs are compared by digest.
+    Later stages see what earlier ones left. Current results and errors stay. Shake runs only where the request is over its budget. Outputs are
+    compared by digest. For whole requests, with archive and cache guard, see compaction.compact_requests().
     """
     key = ["request_id", "position", "ordinal"]
     old = superseded_reads(df).select(*key).withColumn("old_", F.lit(True))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import estimate_tokens
 from ..operators import artifacts as A
 from ..operators import cache as C
+from ..operators import compaction as K
 from ..operators import history as H
 from ..operators.telemetry import footprint_telemetry
 from .registry import query
@@ -130,6 +131,53 @@ def items(df: DataFrame) -> DataFrame:
     return H.collect_items(bodies(df)).select("request_id", "position", "kind", "call_id", "output", "is_current")
 
 
+def agent_requests(df: DataFrame) -> DataFrame:
+    """A request for each conversation: every turn is a call, of Read (whole files and ranges of two) or Bash, and its result."""
+    k = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
+    d = df.withColumn("k", k)
+    bash, whole, call = F.col("k") % 5 == 4, F.col("k") % 3 == 2, F.concat(F.lit("c"), F.col("k").cast("string"))
+    given = F.when(bash, F.struct(F.lit("make").alias("command"), F.lit(None).cast("string").alias("path"), F.lit(None).cast("int").alias("start_line"), F.lit(None).cast("int").alias("end_line")))
+    path = F.concat(F.lit("src/f"), (F.col("k") % 2).cast("string"), F.lit(".py"))
+    span = lambda x: F.when(~whole, x).cast("int")
+    given = given.otherwise(F.struct(F.lit(None).cast("string").alias("command"), path.alias("path"), span(F.col("k") * 10 % 40).alias("start_line"), span(F.col("k") * 10 % 40 + 20 + F.col("k")).alias("end_line")))
+    output = F.when(F.col("k") % 4 == 1, "No output.").when(F.col("conv_id") % 5 == 0, F.concat("role", F.lit(" said nothing that is of any use here"))).otherwise(F.col("text"))
+    use = F.struct(F.lit("tool_use").alias("type"), call.alias("id"), F.when(bash, "Bash").otherwise("Read").alias("name"), given.alias("input"), F.lit(None).cast("string").alias("tool_use_id"), F.lit(None).cast("string").alias("content"))
+    result = F.struct(F.lit("tool_result").alias("type"), F.lit(None).cast("string").alias("id"), F.lit(None).cast("string").alias("name"), F.lit(None).cast(given_type).alias("input"), call.alias("tool_use_id"), output.alias("content"))
+    turn = F.array(F.struct(F.lit("assistant").alias("role"), F.array(use).alias("content")), F.struct(F.lit("user").alias("role"), F.array(result).alias("content")))
+    rows = d.groupBy("conv_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", turn.alias("t")))), lambda s: s.t)).alias("messages"))
+    return rows.select(F.col("conv_id").alias("request_id"), F.to_json(F.struct("messages")).alias("body"))
+
+
+given_type = "struct<command:string,path:string,start_line:int,end_line:int>"
+_AGENT = """WITH t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations),
+  c AS (SELECT conv_id, k, k % 5 = 4 AS bash, k % 2 AS path, CASE WHEN k % 3 <> 2 THEN k * 10 % 40 END AS lo, CASE WHEN k % 3 <> 2 THEN k * 10 % 40 + 20 + k END AS hi, k = n - 1 AS cur,
+    CASE WHEN k % 4 = 1 THEN 'No output.' WHEN conv_id % 5 = 0 THEN role || ' said nothing that is of any use here' ELSE text END AS output FROM t),
+  e AS (SELECT *, regexp_matches(output, '(?i)^\\s*(error|failed|failure)\\b') AS bad, output = 'No output.' AS useless FROM c),
+  s AS (SELECT *, NOT bash AND NOT cur AND NOT bad AND EXISTS (SELECT 1 FROM e x WHERE x.conv_id = e.conv_id AND NOT x.bash AND x.path = e.path AND NOT x.bad AND NOT x.useless AND x.k > e.k AND (x.lo IS NULL OR (e.lo IS NOT NULL AND x.lo <= e.lo AND x.hi >= e.hi))) AS old FROM e),
+  u AS (SELECT *, NOT old AND NOT cur AND NOT bad AND useless AS none FROM s),
+  v AS (SELECT *, CASE WHEN old THEN '[superseded by a newer read]' WHEN none THEN '[useless success left out]' ELSE output END AS now FROM u),
+  w AS (SELECT *, row_number() OVER (PARTITION BY conv_id, bash, CASE WHEN NOT bash THEN path END, CASE WHEN NOT bash THEN lo END, CASE WHEN NOT bash THEN hi END, now, bad ORDER BY k DESC) > 1 AND NOT cur AND NOT bad AND strlen(to_json([now])::VARCHAR) > 28 AS dup FROM v)
+  SELECT conv_id AS request_id, count_if(old) AS superseded_read, count_if(none) AS useless_success, count_if(dup) AS duplicate_history,
+    (sum(CASE WHEN old OR none THEN strlen(output) ELSE 0 END) + sum(CASE WHEN dup THEN strlen(now) ELSE 0 END))::BIGINT AS told_bytes,
+    (sum(CASE WHEN old THEN 28 WHEN none THEN 26 ELSE 0 END) + sum(CASE WHEN dup THEN 24 ELSE 0 END))::BIGINT AS shown_bytes FROM w GROUP BY conv_id"""
+
+
+@query("agg25_request_stats", "conversations", sql=_AGENT)
+def request_stats(df: DataFrame) -> DataFrame:
+    """Superseded, empty and duplicate results of whole requests; nothing is cached here, so the guard holds nothing back."""
+    policy = K.Policy(stages=frozenset({"superseded-read", "useless-success", "duplicate-history"}), duplicate="[same as a newer answer]")
+    stats = K.compaction_stats(K.compact_requests(K.request_results(agent_requests(df)), policy))
+    return stats.select("request_id", "superseded_read", "useless_success", "duplicate_history", "told_bytes", "shown_bytes")
+
+
+@query("pipe_compact_requests", "conversations")
+def compacted_requests(df: DataFrame) -> DataFrame:
+    """All stages with a budget of tokens and the guard, every other request with a cache mark."""
+    marked = F.when(F.col("request_id") % 2 == 0, F.regexp_replace("body", r"\}\]\}\]\}$", ',"cache_control":{"type":"ephemeral"}}]}]}')).otherwise(F.col("body"))
+    rows = K.compact_requests(K.request_results(agent_requests(df).withColumn("body", marked)), K.Policy(budget=100, stages=frozenset(K.STAGES), archive_bytes=400, percent=30))
+    return K.compaction_stats(rows)
+
+
 @query("jsn3_classify_context", "conversations")
 def segments(df: DataFrame) -> DataFrame:
     return C.classify_context(bodies(df))
