@@ -1,7 +1,12 @@
 """Conversation history: calls and results, what later ones make needless, and what a rewrite may touch."""
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions import text as T
 from ..functions.numbers import estimate_tokens
@@ -188,6 +193,59 @@ def judge_pairs(pairs: DataFrame, judge, on: list[str]) -> DataFrame:
     return keyed.join(once, "cache_key").select(*on, "probability", F.when(F.col("probability").isNull(), "fallback").otherwise("judged").alias("status"))
 
 
+def guarded_judge(judge: Callable[[pd.Series, pd.Series], pd.Series]):
+    """A user's function of originals and previews as a UDF that never fails: struct(probability, reason).
+
+    Where a batch raises, its rows are tried one by one, so that one bad pair does not take others with it. reason: judge-error, or invalid-response for what is no number from 0 to 1.
+    """
+
+    def rows(original: pd.Series, preview: pd.Series) -> pd.DataFrame:
+        def some(lo: int, hi: int) -> list:
+            try:
+                out = list(judge(original.iloc[lo:hi], preview.iloc[lo:hi]))
+                if len(out) != hi - lo:
+                    raise ValueError("one answer a pair")
+                return out
+            except Exception:  # noqa: BLE001  whatever a user's function raises is a failed answer
+                return [_FAILED] if hi - lo == 1 else [x for k in range(lo, hi) for x in some(k, k + 1)]
+
+        def told(x) -> tuple:
+            if x is _FAILED:
+                return None, "judge-error"
+            good = isinstance(x, (int, float, np.number)) and not isinstance(x, bool) and 0 <= x <= 1
+            return (float(x), None) if good else (None, "invalid-response")
+
+        return pd.DataFrame([told(x) for x in some(0, len(original))], columns=["probability", "reason"])
+
+    return F.pandas_udf(rows, StructType().add("probability", "double").add("reason", "string"))
+
+
+_FAILED = object()
+
+
+def judge_within_budget(pairs: DataFrame, judge: Callable[[pd.Series, pd.Series], pd.Series], on: list[str], budget: int = 20, least_tokens: int = 0, threshold: float = 0.7) -> DataFrame:
+    """on, status, reason, probability, verdict for each pair (original, preview, is_current, is_error): a global budget of calls, and no failure of the judge fails the job.
+
+    skipped: current-result, error-result, below-threshold (fewer tokens than least_tokens). Equal pairs are one call; the first `budget` of them, in the order of `on`, are judged: loss from the
+    threshold on, else preserved. fallback: budget, judge-error, invalid-response. A null text is judged as an empty one.
+
+    Calls are granted in two steps, the first of each task and then of all, over keys only: texts are joined to those granted.
+    """
+    skip = F.when(F.col("is_current"), "current-result").when(F.col("is_error"), "error-result").when(estimate_tokens(F.coalesce("original", F.lit(""))) < least_tokens, "below-threshold")
+    texts = [F.coalesce(c, F.lit("")).alias(c) for c in ("original", "preview")]
+    keyed = pairs.select(*on, *texts, skip.alias("skip"), F.sha2(F.concat(F.length(texts[0]).cast("string"), F.lit(":"), *texts), 256).alias("key_"))
+    able = keyed.where("skip is null")
+    firsts = able.groupBy("key_").agg(F.min(F.struct(*on)).alias("place_"))
+    granted = firsts.orderBy("place_", "key_").limit(budget).select(F.col("key_").alias("of_"), "place_")
+    asked = able.join(granted, (F.col("key_") == F.col("of_")) & (F.struct(*on) == F.col("place_"))).select("key_", "original", "preview").dropDuplicates(["key_"])
+    answers = asked.select("key_", guarded_judge(judge)("original", "preview").alias("a")).select("key_", "a.*")
+    out = keyed.join(answers.withColumn("asked_", F.lit(True)), "key_", "left")
+    status = F.when(F.col("skip").isNotNull(), "skipped").when(F.col("probability").isNotNull(), "judged").otherwise("fallback")
+    reason = F.coalesce("skip", F.when(F.col("asked_").isNull(), "budget").otherwise(F.col("reason")))
+    probability = F.when(F.col("skip").isNull(), F.col("probability"))
+    return out.select(*on, status.alias("status"), reason.alias("reason"), probability.alias("probability"), F.when(probability >= threshold, "loss").when(probability < threshold, "preserved").alias("verdict"))
+
+
 def compact_history(df: DataFrame, budget: int | None = None, superseded: str = "[superseded by a later read]", useless: str = "[no output]", duplicate: str = "[same as a later result]") -> DataFrame:
     """request_id, position, ordinal, output, reason: each result after the stages superseded, useless, duplicate, repeated lines and shake, in this order.
 

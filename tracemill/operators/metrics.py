@@ -13,6 +13,29 @@ def merge_ledgers(df: DataFrame) -> DataFrame:
     return g.select("r.*", (F.col("n") - 1).alias("replays"), (F.col("lo") != F.col("hi")).alias("conflict"))
 
 
+def merge_receipts(df: DataFrame) -> DataFrame:
+    """A ledger of two identities, merged in order: snapshot rows, then the journal by seq. Kept rows, with replays and conflict.
+
+    Rows: event_key, host, receipt_digest, snapshot, seq and any others. A row whose key starts with event: is kept if its key is new. Any other is left out once a kept row of
+    its (host, receipt_digest) has come, whatever its key; else it is kept if its key is new. replays: later rows of the key that were not left out for their receipt;
+    conflict: one of them differs in more than at, seq and snapshot. Null hosts and receipts are values like others; equal seq are taken by content.
+
+    Both identities are reduced to their first rows before they meet, so that a key with very many rows is one row in the join.
+    """
+    content = F.sha2(F.to_json(F.struct(*[c for c in df.columns if c not in ("at", "seq", "snapshot")]), {"ignoreNullFields": "false"}), 256)
+    d = df.withColumn("sig_", content).withColumn("place_", F.struct((~F.col("snapshot")).alias("journal"), "seq", "sig_"))
+
+    def firsts(rows: DataFrame, *by: str) -> DataFrame:
+        return rows.groupBy(*by).agg(F.min_by(F.struct(*rows.columns), F.col("place_")).alias("r"), F.count("*").alias("n"), F.min("sig_").alias("lo"), F.max("sig_").alias("hi"))
+
+    events = firsts(d.where(F.col("event_key").startswith("event:")), "event_key")
+    seen = events.groupBy(F.col("r.host").alias("h_"), F.col("r.receipt_digest").alias("d_")).agg(F.min("r.place_").alias("seen_"))
+    others = firsts(d.where(~F.col("event_key").startswith("event:")), "host", "receipt_digest").select("r.*")
+    others = others.join(seen, F.col("host").eqNullSafe(F.col("h_")) & F.col("receipt_digest").eqNullSafe(F.col("d_")), "left")
+    others = firsts(others.where("seen_ is null or place_ < seen_").select(d.columns), "event_key")
+    return events.unionByName(others).select(*[F.col(f"r.{c}").alias(c) for c in df.columns], (F.col("n") - 1).alias("replays"), (F.col("lo") != F.col("hi")).alias("conflict"))
+
+
 def _with_savings(df: DataFrame) -> DataFrame:
     return df.withColumn("savings", F.col("input_tokens") - F.col("inline_tokens")).withColumn("session_", F.coalesce("session_id", F.lit("<unknown>")))
 
@@ -35,9 +58,10 @@ def average_by_session(df: DataFrame) -> DataFrame:
     return s.groupBy("host").agg(F.count("*").alias("sessions"), F.floor(F.sum("savings") / F.count("*")).cast("long").alias("average_savings"))
 
 
-def metrics_by_period(df: DataFrame, zone: str = "UTC") -> DataFrame:
+def metrics_by_period(df: DataFrame, zone: str = "UTC", now: str | None = None) -> DataFrame:
     """Events, sessions and savings by local day, ISO week and month. Sessions are counted anew for each grain.
 
+    now: a UTC time; its day, week and month in the zone are then there even if empty (0 events, 0 savings), and current tells them from the rest.
     Rows are first added up to (session, day), so that what each grain shuffles is small.
     """
     d = _with_savings(df)
@@ -46,7 +70,15 @@ def metrics_by_period(df: DataFrame, zone: str = "UTC") -> DataFrame:
     sets = [[F.col("day")], [F.col("week")], [F.col("month")]]
     g = base.groupingSets(sets, F.col("day"), F.col("week"), F.col("month")).agg(F.sum("events").alias("events"), F.countDistinct("host", "session_").alias("sessions"), F.sum("savings").alias("savings"))
     period = F.when(F.col("day").isNotNull(), "day").when(F.col("week").isNotNull(), "week").otherwise("month")
-    return g.select(period.alias("period"), F.coalesce("day", "week", "month").alias("key"), "events", "sessions", "savings")
+    out = g.select(period.alias("period"), F.coalesce("day", "week", "month").alias("key"), "events", "sessions", "savings")
+    if now is None:
+        return out
+    at = F.lit(now).cast("timestamp")
+    today = F.explode(F.array(*[F.struct(F.lit(p).alias("period"), period_key(at, p, zone).alias("key")) for p in ("day", "week", "month")]))
+    zero = F.lit(0).cast("long")
+    spine = df.sparkSession.range(1).select(today.alias("s")).select("s.*", zero.alias("events"), zero.alias("sessions"), zero.alias("savings"), F.lit(True).alias("current"))
+    both = out.withColumn("current", F.lit(False)).unionByName(spine)
+    return both.groupBy("period", "key").agg(*[F.sum(c).alias(c) for c in ("events", "sessions", "savings")], F.bool_or("current").alias("current"))
 
 
 def latest_session(df: DataFrame) -> DataFrame:
@@ -117,12 +149,44 @@ def metrics_by_arm_turn(df: DataFrame) -> DataFrame:
     return df.cube("arm", "turn_no").agg(F.count("*").alias("n"), F.sum("prompt").alias("prompt"), F.sum("output").alias("output"), strict_sum(F.col("tool_calls")).alias("tool_calls"), F.grouping_id().cast("int").alias("level"))
 
 
-def upper_median(df: DataFrame, by: str, value: str) -> DataFrame:
-    """Of each group the value at place n div 2, counting from 0: the upper of two middle ones."""
-    w = Window.partitionBy("by_")
+#: Quantiles that a round of selection looks at.
+QUANTILES = 256
+
+
+def _narrowed(d: DataFrame, rounds: int) -> DataFrame:
+    """by_, lo, hi, k: of each group a range of values, and the place in it of the median of the whole group.
+
+    Each round takes quantiles of what is in the range from a sketch that tasks merge, proposes the two around the place sought, and counts in the
+    next round what is really below and between them; a proposal that misses the place is dropped. Only one row a group is ever shuffled for a task.
+    """
+    state = d.groupBy("by_").agg(F.min("value_").alias("lo"), F.max("value_").alias("hi"), F.expr("count(*) div 2").alias("k"), F.count("*").alias("n"))
+    state = state.select("*", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    for left in range(rounds, -1, -1):
+        inside = d.join(state.withColumnRenamed("by_", "of_"), F.col("by_").eqNullSafe(F.col("of_"))).where(F.col("value_").between(F.col("lo"), F.col("hi")))
+        between = F.col("value_").between(F.col("lo2"), F.col("hi2"))
+        sums = [F.first(c).alias(c) for c in ("lo", "hi", "lo2", "hi2", "k", "n")] + [F.count_if(F.col("value_") < F.col("lo2")).alias("below"), F.count_if(between).alias("n2")]
+        if left:
+            sums.append(F.percentile_approx(F.when(between, F.col("value_")), [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q"))
+        g = inside.groupBy("by_").agg(*sums)
+        good = (F.col("k") >= F.col("below")) & (F.col("k") < F.col("below") + F.col("n2"))
+        g = g.select("by_", *[F.when(good, F.col(f"{c}2")).otherwise(F.col(c)).alias(c) for c in ("lo", "hi")], F.when(good, F.col("k") - F.col("below")).otherwise(F.col("k")).alias("k"), F.when(good, F.col("n2")).otherwise(F.col("n")).alias("n"), *(["q"] if left else []))
+        if not left:
+            return g.select("by_", "lo", "hi", "k")
+        at = F.floor(F.col("k") * QUANTILES / F.col("n")).cast("int")
+        state = g.select("by_", "lo", "hi", "k", "n", F.greatest("lo", F.get("q", F.greatest(at - 1, F.lit(0)))).alias("lo2"), F.least("hi", F.get("q", F.least(at + 2, F.lit(QUANTILES)))).alias("hi2"))
+
+
+def upper_median(df: DataFrame, by: str, value: str, rounds: int = 2) -> DataFrame:
+    """Of each group the value at place n div 2, counting from 0: the upper of two middle ones. Null values do not count; a null group is one.
+
+    Exact selection: a range around the median is narrowed by sketches, about a hundredfold a round, and only distinct values of what is left are put in
+    order, so that no task sorts a whole group. A sketch that misleads costs time, not the result.
+    """
     d = df.where(F.col(value).isNotNull()).select(F.col(by).alias("by_"), F.col(value).alias("value_"))
-    ranked = d.withColumn("place_", F.row_number().over(w.orderBy("value_")) - 1).withColumn("n_", F.count("*").over(w))
-    return ranked.where("place_ = n_ div 2").select(F.col("by_").alias(by), F.col("value_").alias("median"))
+    state = _narrowed(d, rounds).withColumnRenamed("by_", "of_")
+    left = d.join(state, F.col("by_").eqNullSafe(F.col("of_"))).where(F.col("value_").between(F.col("lo"), F.col("hi"))).groupBy("by_", "value_").agg(F.count("*").alias("n"), F.first("k").alias("k"))
+    reached = F.sum("n").over(Window.partitionBy("by_").orderBy("value_"))
+    return left.withColumn("reached", reached).where("reached > k").groupBy("by_").agg(F.min("value_").alias("median")).withColumnRenamed("by_", by)
 
 
 def gateway_gate(evidence: DataFrame, thresholds: DataFrame) -> DataFrame:
@@ -139,3 +203,56 @@ def gateway_gate(evidence: DataFrame, thresholds: DataFrame) -> DataFrame:
     rows = rows.withColumn("status", F.when(F.col("value").isNull(), "missing").when(good, "pass").otherwise("fail"))
     g = rows.groupBy("report").agg(F.bool_or(F.col("status") == "fail").alias("f"), F.bool_or(F.col("status") == "missing").alias("m"), F.array_sort(F.collect_set(F.when(F.col("status") != "pass", F.concat_ws(":", F.col("t.check"), F.col("status"))))).alias("reasons"))
     return g.select("report", F.when(F.col("m"), "insufficient-evidence").when(F.col("f"), "no-go").otherwise("go").alias("decision"), "reasons")
+
+
+#: Checks of the gate with their bounds; max: at most, min: at least.
+GATE_CHECKS = (
+    ("paired-sample-count", "min", 10), ("discovery-intent-count", "min", 50), ("discovery-success", "min", 0.95), ("safety-critical-discovery", "min", 1), ("wrong-mutative-calls", "max", 0), ("provider-input-reduction", "min", 0.10),
+    ("extra-tool-calls", "max", 1), ("p50-latency-overhead", "max", 0.15), ("startup-overhead", "max", 0.10), ("schema-validation", "min", 1), ("cancellation-propagation", "min", 1), ("timeout-propagation", "min", 1), ("error-propagation", "min", 1),
+    ("progress-propagation", "min", 1), ("list-changed-invalidation", "min", 1), ("auth-propagation", "min", 1), ("approval-propagation", "min", 1), ("elicitation-propagation", "min", 1), ("weighted-cost", "max", 1),
+)
+
+
+def gateway_report(evidence: DataFrame, hosts: tuple[str, ...], checks: tuple[tuple[str, str, float], ...] = GATE_CHECKS) -> DataFrame:
+    """Per report: decision, passed, failed and missing checks, and the sorted reasons of those not passed.
+
+    evidence: report, host, check, value (double). Every host of a report is held against every check: one without a value is missing. The check
+    all-hosts is missing unless the hosts are exactly the expected ones. Anything missing: insufficient-evidence; else anything failed: no-go; else go.
+    Several values of a check: the worst counts. Checks that are not expected are not looked at; a null host is no host.
+    """
+    worst = evidence.where("host is not null").groupBy("report", "host", "check").agg(F.min("value").alias("low"), F.max("value").alias("high"))
+    of_host = worst.groupBy("report", "host").agg(F.map_from_entries(F.collect_list(F.struct("check", F.struct("low", "high").alias("v")))).alias("seen"))
+    told = F.array(*[F.struct(F.lit(c).alias("check"), F.lit(k).alias("kind"), F.lit(float(b)).alias("bound")) for c, k, b in checks])
+    rows = of_host.withColumn("t", F.explode(told)).withColumn("v", F.try_element_at("seen", F.col("t.check")))
+    good = F.when(F.col("t.kind") == "max", F.col("v.high") <= F.col("t.bound")).otherwise(F.col("v.low") >= F.col("t.bound"))
+    rows = rows.select("report", "host", F.col("t.check").alias("check"), F.when(good.isNull(), "missing").when(good, "pass").otherwise("fail").alias("status"))
+    whole = evidence.groupBy("report").agg(F.array_sort(F.collect_set("host")).alias("h")).select("report", F.lit("all").alias("host"), F.lit("all-hosts").alias("check"), F.when(F.col("h") == F.array(*[F.lit(h) for h in sorted(hosts)]), "pass").otherwise("missing").alias("status"))
+    count = lambda s: F.count_if(F.col("status") == s)
+    g = rows.unionByName(whole).groupBy("report").agg(count("pass").alias("passed"), count("fail").alias("failed"), count("missing").alias("missing"), F.array_sort(F.collect_set(F.when(F.col("status") != "pass", F.col("check")))).alias("reasons"))
+    return g.withColumn("decision", F.when(F.col("missing") > 0, "insufficient-evidence").when(F.col("failed") > 0, "no-go").otherwise("go"))
+
+
+def screening_report(sessions: DataFrame, repetitions: int, least_percent: int = 10, most_increase_percent: int = 5) -> DataFrame:
+    """Per scenario, and for all (scenario null): pairs, costs of both arms, reduction in per mille, mean and variance over pairs, passes of both arms, status.
+
+    sessions: scenario, repetition, arm (control, apply), cost (null: unknown), passed; one row for each scenario, repetition and arm. A pair has both costs, and a control that is not free.
+    A scenario is incomplete without both costs in all repetitions, dearer if its cost rose by more than most_increase_percent, and worse if apply passed less often.
+    All: inconclusive if any cost is unknown or any scenario has fewer pairs than repetitions; passed if no scenario is worse or dearer and the overall cost fell by least_percent or more; else failed.
+    """
+    arm = lambda a, v: F.max(F.when(F.col("arm") == a, v))
+    p = sessions.groupBy("scenario", "repetition").agg(arm("control", F.col("cost")).alias("c"), arm("apply", F.col("cost")).alias("a"), arm("control", F.col("passed").cast("int")).alias("cp"), arm("apply", F.col("passed").cast("int")).alias("ap"))
+    both, pair = F.col("c").isNotNull() & F.col("a").isNotNull(), F.col("c").isNotNull() & F.col("a").isNotNull() & (F.col("c") > 0)
+    share = F.when(pair, (F.col("c") - F.col("a")) / F.col("c"))
+    s = p.groupBy("scenario").agg(
+        F.count_if(pair).alias("pairs"), (F.count_if(both) == repetitions).alias("complete"), F.sum("c").alias("control"), F.sum("a").alias("apply"), F.avg(share).alias("mean_reduction"), F.var_samp(share).alias("variance"),
+        F.coalesce(F.sum("cp"), F.lit(0)).alias("control_passed"), F.coalesce(F.sum("ap"), F.lit(0)).alias("apply_passed"),
+    )
+    fell = lambda percent: 100 * (F.col("control") - F.col("apply")) >= percent * F.col("control")
+    mille = F.when(F.col("control") > 0, F.floor((F.col("control") - F.col("apply")) * 1000 / F.col("control")).cast("long"))
+    s = s.withColumn("status", F.when(~F.col("complete") | (F.col("control") <= 0), "incomplete").when(F.col("apply_passed") < F.col("control_passed"), "worse").when(~fell(-most_increase_percent), "dearer").otherwise("ok"))
+    total = s.agg(
+        F.lit(None).cast(s.schema["scenario"].dataType).alias("scenario"), F.sum("pairs").alias("pairs"), F.bool_and(F.col("complete") & (F.col("pairs") == repetitions)).alias("complete"), F.sum("control").alias("control"), F.sum("apply").alias("apply"),
+        F.avg("mean_reduction").alias("mean_reduction"), F.lit(None).cast("double").alias("variance"), F.sum("control_passed").alias("control_passed"), F.sum("apply_passed").alias("apply_passed"), F.bool_and(F.col("status") == "ok").alias("fine"),
+    ).where("pairs is not null")
+    total = total.withColumn("status", F.when(~F.col("complete"), "inconclusive").when(F.col("fine") & fell(least_percent), "passed").otherwise("failed")).drop("fine")
+    return s.unionByName(total).withColumn("reduction_mille", F.when(F.col("complete"), mille))

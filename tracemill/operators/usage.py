@@ -164,3 +164,75 @@ def cumulative_delta(df: DataFrame, key: str, order: list[str], counter: str) ->
     w = Window.partitionBy(key).orderBy(*order)
     d = F.col(counter) - F.when(F.row_number().over(w) == 1, 0).otherwise(F.lag(counter).over(w))
     return df.withColumn("delta", F.when(d >= 0, d))
+
+
+#: Counters of a usage notification.
+COUNTERS = ("input", "cached", "cache_write", "output", "reasoning", "total")
+
+
+def turn_usage(df: DataFrame, thread: str = "thread_id", turn: str = "turn", order: str = "seq") -> DataFrame:
+    """Per thread and turn: requests, the rise of each cumulative counter, status, and whether the requests add up to it.
+
+    df: notifications with order, total and last (structs of COUNTERS: cumulative, and of the last request) and context_window. A total that was seen in the turn is no new
+    request, wherever it stands. total_*: of the last new one. delta_*: its rise over that of the turn before (0 before the first, and for what was unknown there); null where it fell or is
+    unknown. status: complete if no delta is null. reconciled: the requests all have every counter and a context window, and add up to the delta. Counters that are
+    negative or beyond what a double holds are unknown.
+
+    Notifications of a thread are first reduced to one row for each total, then to one for each turn; only these are put in order.
+    """
+    ok = lambda c: F.when((c >= 0) & (c <= MOST), c)
+    d = df.select(F.col(thread).alias("t_"), F.col(turn).alias("n_"), F.col(order).alias("o_"), *[ok(F.col(f"total.{c}")).alias(f"total_{c}") for c in COUNTERS], *[ok(F.col(f"last.{c}")).alias(c) for c in COUNTERS], (F.col("context_window") > 0).alias("w_"))
+    totals = [f"total_{c}" for c in COUNTERS]
+    once = d.groupBy("t_", "n_", *totals).agg(F.min_by(F.struct(*COUNTERS, "w_"), F.struct("o_", *COUNTERS)).alias("r"), F.min("o_").alias("o_"))
+    full = lambda c: F.when(F.count(f"r.{c}") == F.count("*"), F.sum(f"r.{c}"))
+    turns = once.groupBy("t_", "n_").agg(F.count("*").alias("requests"), F.max_by(F.struct(*totals), F.struct("o_", *totals)).alias("now"), *[full(c).alias(c) for c in COUNTERS], F.bool_and(F.coalesce("r.w_", F.lit(False))).alias("w_"))
+    before = F.lag("now").over(Window.partitionBy("t_").orderBy("n_"))
+    turns = turns.withColumn("before", before)
+    rise = {c: F.col(f"now.total_{c}") - F.coalesce(F.col(f"before.total_{c}"), F.lit(0)) for c in COUNTERS}
+    turns = turns.withColumns({f"delta_{c}": F.when(r >= 0, r) for c, r in rise.items()})
+    known, same = F.lit(True), F.col("w_")
+    for c in COUNTERS:
+        known, same = known & F.col(f"delta_{c}").isNotNull(), same & F.coalesce(F.col(c) == F.col(f"delta_{c}"), F.lit(False))
+    return turns.select(F.col("t_").alias(thread), F.col("n_").alias(turn), "requests", "now.*", *[f"delta_{c}" for c in COUNTERS], F.when(known, "complete").otherwise("incomplete").alias("status"), same.alias("reconciled"))
+
+
+#: Where a body may state its cost in USD, the first valid place wins.
+COST_PATHS = ("total_cost_usd", "totalCostUsd", "cost_usd", "costUsd", "usage.total_cost_usd", "usage.totalCostUsd", "message.usage.total_cost_usd", "message.usage.totalCostUsd", "cost.total_cost_usd", "cost.totalCostUsd", "cost.usd")
+
+
+def stated_cost(v: Column) -> Column:
+    """struct(place, usd, nano) of a parsed body (VARIANT): the first of COST_PATHS with a number of 0 or more, from 1; null where there is none.
+
+    nano: whole nano-dollars of the number as written, if that is a number of at most nine decimals; else null. Numbers in strings are no numbers.
+    """
+
+    def one(k: int, path: str) -> Column:
+        x = F.try_variant_get(v, f"$.{path}", "variant")
+        text = F.when(F.schema_of_variant(x).rlike("^(BIGINT|INT|SMALLINT|TINYINT|DECIMAL|DOUBLE|FLOAT)"), F.to_json(x))
+        usd, exact = text.try_cast("double"), text.try_cast("decimal(38,9)")
+        good = (usd >= 0) & (usd < float("inf"))
+        return F.when(good, F.struct(F.lit(k).alias("place"), usd.alias("usd"), F.when(exact.cast("double") == usd, (exact * 1_000_000_000).try_cast("long")).alias("nano")))
+
+    return F.coalesce(*[one(k, p) for k, p in enumerate(COST_PATHS, 1)])
+
+
+def reported_cost_summary(df: DataFrame, by: str = "host") -> DataFrame:
+    """Per host: sessions, those with a cost, nano (null unless all have one), coverage, source, and nano-dollars for a million tokens.
+
+    df: host, session_id, event_key, at, seq, cost_nano, cost_scope (session or turn), cost_source, total_tokens. A session costs what the latest of its session-scoped costs says (by at, then seq); without any,
+    the sum if every row has one. A row without a session is its own. source: the only one that counted, mixed, or unknown (also for costs without one). Negative costs are none.
+    """
+    cost = F.when(F.col("cost_nano") >= 0, F.col("cost_nano"))
+    key = F.coalesce(F.concat(F.lit("s:"), F.col("session_id").cast("string")), F.concat(F.lit("row:"), F.col("event_key").cast("string")))
+    whole = (F.col("cost_scope") == "session") & cost.isNotNull()
+    source = F.coalesce("cost_source", F.lit("unknown"))
+    s = df.groupBy(by, key.alias("key_")).agg(
+        F.max_by(F.when(whole, F.struct(cost.alias("c"), source.alias("s"))), F.when(whole, F.struct("at", "seq"))).alias("latest"), F.sum(cost).alias("sum_"), (F.count(cost) == F.count("*")).alias("all_"), F.collect_set(source).alias("sources_"), F.sum("total_tokens").alias("tokens"),
+    )
+    s = s.withColumns({"cost": F.when(F.col("latest").isNotNull(), F.col("latest.c")).when(F.col("all_"), F.col("sum_")), "told": F.when(F.col("latest").isNotNull(), F.array("latest.s")).when(F.col("all_"), F.col("sources_")).otherwise(F.array().cast("array<string>"))})
+    g = s.groupBy(by).agg(F.count("*").alias("sessions"), F.count("cost").alias("priced_sessions"), F.sum("cost").alias("known"), F.array_distinct(F.flatten(F.collect_set("told"))).alias("told"), F.sum("tokens").alias("tokens"))
+    nano = F.when(F.col("priced_sessions") == F.col("sessions"), F.col("known"))
+    named = F.when(F.size("told") == 1, F.get("told", F.lit(0))).when(F.size("told") > 1, "mixed").otherwise("unknown")
+    coverage = F.when(nano.isNotNull(), "complete").when(F.col("priced_sessions") > 0, "partial").otherwise("unavailable")
+    rate = F.when(F.col("tokens") > 0, F.floor(nano.cast("decimal(38,0)") * 1_000_000 / F.col("tokens")).cast("long"))
+    return g.select(by, "sessions", "priced_sessions", nano.alias("nano"), coverage.alias("coverage"), named.alias("source"), rate.alias("nano_per_million"))

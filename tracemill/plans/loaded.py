@@ -47,16 +47,16 @@ def _rules(nations: DataFrame) -> tuple:
 def loaded_rules(nations: DataFrame, df: DataFrame) -> DataFrame:
     """How often the loaded rules change a text, and the rules' digest."""
     keys, prefixes, digest = _rules(nations)
-    return df.select("result_id", T.count_redactions(F.col("output"), keys[:8], prefixes).alias("redactions"), F.lit(digest).alias("rules"))
+    return df.select("result_id", T.count_redactions(F.col("output"), keys, prefixes).alias("redactions"), F.lit(digest).alias("rules"))
 
 
 @query("udf1_custom_redaction", "nation", "v_results")
 def custom_redaction(nations: DataFrame, df: DataFrame) -> DataFrame:
-    """The texts with an assignment to the first nations' names put in front, redacted by the loaded rules."""
+    """The texts with an assignment to a nation's name put in front, redacted by all loaded rules."""
     keys, prefixes, _ = _rules(nations)
-    key = F.array(*[F.lit(k) for k in keys[:8]])
-    text = F.concat(F.get(key, F.pmod("result_id", F.lit(len(keys[:8]))).cast("int")), F.lit(" = hidden acme_12345\n"), F.col("output"))
-    out = T.redact(text, keys[:8], prefixes)
+    key = F.array(*[F.lit(k) for k in keys])
+    text = F.concat(F.get(key, F.pmod("result_id", F.lit(len(keys))).cast("int")), F.lit(" = hidden acme_12345\n"), F.col("output"))
+    out = T.redact(text, keys, prefixes)
     return df.select("result_id", F.regexp_extract(out, "^([^\n]*)", 1).alias("first_line"), F.sha2(out, 256).alias("digest"))
 
 

@@ -26,4 +26,4 @@ def query(name: str, *inputs: str, sql: str | None = None):
     return add
 
 
-from . import accounting, files, history, loaded, streams, telemetry, texts  # noqa: E402, F401
+from . import accounting, files, history, ledgers, loaded, streams, telemetry, texts  # noqa: E402, F401

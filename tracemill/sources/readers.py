@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import digest
+
 #: Folders that are not a corpus of one's own.
 VENDORED = ("node_modules", "vendor", "dist", "build", ".git", "target", "__pycache__")
 PRICES = "profile_id string, provider string, model string, service string, regional boolean, threshold long, " + ", ".join(f"{t}_{p} decimal(18,3)" for t in ("short", "long") for p in ("fresh", "read", "write", "output"))
@@ -47,9 +49,10 @@ def stream_ledger(spark: SparkSession, path: str, schema: T.StructType | str, fi
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
-def load_pricing(spark: SparkSession, path: str) -> DataFrame:
+def load_pricing(spark: SparkSession, path: str, digests: DataFrame | None = None) -> DataFrame:
     """Price profiles in USD for a million tokens as whole nano-dollars a token; rates with over three decimals, or negative, and thresholds under 1 raise.
 
+    digests (profile_id, digest): what checked_profiles() holds the files against; a profile that differs raises when it is read.
     A profile: {profile_id, provider, model, service, regional, threshold, short: {fresh, read, write, output}, long: {...}}.
     """
     rate = "struct<fresh:decimal(38,9),read:decimal(38,9),write:decimal(38,9),output:decimal(38,9)>"
@@ -60,7 +63,22 @@ def load_pricing(spark: SparkSession, path: str) -> DataFrame:
             x = F.col(f"{tier}.{part}")
             good = (x >= 0) & (F.round(x, 3) == x)
             out = out.withColumn(f"{tier}_{part}", F.when(good, (x * 1000).cast("long")).otherwise(F.raise_error(F.lit(f"bad rate: {tier} {part}")).cast("long")))
-    return out.drop("short", "long")
+    out = out.drop("short", "long")
+    return out if digests is None else out.join(checked_profiles(spark, path, digests), "profile_id")
+
+
+def checked_profiles(spark: SparkSession, path: str, digests: DataFrame) -> DataFrame:
+    """profile_id, digest of the price profiles under path; reading raises where one has no digest in `digests` (profile_id, digest), or another.
+
+    The digest is the SHA-256 of the profile's canonical JSON: keys sorted at every depth, no white space, whatever the file looks like. A file holds a profile or an array of them.
+    """
+    whole = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"), F.col("_metadata.file_path").alias("file"))
+    each = F.when(F.schema_of_variant("v").startswith("ARRAY"), F.try_variant_get("v", "$", "array<variant>")).when(F.schema_of_variant("v").startswith("OBJECT"), F.array("v"))
+    each = F.coalesce(each, F.raise_error(F.concat(F.lit("not a profile: "), F.col("file"))).cast("array<variant>"))
+    found = whole.select(F.explode(each).alias("x")).select(F.try_variant_get("x", "$.profile_id", "string").alias("profile_id"), digest(F.to_json("x")).alias("digest"))
+    both = found.join(digests.select("profile_id", F.col("digest").alias("want")), "profile_id", "left")
+    same = F.col("digest") == F.col("want")
+    return both.select("profile_id", F.when(same, F.col("digest")).otherwise(F.raise_error(F.concat(F.lit("profile differs from its version: "), F.coalesce("profile_id", F.lit("?"))))).alias("digest"))
 
 
 def load_redaction_rules(text: str) -> tuple[tuple[str, ...], tuple[tuple[str, int, int | None], ...], str]:
