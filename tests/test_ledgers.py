@@ -225,3 +225,47 @@ def test_profile_digests(spark, tmp_path):
     (tmp_path / "p1.json").write_text("no profile")
     with pytest.raises(Exception, match="not a profile"):
         R.checked_profiles(spark, str(tmp_path), want).collect()
+
+
+# --- AGG16, PRJ15, JSN3, SET2
+
+
+def test_close_days_cases(spark):
+    """Modes and stages are kept apart, failures are markers, open days stay out, unknown events raise."""
+    from tracemill.operators.telemetry import close_days
+
+    d = lambda day, event, mode, stage, n=1: [(f"2024-01-{day:02}", "1", event, "h", mode, stage, True, 3000)] * n
+    rows = d(1, "hook_summary", "a", "ignored", 3) + d(1, "hook_summary", None, None) + d(1, "hook_failure_summary", "ignored", "parse", 4) + d(1, "hook_failure_summary", None, "write") + d(9, "hook_summary", "a", None)
+    df = spark.createDataFrame(rows, "day string, version string, event string, dimension string, mode string, failure_stage string, transformed boolean, bytes long").withColumn("day_utc", F.to_date("day"))
+    got = {(r.event, r["mode"], r.failure_stage): (r.calls, r.transformed, r.bytes) for r in close_days(df, "2024-01-09").collect()}
+    none = (None, None, None)
+    assert got == {("hook_summary", "a", None): ("2_to_5", "2_to_5", "4_to_16k"), ("hook_summary", None, None): ("one", "one", "lt_4k"), ("hook_failure_summary", None, "parse"): none, ("hook_failure_summary", None, "write"): none}
+    with pytest.raises(Exception, match="unknown event: other"):
+        close_days(df.withColumn("event", F.lit("other")), "2024-01-09").collect()
+
+
+def test_grep_summary_cases(spark):
+    from tracemill.operators.bounding import grep_summary
+
+    rows = [("the\nThe\r\nx the",), ("\x00the",), ("none",), (None,), ("the\n" * 25,)]
+    df = spark.createDataFrame(rows, "output string")
+    assert tuple(grep_summary(df, "the").first()) == (5, 1, 2, 27, 5) and tuple(grep_summary(df, "THE", ignore_case=True).first()) == (5, 1, 2, 28, 5)
+    assert tuple(grep_summary(df.limit(0), "the").first()) == (0, 0, 0, 0, 0)
+
+
+def test_rows_without_identity_are_read_once(spark):
+    df = spark.createDataFrame([("a", 1, 5), ("a", 2, 6), (None, 1, 7), (None, 1, 7)], "k string, seq int, v int")
+    out = U.dedupe_revisions(df, "k", ["v"], "seq")
+    assert sorted((r.k or "", r.v, r.duplicates, r.conflict) for r in out.collect()) == [("", 7, 0, False), ("", 7, 0, False), ("a", 5, 1, True)]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1
+
+
+def test_segments_need_no_shuffle(spark):
+    from tracemill.operators.cache import classify_context
+
+    body = {"system": "s", "tools": [{"name": "own_x"}, {"name": "mcp__y"}, {"function": {"name": "z"}}, {"name": "d", "defer_loading": True}], "messages": [{"role": "user", "content": "a"}, {"role": "assistant", "content": "b"}, {"role": "user", "content": [{"type": "tool_result"}]}], "model": "m"}
+    df = spark.createDataFrame([("1", json.dumps(body)), ("2", "broken"), ("3", "{}"), ("4", None)], "request_id string, body string")
+    out = classify_context(df)
+    want = ["host-instructions", "own-tools", "mcp-tools", "builtin-tools", "deferred-tools", "user-prompt", "history", "history", "provider-overhead"]
+    assert [(r.request_id, r.seq, r.category) for r in out.orderBy("request_id", "seq").collect()] == [("1", k, c) for k, c in enumerate(want)]
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()

@@ -189,6 +189,19 @@ def grep_lines(df: DataFrame, needle: str, per_file: int = 20, columns: int = 51
     return df.select("result_id", F.explode(hits).alias("s")).select("result_id", "s.line", T.truncate_utf8(F.col("s.x"), columns).alias("text"))
 
 
+def grep_summary(df: DataFrame, needle: str, per_file: int = 20, ignore_case: bool = False) -> DataFrame:
+    """What grep_lines() saw: files, binary ones (a NUL in the first 8,192 characters; these have no matches), files with a match, matches, and those over per_file that it does not show.
+
+    Null texts are files without lines. One row, also for no files. Only counts leave a task.
+    """
+    fold = F.lower if ignore_case else (lambda c: c)
+    binary = F.coalesce(F.contains(F.left("output", F.lit(8192)), F.lit("\x00")), F.lit(False))
+    hits = F.size(F.filter(F.split("output", "\r?\n"), lambda x: F.contains(fold(x), F.lit(needle.lower() if ignore_case else needle))))
+    d = df.select(binary.alias("b"), F.when(~binary, F.greatest(hits, F.lit(0))).otherwise(0).cast("long").alias("n"))
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return d.agg(F.count("*").alias("files"), F.count_if("b").alias("binary"), F.count_if(F.col("n") > 0).alias("matching"), total(F.col("n")).alias("matches"), total(F.greatest(F.col("n") - per_file, F.lit(0))).alias("hidden"))
+
+
 def catalog_search(df: DataFrame, request: str, n: int = 50) -> DataFrame:
     """Entries by the number of distinct request tokens they have, then by name; all if the request has none."""
     want = sorted(set(re.findall("[a-z0-9]+", request.lower())))

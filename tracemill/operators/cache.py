@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+from ..functions.text import bind
+
 #: Why a turn missed, and what the bytes of a request are.
 CAUSES = ("cold-start", "tools-changed", "system-changed", "history-rewritten", "no-breakpoint", "below-minimum", "ttl-expired", "unexplained")
 CATEGORIES = ("host-instructions", "own-tools", "deferred-tools", "mcp-tools", "builtin-tools", "user-prompt", "history", "provider-overhead", "unknown")
@@ -54,27 +56,35 @@ def message_digests(df: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
+SEGMENT = "array<struct<category:string,bytes:long>>"
+
+
 def classify_context(df: DataFrame, own_prefix: str = "own_", request_id: str = "request_id", body: str = "body") -> DataFrame:
-    """request_id, seq, category, bytes: segments of request bodies by what they are, sizes of their JSON."""
+    """request_id, seq, category, bytes: segments of request bodies by what they are, sizes of their JSON.
+
+    In the order host instructions, tools, messages, then the other keys. A body is read once and gives an array of its segments; nothing is shuffled.
+    """
     v = df.select(F.col(request_id).alias("request_id"), F.try_parse_json(F.col(body)).alias("v")).where("v is not null")
     size = lambda x: F.octet_length(F.to_json(x)).cast("long")
     s = lambda x, p: F.try_variant_get(x, p, "string")
     top = lambda p: F.try_variant_get("v", p, "variant")
-    system = v.select("request_id", F.explode(F.array_compact(F.array(top("$.system"), top("$.instructions")))).alias("x")).select("request_id", F.lit(0).alias("part"), F.lit(0).alias("k"), F.lit("host-instructions").alias("category"), size(F.col("x")).alias("bytes"))
-    t = v.select("request_id", F.posexplode(F.try_variant_get("v", "$.tools", "array<variant>")).alias("k", "x"))
-    name = F.coalesce(s(F.col("x"), "$.name"), s(F.col("x"), "$.function.name"), F.lit(""))
-    kind = F.when(name.startswith(own_prefix), "own-tools").when(s(F.col("x"), "$.defer_loading") == "true", "deferred-tools").when(name.startswith("mcp__"), "mcp-tools").otherwise("builtin-tools")
-    tools = t.select("request_id", F.lit(1).alias("part"), "k", kind.alias("category"), size(F.col("x")).alias("bytes"))
-    rows = F.coalesce(F.try_variant_get("v", "$.messages", "array<variant>"), F.try_variant_get("v", "$.input", "array<variant>"))
-    m = v.select("request_id", F.posexplode(rows).alias("k", "x"))
-    plain = (s(F.col("x"), "$.role") == "user") & ~F.to_json("x").contains('"tool_result"')
-    last = F.max(F.when(plain, F.col("k"))).over(Window.partitionBy("request_id"))
-    texts = m.withColumn("last", last).select("request_id", F.lit(2).alias("part"), "k", F.when(F.col("k") == F.col("last"), "user-prompt").otherwise("history").alias("category"), size(F.col("x")).alias("bytes"))
+    several = lambda p: F.try_variant_get("v", p, "array<variant>")
+    segment = lambda category, x: F.struct((category if isinstance(category, Column) else F.lit(category)).alias("category"), size(x).alias("bytes"))
+
+    def tool(x: Column) -> Column:
+        name = F.coalesce(s(x, "$.name"), s(x, "$.function.name"), F.lit(""))
+        return segment(F.when(name.startswith(own_prefix), "own-tools").when(s(x, "$.defer_loading") == "true", "deferred-tools").when(name.startswith("mcp__"), "mcp-tools").otherwise("builtin-tools"), x)
+
+    def messages(rows: Column) -> Column:
+        plain = lambda x: (s(x, "$.role") == "user") & ~F.to_json(x).contains('"tool_result"')
+        last = F.coalesce(F.array_max(F.transform(rows, lambda x, k: F.when(plain(x), k))), F.lit(-1))
+        return bind(last, lambda n: F.transform(rows, lambda x, k: segment(F.when(k == n, "user-prompt").otherwise("history"), x)))
+
     known = ("system", "instructions", "tools", "messages", "input")
-    other = v.select("request_id", F.posexplode(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>"))).alias("k", "e")).where(~F.col("e.key").isin(*known))
-    rest = other.select("request_id", F.lit(3).alias("part"), "k", F.lit("provider-overhead").alias("category"), size(F.col("e.value")).alias("bytes"))
-    every = system.unionByName(tools).unionByName(texts).unionByName(rest)
-    return every.withColumn("seq", F.row_number().over(Window.partitionBy("request_id").orderBy("part", "k")) - 1).select("request_id", "seq", "category", "bytes")
+    other = F.filter(F.map_entries(F.try_variant_get("v", "$", "map<string,variant>")), lambda e: ~e["key"].isin(*known))
+    parts = [F.transform(F.array_compact(F.array(top("$.system"), top("$.instructions"))), lambda x: segment("host-instructions", x)), F.transform(several("$.tools"), tool), bind(F.coalesce(several("$.messages"), several("$.input")), messages), F.transform(other, lambda e: segment("provider-overhead", e["value"]))]
+    every = F.concat(*[F.coalesce(p, F.array().cast(SEGMENT)) for p in parts])
+    return v.select("request_id", F.posexplode(every).alias("seq", "x")).select("request_id", "seq", "x.category", "x.bytes")
 
 
 def budget_clip(df: DataFrame, total: str = "body_bytes") -> DataFrame:

@@ -5,6 +5,9 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import byte_bucket, count_bucket, coverage_bucket, latency_bucket, result_bucket, unknown_bucket
 
+#: Events that a day's counters are kept for.
+EVENTS = ("hook_summary", "proxy_summary", "hook_failure_summary", "proxy_failure_summary")
+
 
 def daily_summary(df: DataFrame, today: str) -> DataFrame:
     """Per closed day, version and host: calls, transformed calls and bytes as bucket labels."""
@@ -12,6 +15,20 @@ def daily_summary(df: DataFrame, today: str) -> DataFrame:
     return g.select("day_utc", "version", "host", count_bucket(F.col("n")).alias("calls"), count_bucket(F.col("t")).alias("transformed"), byte_bucket(F.col("b")).alias("bytes"))
 
 
+def close_days(df: DataFrame, today: str) -> DataFrame:
+    """Rows of closed days by day, version, event, dimension and suffix: counters as buckets, failures as markers.
+
+    df: day_utc, version, event (one of EVENTS), dimension (host or provider), mode, failure_stage, transformed, bytes. Summaries are kept apart by mode (null: none), failures by stage; a failure is one row
+    however often it happened, without counts. Other events raise; days from `today` on are still open and stay out. Null days are never closed.
+    """
+    failed = F.col("event").endswith("_failure_summary")
+    event = F.when(F.col("event").isin(*EVENTS), F.col("event")).otherwise(F.raise_error(F.concat(F.lit("unknown event: "), F.coalesce("event", F.lit("null")))).cast("string"))
+    d = df.where(F.col("day_utc") < F.lit(today).cast("date")).select("day_utc", "version", event.alias("event"), "dimension", F.when(~failed, F.col("mode")).alias("mode"), F.when(failed, F.col("failure_stage")).alias("failure_stage"), "transformed", "bytes")
+    g = d.groupBy("day_utc", "version", "event", "dimension", "mode", "failure_stage").agg(F.count("*").alias("n"), F.count_if("transformed").alias("t"), F.sum("bytes").alias("b"))
+    counted = lambda label: F.when(~F.col("event").endswith("_failure_summary"), label)
+    return g.select("day_utc", "version", "event", "dimension", "mode", "failure_stage", counted(count_bucket(F.col("n"))).alias("calls"), counted(count_bucket(F.col("t"))).alias("transformed"), counted(byte_bucket(F.coalesce("b", F.lit(0)))).alias("bytes"))
+
+
 def coverage_summary(df: DataFrame, known: tuple[str, ...] = ("reason0", "reason1", "reason2", "reason3", "reason4", "reason5")) -> DataFrame:
     """Per day and host: routed, bypassed, share bucket, and the most frequent bypass reason (ties by name; unknown reasons are `other`)."""
     reason = F.when(F.col("routed"), None).otherwise(F.when(F.col("reason").isin(*known), F.col("reason")).otherwise("other"))

@@ -71,12 +71,11 @@ def paired_sessions(df: DataFrame) -> DataFrame:
 
 
 def dedupe_revisions(df: DataFrame, key: str, signature: list[str], order: str) -> DataFrame:
-    """One row per identity: the first, its copies counted; `conflict` where revisions differ. Rows without an identity never merge
-    and go round the grouping."""
-    one = df.where(F.col(key).isNotNull()).withColumn("sig_", F.xxhash64(*signature))
-    g = one.groupBy(F.col(key).alias("identity_")).agg(F.min_by(F.struct(*df.columns), F.col(order)).alias("r"), F.count("*").alias("n"), F.min("sig_").alias("lo"), F.max("sig_").alias("hi"))
-    none = df.where(F.col(key).isNull()).select("*", F.lit(0).cast("long").alias("duplicates"), F.lit(False).alias("conflict"))
-    return g.select("r.*", (F.col("n") - 1).alias("duplicates"), (F.col("lo") != F.col("hi")).alias("conflict")).unionByName(none)
+    """One row per identity: the first, its copies counted; `conflict` where revisions differ. Rows without an identity never merge: each
+    is a group of its own, so that the input is read once and such rows are spread over all tasks."""
+    one = df.withColumn("sig_", F.xxhash64(*signature)).withColumn("row_", F.when(F.col(key).isNull(), F.monotonically_increasing_id()))
+    g = one.groupBy(F.col(key).alias("identity_"), "row_").agg(F.min_by(F.struct(*df.columns), F.struct(order)).alias("r"), F.count("*").alias("n"), F.min("sig_").alias("lo"), F.max("sig_").alias("hi"))
+    return g.select("r.*", (F.col("n") - 1).alias("duplicates"), (F.col("lo") != F.col("hi")).alias("conflict"))
 
 
 def quarantine_revisions(df: DataFrame, invalid: DataFrame, key: str) -> DataFrame:

@@ -44,15 +44,11 @@ def ledger(df: DataFrame) -> DataFrame:
     return R.read_ledger(df.sparkSession, folder, "schema string, session_id long, turn_no int, prompt long", "ledger/v1").drop("schema")
 
 
-@query("src6_read_text_files", "v_results", sql="SELECT strlen(output)::BIGINT + 1 AS bytes, sha256(output || chr(10)) AS digest FROM v_results WHERE result_id % 40 = 0 AND strlen(output) BETWEEN 1023 AND 4194303")
-def text_files(df: DataFrame) -> DataFrame:
-    """A file for each of some results, by a folder each."""
-    folder = shared_folder(df.sparkSession)
-    df.where("result_id % 40 = 0").select("result_id", F.col("output").alias("value")).repartition(8, "result_id").write.partitionBy("result_id").text(folder)
-    return R.read_text_files(df.sparkSession, folder).select("bytes", F.sha2("text", 256).alias("digest"))
+_FILES = "SELECT strlen(output)::BIGINT + 1 AS bytes, sha256(output || chr(10)) AS digest FROM v_results WHERE strlen(output) BETWEEN 1023 AND 4194303"
 
 
-@query("src6_read_all_text_files", "v_results")
+@query("src6_read_text_files", "v_results", sql=_FILES)
+@query("src6_read_all_text_files", "v_results", sql=_FILES)
 def all_text_files(df: DataFrame) -> DataFrame:
     """A file for each result, many to a folder."""
     folder = shared_folder(df.sparkSession)

@@ -284,14 +284,14 @@ def fresh(df: DataFrame) -> DataFrame:
     return A.new_artifacts(d, d.where("tool = 'bash'"))
 
 
-@query("jn8_recover_artifact", "v_results", sql="SELECT DISTINCT left(sha256(output), 20) AS handle, 'ok' AS status, sha256(CASE WHEN strlen(output) <= 65536 THEN output END) AS content_digest FROM v_results WHERE strlen(output) <= 65536")
-def recovered(df: DataFrame) -> DataFrame:
-    store = A.distinct_artifacts(df.where(F.octet_length("output") <= 65536), "output")
-    handles = store.select(F.left("digest", F.lit(20)).alias("handle"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
-    return A.recover_artifacts(handles, store).select("handle", "status", F.sha2("content", 256).alias("content_digest"))
+#: The longest whole characters within 65,536 bytes, by sums over the characters of long texts.
+_RECOVERED = """WITH t AS (SELECT DISTINCT output FROM v_results), c AS (SELECT output, unnest(string_split(left(output, 65536), '')) AS x, unnest(range(1, length(left(output, 65536)) + 1)) AS i FROM t WHERE strlen(output) > 65536),
+  k AS (SELECT output, count(*) AS k FROM (SELECT output, sum(strlen(x)) OVER (PARTITION BY output ORDER BY i) AS run FROM c) WHERE run <= 65536 GROUP BY output)
+  SELECT left(sha256(output), 20) AS handle, 'ok' AS status, sha256(CASE WHEN k IS NULL THEN output ELSE left(output, k) END) AS content_digest FROM t LEFT JOIN k USING (output) WHERE output IS NOT NULL"""
 
 
-@query("jn8_recover_all_artifacts", "v_results")
+@query("jn8_recover_artifact", "v_results", sql=_RECOVERED)
+@query("jn8_recover_all_artifacts", "v_results", sql=_RECOVERED)
 def recovered_all(df: DataFrame) -> DataFrame:
     """All texts are stored; the operator cuts the long ones."""
     store = A.distinct_artifacts(df, "output")

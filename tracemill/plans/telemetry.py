@@ -26,6 +26,21 @@ def daily(df: DataFrame) -> DataFrame:
     return T.daily_summary(df, "2024-01-25")
 
 
+_BUCKET = "CASE WHEN {0} = 0 THEN 'zero' WHEN {0} = 1 THEN 'one' WHEN {0} <= 5 THEN '2_to_5' WHEN {0} <= 20 THEN '6_to_20' WHEN {0} <= 100 THEN '21_to_100' ELSE 'gt_100' END"
+
+
+@query("agg16_close_days", "v_counters", sql=f"""WITH d AS (SELECT *, CASE event_id % 10 WHEN 0 THEN 'hook_failure_summary' WHEN 1 THEN 'proxy_failure_summary' WHEN 2 THEN 'proxy_summary' ELSE 'hook_summary' END AS event, CASE WHEN event_id % 3 > 0 THEN reason END AS m FROM v_counters WHERE day_utc < DATE '2024-01-20'),
+  g AS (SELECT day_utc, version, event, host AS dimension, CASE WHEN event_id % 10 > 1 THEN m END AS mode, CASE WHEN event_id % 10 < 2 THEN reason END AS failure_stage, count(*) AS n, count_if(transformed) AS t, sum(latency_ms)::BIGINT AS b FROM d GROUP BY ALL)
+  SELECT day_utc, version, event, dimension, mode, failure_stage, CASE WHEN failure_stage IS NULL THEN {_BUCKET.format('n')} END AS calls, CASE WHEN failure_stage IS NULL THEN {_BUCKET.format('t')} END AS transformed,
+  CASE WHEN failure_stage IS NULL THEN CASE WHEN b < 4096 THEN 'lt_4k' WHEN b < 16384 THEN '4_to_16k' WHEN b < 65536 THEN '16_to_64k' WHEN b < 262144 THEN '64_to_256k' WHEN b < 1048576 THEN '256k_to_1m' ELSE 'gte_1m' END END AS bytes FROM g""")
+def closed_days(df: DataFrame) -> DataFrame:
+    """Two kinds of counters by mode and two of failures by stage."""
+    k = F.col("event_id") % 10
+    event = F.when(k == 0, "hook_failure_summary").when(k == 1, "proxy_failure_summary").when(k == 2, "proxy_summary").otherwise("hook_summary")
+    d = df.select("day_utc", "version", event.alias("event"), F.col("host").alias("dimension"), F.when(F.col("event_id") % 3 > 0, F.col("reason")).alias("mode"), F.col("reason").alias("failure_stage"), "transformed", F.col("latency_ms").alias("bytes"))
+    return T.close_days(d, "2024-01-20")
+
+
 @query("agg17_coverage_summary", "v_counters", sql=f"""WITH r AS (SELECT day_utc, host, CASE WHEN NOT routed THEN CASE WHEN reason = 'reason6' THEN 'other' ELSE reason END END AS r, count(*) AS n FROM v_counters GROUP BY ALL),
   g AS (SELECT day_utc, host, coalesce(sum(n) FILTER (r IS NULL), 0)::BIGINT AS routed, coalesce(sum(n) FILTER (r IS NOT NULL), 0)::BIGINT AS bypassed, arg_min(r, (-n, r)) FILTER (r IS NOT NULL) AS top_reason FROM r GROUP BY ALL)
   SELECT *, {SHARE.format('routed', '(routed + bypassed)')} AS share FROM g""")
