@@ -508,6 +508,41 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert sorted(map(tuple, decontaminate.contaminated(df, bench).collect())) == want and want
 
 
+def test_rare_seeds_and_parts_find_the_same(spark, monkeypatch):
+    """Whatever the counts say, and however small the parts in which hits are looked at, also inside of one text."""
+    import numpy as np
+
+    rng = random.Random(9)
+    word = lambda: f"w{int(rng.random() ** 3 * 60)}"
+    items = [(k, " ".join(word() for _ in range(rng.choice([4, 5, 9, 20, 40])))) for k in range(30)]
+    texts = []
+    for k in range(60):
+        t = " ".join(word() if rng.random() < 0.25 else x for x in items[k % 30][1].split())
+        texts.append(" ".join(word() for _ in range(30)) + f" {t} " + " ".join(word() for _ in range(30)))
+    texts.append(" ".join(texts))
+
+    def starts(own):
+        import pyarrow as pa
+
+        from tracemill.llm._words import read_words
+
+        found = set()
+        for w in read_words(pa.array(texts), plain=True):
+            found |= {r[:2] for r in decontaminate._passages(own, w, *own.starts(w), 0.6)}
+        return found
+
+    own = decontaminate.Items.read(items, 4, 0.6)
+    want = starts(own)
+    sizes = {q: len(np.unique(s[0])) for q, s in own.seeds.items()}
+    assert len(want) > 60
+    for seed in range(3):
+        draw = np.random.default_rng(seed)
+        few = own.rare({q: draw.integers(0, 100, n) for q, n in sizes.items()})
+        assert starts(few) == want and (few.need >= 1).all() and sum(len(s[0]) for s in few.seeds.values()) < sum(len(s[0]) for s in own.seeds.values())
+    monkeypatch.setattr(decontaminate, "PART", 50)
+    assert starts(own) == starts(few) == want
+
+
 # --- pipeline
 
 

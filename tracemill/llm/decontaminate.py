@@ -1,4 +1,4 @@
-"""Benchmark decontamination: runs of one or two words that every match must hold find passages, Smith-Waterman alignment over words scores them."""
+"""Benchmark decontamination: rare runs of one or two words, of which every match must hold some, find passages; Smith-Waterman alignment over words scores them."""
 
 from dataclasses import dataclass
 
@@ -24,13 +24,16 @@ class Items:
     An alignment with m of an item's L words and e errors scores 2m - e, and passes at T = 2 * threshold * L. It spans at most
     3L - T words of a text, in which at least T - L - 1 pairs of adjacent words of the item stand, and at least T / 2 of its words.
     Items of which no pair is certain are looked for by their words.
+
+    Of as many seeds as a match needs, up to half may be its commonest ones: an item drops these, and is then met by the rest (its rare seeds), of which a match
+    still has as many as it needs less those dropped. That holds whatever the counts are, so they decide how much is done and not what is found.
     """
 
     ids: list
     words: list[np.ndarray]
     need: np.ndarray
     span: np.ndarray
-    seeds: dict[int, tuple[np.ndarray, np.ndarray]]
+    seeds: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @classmethod
     def read(cls, rows: list, n: int, threshold: float) -> "Items":
@@ -55,38 +58,76 @@ class Items:
             seed, item = seed[use][order], item[use][order]
             new = np.ones(len(seed), bool)
             new[1:] = (seed[1:] != seed[:-1]) | (item[1:] != item[:-1])
-            seeds[q] = seed[new], item[new]
+            first = np.flatnonzero(new)
+            seeds[q] = seed[first], item[first], np.diff(first, append=len(seed))
         return cls(ids, own, need, span, seeds)
 
+    def rare(self, counts: dict[int, np.ndarray]) -> "Items":
+        """These items with their rare seeds only. counts: how often each distinct seed, in ascending order, is in the corpus.
+
+        A seed costs its count in the corpus for each item that has it. The dearest of an item go, by their places in it, while these are at most half of what a match needs.
+        """
+        need, seeds = self.need.copy(), {}
+        for q, (seed, item, times) in self.seeds.items():
+            distinct, number, items = np.unique(seed, return_inverse=True, return_counts=True)
+            cost = (counts[q] * items)[number] if len(distinct) else np.zeros(0, np.int64)
+            order = np.lexsort((seed, -cost, item))
+            own = item[order]
+            first = np.flatnonzero(np.diff(own, prepend=-1))
+            run = np.cumsum(times[order])
+            run -= np.repeat(run[first] - times[order][first], np.diff(first, append=len(own)))
+            gone = run <= self.need[own] // 2
+            np.subtract.at(need, own[gone], times[order][gone])
+            kept = np.sort(order[~gone])
+            seeds[q] = seed[kept], item[kept], times[kept]
+        return Items(self.ids, self.words, need, self.span, seeds)
+
+    def counted(self, w: Words) -> dict[int, np.ndarray]:
+        """How often each distinct seed, in ascending order, is in the texts."""
+        if not hasattr(self, "_distinct"):
+            self._distinct = {q: np.unique(seed) for q, (seed, _, _) in self.seeds.items()}
+        out = {}
+        for q, distinct in self._distinct.items():
+            _, grams = self._found(w, q)
+            at = np.searchsorted(distinct, grams)
+            hit = distinct[np.minimum(at, len(distinct) - 1)] == grams if len(distinct) else np.zeros(0, bool)
+            out[q] = np.bincount(at[hit], minlength=len(distinct))
+        return out
+
+    def _found(self, w: Words, q: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of those runs of q words that may be a seed."""
+        at, grams = w.grams(q)
+        maybe = np.flatnonzero(self._sieve(q)[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
+        return at[maybe], grams[maybe]
+
     def starts(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """Word and item of every place of the texts from which as many seeds of the item as a match needs stand within its span."""
         places, items = [], []
-        for q, (seed, item) in self.seeds.items():
+        for q, (seed, item, _) in self.seeds.items():
             if not len(seed):
                 continue
-            at, grams = w.grams(q)
-            maybe = np.flatnonzero(self._sieve(q)[(grams & np.uint64(0xFFFFF)).astype(np.int64)])
-            if not len(maybe):
-                continue
-            at, grams = at[maybe], grams[maybe]
+            at, grams = self._found(w, q)
             lo, hi = np.searchsorted(seed, grams), np.searchsorted(seed, grams, "right")
+            hit = np.flatnonzero(hi > lo)
+            if not len(hit):
+                continue
+            at, lo, hi = at[hit], lo[hit], hi[hit]
             past = np.cumsum(hi - lo)
-            # whole texts at a time, as many as have PART hits, one at least
-            text = np.flatnonzero(np.diff(w.doc[at], prepend=-1))
-            cuts = text[np.flatnonzero(np.diff(past[text] // PART, prepend=-1))] 
+            # PART hits at a time, also of one text, and with them what lies within the longest span after
+            cuts = np.flatnonzero(np.diff(past // PART, prepend=-1))
+            reach = int(self.span[item].max())
             for a, b in zip(cuts, [*cuts[1:], len(at)], strict=True):
-                number = (hi - lo)[a:b]
-                if not number.sum():
-                    continue
+                more = int(np.searchsorted(at, at[b - 1] + reach, "right"))
+                number = (hi - lo)[a:more]
                 own = np.cumsum(number)
-                place = np.repeat(at[a:b], number)
-                which = item[np.arange(own[-1]) + np.repeat(lo[a:b] - (own - number), number)]
-                order = np.argsort(which, kind="stable")
+                place = np.repeat(at[a:more], number)
+                which = item[np.arange(own[-1]) + np.repeat(lo[a:more] - (own - number), number)]
+                order = np.argsort(which.astype(np.uint16) if len(self.ids) <= 1 << 16 else which, kind="stable")
                 place, which = place[order], which[order]
                 last = np.arange(len(place)) + self.need[which] - 1
                 inside = last < len(place)
                 last = np.minimum(last, len(place) - 1)
-                good = inside & (which[last] == which) & (w.doc[place[last]] == w.doc[place]) & (place[last] - place <= self.span[which] - q)
+                good = inside & (which[last] == which) & (w.doc[place[last]] == w.doc[place]) & (place[last] - place <= self.span[which] - q) & (place <= at[b - 1])
                 places.append(place[good])
                 items.append(which[good])
         return (np.concatenate(places), np.concatenate(items)) if places else (np.zeros(0, np.int64), np.zeros(0, np.int64))
@@ -94,7 +135,7 @@ class Items:
     def _sieve(self, q: int) -> np.ndarray:
         if not hasattr(self, "_sieves"):
             self._sieves = {k: np.zeros(1 << 20, bool) for k in self.seeds}
-            for k, (seed, _) in self.seeds.items():
+            for k, (seed, _, _) in self.seeds.items():
                 self._sieves[k][(seed & np.uint64(0xFFFFF)).astype(np.int64)] = True
         return self._sieves[q]
 
@@ -132,6 +173,29 @@ def align_each(items: list[np.ndarray], passages: list[np.ndarray]) -> tuple[np.
     return best, end
 
 
+def _counter(items: Items):
+    def count(batches):
+        total = {q: np.zeros(len(np.unique(seed)), np.int64) for q, (seed, _, _) in items.seeds.items()}
+        for batch in batches:
+            for w in read_words(batch.column(0), plain=True):
+                for q, n in items.counted(w).items():
+                    total[q] += n
+        for q, n in total.items():
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), q, np.int32)), pa.array(at), pa.array(n[at])], names=["q", "seed", "n"])
+
+    return count
+
+
+def seed_counts(slim: DataFrame, items: Items) -> dict[int, np.ndarray]:
+    """How often each distinct seed of the items is in all texts: added up in each task, then by seed. No more numbers than the items have seeds reach the driver."""
+    rows = slim.select("t").mapInArrow(_counter(items), "q int, seed long, n long").groupBy("q", "seed").agg(F.sum("n").alias("n")).collect()
+    out = {q: np.zeros(len(np.unique(seed)), np.int64) for q, (seed, _, _) in items.seeds.items()}
+    for q, seed, n in rows:
+        out[q][seed] = n
+    return out
+
+
 def _aligner(items: Items, threshold: float):
     def find(batches):
         for batch in batches:
@@ -179,7 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
     Words are runs without white space or ASCII punctuation, A-Z lowered. score is the best local alignment (match 2, other
     word or gap -1) over twice the item's words; all of `threshold` or more count. What is aligned are the places that hold as many
-    of an item's word pairs (or words) as such an alignment cannot do without, so none is missed.
+    of an item's rare word pairs (or words) as such an alignment cannot do without, so none is missed. How rare they are is counted over all texts first.
 
     Texts never leave their task and only hits are shuffled; a very common passage is many rows of output and no larger
     group anywhere. Items travel to all tasks, at most BLOCK_WORDS words in one pass.
@@ -196,6 +260,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     for b in range(blocks):
         rows = items.where(F.pmod(F.xxhash64("item_id", "t"), F.lit(blocks)) == b).orderBy("item_id", "t").collect()
         own = Items.read([tuple(r) for r in rows], n, threshold)
+        own = own.rare(seed_counts(slim, own))
         names = spark.createDataFrame(list(enumerate(own.ids)), f"item long, item_id {item_kind}")
         found = slim.mapInArrow(_aligner(own, threshold), f"doc_id {kind}, item long, score double, end_word long")
         found = found.groupBy("doc_id", "item").agg(F.max(F.struct("score", "end_word")).alias("s"))
