@@ -146,7 +146,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return (100 * both >= percent * (x.low + y.low - both)) & (earlier == 0)
 
     _, labels = group(members, verify, refine, may_link)
-    joined = nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id"))
+    joined = tables.put(nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")))
+    tables.drop(sets, nodes)
     out = signed.drop("sketch").join(joined, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
