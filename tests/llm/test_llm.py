@@ -362,6 +362,34 @@ def test_classifier_odd_rows(spark):
     assert classifier.classify_quality(documents(spark, []), labels).count() == 0
 
 
+def test_classifier_views_teach_each_other(spark):
+    """Labels are there for two sources only. Rows of two others without text can be told apart only by what the text view has taught the metadata view of their sources."""
+    rng = random.Random(4)
+    good = lambda: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(60))
+    bad = lambda: " ".join(rng.choice(["###", "$$$", "BUY", "!!!", "%%"]) for _ in range(60))
+    rows, marks = [], []
+    for k in range(80):
+        rows.append((k, good() if k % 2 else bad(), "en", f"s{k % 2}", 300))
+        marks.append((k, k % 2))
+    rows += [(100 + k, good() if k % 2 else bad(), "en", f"s{2 + k % 2}", 300) for k in range(200)]
+    rows += [(500 + k, None, "en", f"s{2 + k % 2}", 300) for k in range(40)]
+    df, labels = documents(spark, rows), spark.createDataFrame(marks, "doc_id long, quality int")
+
+    def gap(rounds):
+        got = {r.doc_id: r.score for r in classifier.classify_quality(df, labels, numbers=(), rounds=rounds, most_given=20).collect()}
+        return sum(got[500 + k] * (1 if k % 2 else -1) for k in range(40)) / 20
+
+    alone, taught = gap(0), gap(4)
+    assert abs(alone) < 0.1 and taught > 0.5, (alone, taught)
+
+
+def test_classifier_pool_is_the_whole_corpus(spark):
+    """The surest rows are found wherever they are, and a rerun over other partitions learns the same."""
+    df, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    one, two = ({(r.doc_id, round(r.score, 4)) for r in classifier.classify_quality(df.repartition(n), labels, most_given=5).collect()} for n in (2, 5))
+    assert one == two
+
+
 # --- 8 language
 
 

@@ -1,6 +1,6 @@
 """Quality classifier by co-training: one view sees the text, the other the page's metadata.
 
-In each round both views learn from their labelled rows and give the other the unlabelled rows of which they are
+In each round both views learn from their labelled rows, score all unlabelled rows of the corpus, and give the other those of which they are
 surest, with their own answer as label. At the end each view is calibrated on labelled rows that neither has seen, and the calibrated
 log-odds are added.
 """
@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._shared import Tables
 from ._words import read_words
 
 STATS, BUCKETS = 12, 128
@@ -103,58 +104,88 @@ class CoTrained:
         return tuple(1 / (1 + np.exp(-z)) for z in (a + b - self.prior, a, b))
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = 4, share: float = 0.05, sure: float = 0.95) -> CoTrained:
-    """y: 1, 0, or -1 where unlabelled. Every fifth labelled row only calibrates."""
-    known = np.flatnonzero(y >= 0)
-    apart = known[::5]
-    learn = np.setdiff1d(known, apart)
-    labels = [dict(zip(learn.tolist(), y[learn].tolist(), strict=True)) for _ in range(2)]
-    pool = np.flatnonzero(y < 0)
-    views = (text, meta)
-    prior = np.clip(y[known].mean() if len(known) else 0.5, 1e-3, 1 - 1e-3)
+class CoTraining:
+    """Both views' labelled rows, features in one array. Every fifth row that came with a label only calibrates; pseudo-labels are never taken back."""
 
-    def fit(view: int) -> np.ndarray:
-        rows = np.fromiter(labels[view], np.int64, len(labels[view]))
-        return fit_logistic(views[view][rows], np.fromiter(labels[view].values(), np.int64, len(rows)))
+    def __init__(self, x: np.ndarray, y: np.ndarray, wide: int = STATS + BUCKETS):
+        apart = np.arange(len(y)) % 5 == 0
+        self.wide, self.apart = wide, (x[apart], y[apart])
+        self.rows = [(x[~apart], y[~apart])] * 2
+        self.prior = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
+        self.weights = [self._fit(v) for v in (0, 1)]
 
-    weights = [fit(0), fit(1)]
-    for _ in range(rounds if len(pool) else 0):
-        for view in (0, 1):
-            p = 1 / (1 + np.exp(-odds(views[view][pool], weights[view])))
-            for label, order in ((1, np.argsort(-p, kind="stable")), (0, np.argsort(p, kind="stable"))):
-                part = prior if label else 1 - prior
-                best = order[: max(1, int(share * part * len(pool)))]
-                best = best[(p[best] >= sure) if label else (p[best] <= 1 - sure)]
-                for row in pool[best].tolist():
-                    labels[1 - view].setdefault(row, label)
-        weights = [fit(0), fit(1)]
-    fits = [fit_logistic(odds(v[apart], w)[:, None], y[apart], ridge=0.1) if len(set(y[apart].tolist())) == 2 else np.array([1.0, 0.0]) for v, w in zip(views, weights, strict=True)]
-    return CoTrained(*weights, *fits, float(np.log(prior / (1 - prior))))
+    def view(self, x: np.ndarray, view: int) -> np.ndarray:
+        return x[:, self.wide :] if view else x[:, : self.wide]
+
+    def _fit(self, view: int) -> np.ndarray:
+        x, y = self.rows[view]
+        return fit_logistic(self.view(x, view), y)
+
+    def learn(self, view: int, x: np.ndarray, y: np.ndarray) -> None:
+        """Rows that the other view is sure of."""
+        own = self.rows[view]
+        self.rows[view] = np.concatenate([own[0], x]), np.concatenate([own[1], y])
+        self.weights[view] = self._fit(view)
+
+    def model(self) -> "CoTrained":
+        x, y = self.apart
+        both = len(set(y.tolist())) == 2
+        fits = [fit_logistic(odds(self.view(x, v), self.weights[v])[:, None], y, ridge=0.1) if both else np.array([1.0, 0.0]) for v in (0, 1)]
+        return CoTrained(*self.weights, *fits, float(np.log(self.prior / (1 - self.prior))))
 
 
 def _featurer(batches):
     for batch in batches:
-        x = np.concatenate([text_features(batch.column(2)), _one_hot(batch.column(3))], axis=1)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "y", "x"])
+        x = np.concatenate([text_features(batch.column(1)), _one_hot(batch.column(2))], axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["id", "x"])
+
+
+def _features(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float32).reshape(len(column), -1)
 
 
-def _scorer(model: CoTrained):
+def _sure(weights: list[np.ndarray], wide: int, most: int, sure: float):
+    """Of the rows of a task the `most` of which each view is surest, for each label: view, label, doubt, id; rows of equal doubt by their id's hash."""
+
+    def find(batches):
+        best: dict[tuple[int, int], pa.Table] = {}
+        for batch in batches:
+            x = _features(batch.column(1))
+            for view in (0, 1):
+                p = 1 / (1 + np.exp(-odds(x[:, wide:] if view else x[:, :wide], weights[view])))
+                for label in (0, 1):
+                    doubt = np.round(1 - p if label else p, 9)
+                    at = np.flatnonzero(doubt <= 1 - sure)
+                    new = pa.table({"doubt": pa.array(doubt[at]), "id": batch.column(0).take(pa.array(at)), "place": batch.column(2).take(pa.array(at))})
+                    whole = pa.concat_tables([best[view, label], new]) if (view, label) in best else new
+                    best[view, label] = whole.sort_by([("doubt", "ascending"), ("place", "ascending")]).slice(0, most)
+        for (view, label), rows in best.items():
+            for part in rows.to_batches():
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(part.num_rows, k, np.int32)) for k in (view, label)] + part.columns, names=["view", "label", "doubt", "id", "place"])
+
+    return find
+
+
+def _scorer(model: CoTrained, wide: int = STATS + BUCKETS):
     def score(batches):
         for batch in batches:
-            both, a, b = model.scores(text_features(batch.column(1)), _one_hot(batch.column(2)))
+            x = _features(batch.column(1))
+            both, a, b = model.scores(x[:, :wide], x[:, wide:])
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.round(z, 6)) for z in (both, a, b)), pa.array(both >= 0.5)], names=["doc_id", "score", "text_score", "meta_score", "kept"])
 
     return score
 
 
-def classify_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", names: Sequence[str] = ("source", "lang"), numbers: Sequence[str] = ("n_chars",), most_labelled: int = 10_000, most_unlabelled: int = 10_000) -> DataFrame:
+def classify_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", names: Sequence[str] = ("source", "lang"), numbers: Sequence[str] = ("n_chars",), most_labelled: int = 10_000, rounds: int = 4, most_given: int = 500, sure: float = 0.95) -> DataFrame:
     """doc_id, score (0 to 1), text_score, meta_score, kept (score >= 0.5) for every row.
 
-    labels: doc_id, label (1 good, 0 bad). The models learn on the driver from a bounded sample: the `most_labelled` labelled and
-    `most_unlabelled` other documents with the smallest hash of their id. Scoring passes over the whole texts of all rows, without shuffle.
+    labels: doc_id, label (1 good, 0 bad). The models are fitted on the driver to a bounded sample: the `most_labelled` labelled rows with the smallest hash of
+    their id, and what co-training adds. In each of `rounds` rounds both views score every unlabelled row of the corpus, in Spark, and of each label the other
+    view gets the `most_given` rows of which it is surest (at `sure` or more). Whole texts of all rows become features once, in a table that rounds and the last scoring read.
 
     Null texts count as empty, null metadata as a value of its own. Null labels are unlabelled; an id with both labels is left out. With no label of one kind
-    every score is the share of good labels, 0.5 if there is none. Null ids are scored and not learnt from. Repeated rows are scored alike. Other columns are not read.
+    every score is the share of good labels, 0.5 if there is none. Null ids are scored and not learnt from. Rows of a repeated id are scored by their own texts; such ids are not learnt from.
+    Other columns are not read.
     """
     pair = lambda c, kind: F.struct(F.lit(c).alias("k"), F.col(f"`{c}`").cast(kind).alias("v"))
     told = F.array(*[pair(c, "string") for c in names]) if names else F.array().cast("array<struct<k:string,v:string>>")
@@ -163,18 +194,41 @@ def classify_quality(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id",
     kind = slim.schema["id"].dataType.simpleString()
     marks = labels.select(F.col(doc_id).alias("id"), F.col(label).cast("int").alias("y")).where("id is not null and y in (0, 1)")
     marks = marks.groupBy("id").agg(F.min("y").alias("y"), F.max("y").alias("z"))
-    order = F.xxhash64("id")
-    ids = slim.select("id").where("id is not null").distinct()
-    some = marks.where("y = z").join(ids, "id", "left_semi").select("id", "y").orderBy(order, "id").limit(most_labelled)
-    rest = ids.join(marks, "id", "left_anti").select("id", F.lit(-1).alias("y")).orderBy(order, "id").limit(most_unlabelled)
-    sample = some.unionByName(rest)  # at most most_labelled + most_unlabelled rows of two numbers
-    rows = slim.join(F.broadcast(sample), "id").select("id", "y", "t", "m").mapInArrow(_featurer, f"id {kind}, y int, x binary").dropDuplicates(["id"]).orderBy("id").collect()
+    place = F.xxhash64("id").alias("place")
+    tables = Tables(docs.sparkSession)
+    once = slim.select("id").where("id is not null").groupBy("id").count().where("count = 1").select("id")
+    some = marks.where("y = z").join(once, "id", "left_semi").select("id", "y", place).orderBy("place", "id").limit(most_labelled)
+    seen = tables.put(slim.mapInArrow(_featurer, f"id {kind}, x binary"))
+
+    def fetched(wanted: DataFrame) -> list:
+        """The features of a bounded list of ids; its rows are on the driver in a fixed order."""
+        return seen.join(F.broadcast(wanted), "id").orderBy("place", "id").collect()
+
+    rows = fetched(some)
     y = np.array([r.y for r in rows], np.int64)
-    x = np.frombuffer(b"".join(r.x for r in rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, STATS + BUCKETS + 96), np.float32)
-    wide = STATS + BUCKETS
-    if len(set(y[y >= 0].tolist())) < 2:
-        share = float(y[y >= 0].mean()) if (y >= 0).any() else 0.5
-        flat = F.lit(share)
+    if len(set(y.tolist())) < 2:
+        flat = F.lit(float(y.mean()) if len(y) else 0.5)
         return slim.select(F.col("id").alias("doc_id"), flat.alias("score"), flat.alias("text_score"), flat.alias("meta_score"), (flat >= 0.5).alias("kept"))
-    model = co_train(x[:, :wide], x[:, wide:], y)
-    return slim.select("id", "t", "m").mapInArrow(_scorer(model), f"doc_id {kind}, score double, text_score double, meta_score double, kept boolean")
+    training = CoTraining(_features(pa.array([r.x for r in rows], pa.binary())), y)
+    pool = tables.put(once.join(marks, "id", "left_anti").select("id", place)) if rounds else None
+    free = seen.join(pool, "id").select("id", "x", "place") if rounds else None
+    given: list[set] = [set(), set()]
+    for _ in range(rounds):
+        found = tables.put(free.mapInArrow(_sure(training.weights, training.wide, most_given * rounds, sure), f"view int, label int, doubt double, id {kind}, place long"))
+        news = [[], []]
+        for view in (0, 1):
+            for answer in (0, 1):
+                best = found.where(f"view = {view} and label = {answer}").orderBy("doubt", "place", "id").limit(most_given * rounds).collect()
+                fresh = [(r.id, answer) for r in best if r.id not in given[1 - view]][:most_given]
+                given[1 - view] |= {i for i, _ in fresh}
+                news[1 - view] += fresh
+        tables.drop(found)
+        for view, told_rows in enumerate(news):
+            if told_rows:
+                wanted = docs.sparkSession.createDataFrame(told_rows, f"id {kind}, y int").select("id", "y", place)
+                got = fetched(wanted)
+                training.learn(view, _features(pa.array([r.x for r in got], pa.binary())), np.array([r.y for r in got], np.int64))
+        if not any(news):
+            break
+    tables.drop(pool)
+    return seen.select("id", "x").mapInArrow(_scorer(training.model()), f"doc_id {kind}, score double, text_score double, meta_score double, kept boolean")
