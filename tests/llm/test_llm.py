@@ -571,6 +571,11 @@ def test_rare_seeds_and_parts_find_the_same(spark, monkeypatch):
     assert starts(own) == starts(few) == want
 
 
+@pytest.mark.parametrize("name", ["op4_minhash", "op5_substring", "op12_conversations"])
+def test_same_as_duckdb(spark, duck, name):
+    same_rows(queries.QUERIES[name](spark, SF), duck, queries.SQL[name])
+
+
 # --- pipeline
 
 

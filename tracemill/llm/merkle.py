@@ -160,7 +160,7 @@ def merkle_manifest(docs: DataFrame, columns: Sequence[str] = ("doc_id", "source
 
 
 #: CRC-32 of a text in DuckDB, as a fold over its bits.
-_CRC = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda d: list_transform(range(8), lambda k: (ascii(d) >> k) & 1)))), lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
+CRC_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split({0}, ''), lambda d: list_transform(range(8), lambda k: (ascii(d) >> k) & 1)))), lambda c, b: xor(c >> 1, CASE WHEN xor(c, b) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295)"
 
 
 def _tree_sql(name: str, leaves: str, keys: str, height: int) -> str:
@@ -178,7 +178,7 @@ def merkle_sql(docs: str = "SELECT * FROM documents", height: int = 7) -> str:
     """DuckDB SQL for op13_merkle, for groups of at most 8 ** height rows and as many groups. Ids must not repeat in a language."""
     field = lambda x: f"coalesce(strlen({x}::VARCHAR) || ':' || {x}::VARCHAR, '-')"
     leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
-    lowered = f"CASE WHEN {_CRC.format('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
+    lowered = f"CASE WHEN {CRC_SQL.format('doc_id::VARCHAR')} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END"
     rows = f"SELECT doc_id, coalesce('=' || lang, '') AS g, {leaf('text')} AS leaf, {leaf('lowered')} AS claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS i FROM (SELECT *, {lowered} AS lowered FROM ({docs}))"
     inner = _tree_sql("a", "SELECT g, i, leaf AS h FROM docs", "g", height)
     outer = _tree_sql("b", f"SELECT 0 AS z, row_number() OVER (ORDER BY encode(g)) - 1 AS i, h FROM a_{height}", "z", height)

@@ -6,16 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._shared import LOWER, UPPER, Tables
+from ._sql import near_duplicates_sql, repeats_sql
 from .classifier import classify_quality
 from .decontaminate import contaminated
 from .language import identify_language
 from .lines import drop_lines
-from .merkle import fold, leaf_digest, merkle_manifest, merkle_sql, siblings
+from .merkle import CRC_SQL, fold, leaf_digest, merkle_manifest, merkle_sql, siblings
 from .minhash import near_duplicates
 from .mixing import mix_sources, mixing_sql
 from .quality import quality_rules, quality_sql
 from .records import write_records
-from .repair import repair_conversations, repair_report
+from .repair import repair_conversations, repair_report, repair_sql
 from .substring import remove_repeats
 from .tokens import count_tokens, read_vocabulary
 from .urls import filter_sql, filter_urls, url_path
@@ -120,4 +121,4 @@ def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"op2_tokens": op2_tokens, "op7_classifier": op7_classifier, "op6_lines": op6_lines, "op10_decontaminate": op10_decontaminate, "op8_language": op8_language, "op9_urls": op9_urls, "op1_mixing": op1_mixing, "op3_quality": op3_quality, "op4_minhash": op4_minhash, "op5_substring": op5_substring, "op11_records": op11_records, "op12_conversations": op12_conversations, "op13_merkle": op13_merkle}
 _OUTCOMES = "SELECT url, quality = 0 OR toxic = 1 AS bad FROM pages JOIN labels ON doc_id = TRY_CAST(regexp_extract(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '/([0-9]+)$', 1) AS BIGINT)"
-SQL: dict[str, str] = {"op9_urls": filter_sql("SELECT * FROM pages", _OUTCOMES), "op1_mixing": mixing_sql(), "op3_quality": quality_sql(), "op13_merkle": merkle_sql()}
+SQL: dict[str, str] = {"op9_urls": filter_sql("SELECT * FROM pages", _OUTCOMES), "op1_mixing": mixing_sql(), "op3_quality": quality_sql(), "op13_merkle": merkle_sql(), "op12_conversations": repair_sql(crc=CRC_SQL), "op5_substring": repeats_sql(), "op4_minhash": near_duplicates_sql()}

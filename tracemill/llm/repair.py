@@ -366,7 +366,7 @@ def repair_conversations(rows: DataFrame, conv_id: str = "conv_id", turn: str =
     slim = rows.select(F.coalesce(F.concat(F.lit("="), rows[conv_id].cast("string")), F.lit("")).alias("conv"), rows[turn].cast("long").alias("turn"), F.coalesce(rows[role].cast("string"), F.lit(" ")).alias("role"), body.alias("text"), F.xxhash64(body).alias("h"))
     size = rows.agg(F.sum(F.octet_length(rows[text].cast("string")))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // PART_BYTES)
-    placed = place(slim, "conv", ["turn", "role", "h", "text"], tables, parts)
+    placed = place(slim, "conv", ["turn", "role", "h"], tables, parts)
     at = placed.select("conv", F.expr(f"pos div {page_rows}").alias("page"), (F.col("pos") % page_rows).cast("int").alias("k"), "turn", "role", "text")
 
     shown = F.rtrim(F.col("text"), F.lit(GAPS))
@@ -432,3 +432,36 @@ def repair_report(pages: DataFrame) -> DataFrame:
     slim = pages.select(F.col("conv_id").cast("string"), "page", "audit", "blank", "duplicate", "truncated", "illegal", "cost", F.when(single, F.sha2(F.coalesce(piece, F.lit("")), 256)).alias("digest"), F.when(~single, piece).alias("piece"))
     dealt = slim.repartition("conv_id").sortWithinPartitions("conv_id", "page")
     return dealt.mapInArrow(_joining, "conv_id string, blank long, duplicate long, truncated long, illegal long, cost long, audit string, repaired_sha256 string")
+
+
+def _least(*options: str) -> str:
+    return f"list_min([{', '.join(options)}])"
+
+
+def repair_sql(rows: str = "SELECT * FROM conversations", crc: str = "{}") -> str:
+    """DuckDB SQL for op12_conversations: a recursion over the rows that keeps, for each state, the cheapest and then least edits so far, with what they leave.
+
+    crc: the CRC-32 of a text. A state is a struct of cost, audit and rows left, so that structs compare as edits do.
+    """
+    edited = lambda x, cost, letter, left="": f"CASE WHEN {x} IS NOT NULL THEN {{'c': {x}.c + {cost}, 'a': {x}.a || '{letter}', 'o': {f'list_append({x}.o, {left})' if left else f'{x}.o'}}} END"
+    able = lambda test, option: f"CASE WHEN fault NOT IN ('b', 'd'){test} THEN {option} END"
+    told, more = "role || ':' || text", "(CASE WHEN fault = 't' THEN 5 ELSE 0 END)"
+    keep = lambda x, i: able(f" AND i = '{i}'", edited(x, more, "K", told))
+    role = lambda x, name: able("", edited(x, f"{more} + 1", "R", f"'{name}:' || text"))
+    insert = lambda x, name: edited(x, 5, "I", f"'{name}:'")
+    closed = f"(SELECT *, {_least('u1', insert('v3', 'user'))} AS v2 FROM (SELECT *, {_least('q3', insert('u1', 'assistant'))} AS v3 FROM (SELECT *, {_least('q2', insert('q0', 'user'), insert('q1', 'user'), insert('q3', 'user'))} AS u1 FROM dp)))"
+    step = [edited("q0", 2, "D"), _least(edited("q1", 2, "D"), keep("q0", "s")), _least(edited("v2", 2, "D"), *[f(x, y) for x in ("q0", "q1", "v3") for f, y in ((keep, "u"), (role, "user"))]), _least(edited("v3", 2, "D"), keep("v2", "a"), role("v2", "assistant"))]
+    none = "NULL::STRUCT(c BIGINT, a VARCHAR, o VARCHAR[])"
+    key = crc.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")
+    return f"""WITH RECURSIVE base AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {key} % 20 AS lot FROM ({rows})),
+  d AS (SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM base, (VALUES (1), (2)) AS c(copy) WHERE lot <> 0 AND (copy = 1 OR lot = 3)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, regexp_replace(text, '[\\x20\\x09-\\x0D]+$', '') AS shown, left(role, 1) AS i FROM d),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS nth, lag(i) OVER (PARTITION BY conv_id ORDER BY k) AS h FROM r),
+  s AS (SELECT *, CASE WHEN shown = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN right(shown, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '-' END AS fault FROM n),
+  g AS (SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated, count_if(h IS NOT NULL AND h || i NOT IN ('su', 'ua', 'au')) AS illegal FROM s GROUP BY conv_id),
+  dp AS (SELECT conv_id, 0::BIGINT AS k, {{'c': 0::BIGINT, 'a': '', 'o': []::VARCHAR[]}} AS q0, {none} AS q1, {none} AS q2, {none} AS q3 FROM g UNION ALL
+    SELECT x.conv_id, s.k, {', '.join(step)} FROM {closed} AS x JOIN s ON s.conv_id IS NOT DISTINCT FROM x.conv_id AND s.k = x.k + 1),
+  e AS (SELECT conv_id, k, {_least('q0', 'v3')} AS best FROM {closed} AS x),
+  z AS (SELECT g.*, best FROM g JOIN e ON g.conv_id IS NOT DISTINCT FROM e.conv_id AND g.rows = e.k)
+  SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0)::BIGINT AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(array_to_string(best.o, chr(10)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM ({rows})) AS c LEFT JOIN z ON z.conv_id IS NOT DISTINCT FROM c.conv_id"""
