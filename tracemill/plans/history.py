@@ -178,12 +178,23 @@ def compacted_requests(df: DataFrame) -> DataFrame:
     return K.compaction_stats(rows)
 
 
-@query("jsn3_classify_context", "conversations")
+#: The bodies of the test view as SQL: JSON of each message (keys in order), two for each turn, of both shapes.
+_MESSAGES = """t AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS k, max(role) OVER (PARTITION BY conv_id) AS system FROM conversations),
+  m AS (SELECT 'anthropic/' || conv_id AS request_id, system, 2 * k AS k, '{"content":[{"id":"c' || turn || '","input":{"path":"a.py"},"name":"Read","type":"tool_use"}],"role":"assistant"}' AS j FROM t UNION ALL
+    SELECT 'anthropic/' || conv_id, system, 2 * k + 1, '{"content":[{"content":' || to_json(text)::VARCHAR || ',"tool_use_id":"c' || turn || '","type":"tool_result"}],"role":"user"}' FROM t UNION ALL
+    SELECT 'responses/' || conv_id, system, 2 * k, '{"arguments":"{}","call_id":"c' || turn || '","name":"exec","type":"function_call"}' FROM t UNION ALL
+    SELECT 'responses/' || conv_id, system, 2 * k + 1, '{"call_id":"c' || turn || '","output":' || to_json(text)::VARCHAR || ',"type":"function_call_output"}' FROM t)"""
+
+
+@query("jsn3_classify_context", "conversations", sql=f"""WITH {_MESSAGES}, r AS (SELECT request_id, any_value(system) AS system, count(*) AS n FROM m GROUP BY request_id)
+  SELECT request_id, 0 AS seq, 'host-instructions' AS category, strlen(system)::BIGINT + 2 AS bytes FROM r UNION ALL SELECT request_id, 1, 'own-tools', 19 FROM r UNION ALL SELECT request_id, 2, 'mcp-tools', 17 FROM r UNION ALL
+  SELECT request_id, 3, 'builtin-tools', 15 FROM r UNION ALL SELECT request_id, (4 + k)::INT, 'history', strlen(j)::BIGINT FROM m UNION ALL SELECT request_id, (4 + n)::INT, 'provider-overhead', 3 FROM r""")
 def segments(df: DataFrame) -> DataFrame:
     return C.classify_context(bodies(df))
 
 
-@query("jsn5_message_digests", "conversations")
+@query("jsn5_message_digests", "conversations", sql=f"""WITH {_MESSAGES} SELECT request_id, count(*)::INT AS n, sha256(string_agg(sha256(j), ',' ORDER BY k)) AS messages_digest,
+  sha256('[{{"name":"own_find"}},{{"name":"mcp__x"}},{{"name":"Read"}}]') AS tools_digest, sha256('"' || any_value(system) || '"') AS system_digest, false AS breakpoint FROM m GROUP BY request_id""")
 def digests(df: DataFrame) -> DataFrame:
     d = C.message_digests(bodies(df))
     return d.select("request_id", F.size("messages").alias("n"), F.sha2(F.concat_ws(",", "messages"), 256).alias("messages_digest"), "tools_digest", "system_digest", "breakpoint")

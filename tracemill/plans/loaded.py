@@ -15,6 +15,7 @@ from ..streaming.run import drain
 from .files import transcripts
 from .history import _CAUSE, _TURNS, with_messages
 from .registry import query
+from .texts import redact_sql
 
 
 @query("src3_stream_ledger", "v_usage", sql="SELECT session_id, turn_no, prompt FROM v_usage")
@@ -43,14 +44,19 @@ def _rules(nations: DataFrame) -> tuple:
     return R.load_redaction_rules(json.dumps({"rules": [{"type": "assignment-key", "key": n} for n in names] + [{"type": "token-prefix", "prefix": "acme_", "minLength": 4, "maxLength": 40}]}))
 
 
-@query("src5_load_redaction_rules", "nation", "v_results")
+_KEYS = "(SELECT list_sort(list(DISTINCT lower(n_name))) FROM nation)"
+_ASSIGNED = r"""'(?i)(?:api[_-]?key|access[_-]?token|password|secret|private[_-]?key|(?:^|[^A-Za-z0-9_.-])[\"'']?(?:' || array_to_string(list_transform(ks, lambda x: regexp_escape(x)), '|') || '))[\"'']?\s*[:=]\s*[^\s]'"""
+
+
+@query("src5_load_redaction_rules", "nation", "v_results", sql=f"""WITH k AS (SELECT {_KEYS} AS ks) SELECT result_id, len(regexp_extract_all(output, {_ASSIGNED}))::INT AS redactions, 'sha256:' || sha256('[' || to_json(ks)::VARCHAR || ',[["acme_",4,40]]]') AS rules FROM v_results, k""")
 def loaded_rules(nations: DataFrame, df: DataFrame) -> DataFrame:
     """How often the loaded rules change a text, and the rules' digest."""
     keys, prefixes, digest = _rules(nations)
     return df.select("result_id", T.count_redactions(F.col("output"), keys, prefixes).alias("redactions"), F.lit(digest).alias("rules"))
 
 
-@query("udf1_custom_redaction", "nation", "v_results")
+@query("udf1_custom_redaction", "nation", "v_results", sql=f"""WITH k AS (SELECT {_KEYS} AS ks), f AS (SELECT result_id, output, ks[(result_id % len(ks)) + 1] || ' = [REDACTED] [REDACTED]' AS first_line FROM v_results, k)
+  SELECT result_id, first_line, sha256(first_line || chr(10) || {redact_sql('output', None)}) AS digest FROM f""")
 def custom_redaction(nations: DataFrame, df: DataFrame) -> DataFrame:
     """The texts with an assignment to a nation's name put in front, redacted by all loaded rules."""
     keys, prefixes, _ = _rules(nations)

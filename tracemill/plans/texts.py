@@ -82,12 +82,12 @@ def some_lines(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.slice_lines(F.col("output"), 2, 4).alias("text"))
 
 
-def _redact_sql(text: str, key: str) -> str:
+def redact_sql(text: str, key: str | None) -> str:
     """The steps of redaction in SQL. Its patterns cannot look around, so the steps of `authorization` and what is redacted already are left out: the given tables have neither."""
     before = r"((?:^|[^A-Za-z0-9_.-])[\"'']?{}[\"'']?\s*[:=]\s*)"
     bare = r"""([\"'']?(?:api[_-]?key|access[_-]?token|password|secret|private[_-]?key)[\"'']?\s*[:=]\s*)"""
     steps = [(r"-----BEGIN [A-Z ]+ KEY-----[\s\S]*?-----END [A-Z ]+ KEY-----", "[REDACTED PRIVATE KEY]")]
-    for start in (bare, before.format(key)):
+    for start in (bare, before.format(key)) if key else (bare,):
         steps += [("(?i)" + start + r'"(?:\\.|[^"\\])*"', r'\1"[REDACTED]"'), ("(?i)" + start + r"''(?:\\.|[^''\\])*''", r"\1''[REDACTED]''"), ("(?i)" + start + r"""[^\s,"''}\[]+""", r"\1[REDACTED]")]
     steps += [(p, "[REDACTED TOKEN]") for p in (r"\b(?:sk|rk)-[A-Za-z0-9_-]{12,}\b", r"\bgh[pousr]_[A-Za-z0-9_-]{12,}\b", r"\bgithub_pat_[A-Za-z0-9_-]{20,}\b", r"\bAKIA[0-9A-Z]{16}\b")]
     for pattern, new in steps:
@@ -95,8 +95,8 @@ def _redact_sql(text: str, key: str) -> str:
     return text
 
 
-@query("txt1_redact", "v_results", sql=f"SELECT result_id, {_redact_sql('output', 'token')} AS text FROM v_results")
-@query("txt1_redact_all", "v_results", sql=f"SELECT result_id, {_redact_sql('output', 'token')} AS text FROM v_results")
+@query("txt1_redact", "v_results", sql=f"SELECT result_id, {redact_sql('output', 'token')} AS text FROM v_results")
+@query("txt1_redact_all", "v_results", sql=f"SELECT result_id, {redact_sql('output', 'token')} AS text FROM v_results")
 def redact_all(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.redact(F.col("output"), ("token",)).alias("text"))
 
