@@ -337,6 +337,38 @@ def test_lines_of_very_many_words(spark):
     assert [(r.id, r.keeper["id"]) for r in lines.line_groups(df).collect()] == [(2, 1)]
 
 
+def test_lines_that_share_a_phrase(spark, monkeypatch):
+    """12 of 20 words are the same everywhere: pairs that are compared grow with the lines, nothing is removed but edited copies, and these all are."""
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 9)))
+    phrase, seen = [word() for _ in range(12)], []
+    real = lines.group
+
+    def counting(members, verify, **settings):
+        def counted(pairs):
+            seen.append(pairs.count())
+            return verify(pairs)
+
+        return real(members, counted, **settings)
+
+    monkeypatch.setattr(lines, "group", counting)
+    work = []
+    for n in (300, 900):
+        rows, copies = [], set()
+        for k in range(n):
+            own = [word() for _ in range(8)]
+            rows.append((2 * k, " ".join([*own[:4], *phrase, *own[4:]]), "en", "s", 1))
+            if k % 10 == 0:
+                own[rng.randrange(8)] = word()
+                rows.append((2 * k + 1, " ".join([*own[:4], *phrase, *own[4:]]), "en", "s", 1))
+                copies.add(2 * k + 1)
+        seen.clear()
+        got = {r.id: r.keeper["id"] for r in lines.line_groups(documents(spark, rows)).collect()}
+        assert got == {k: k - 1 for k in copies}
+        work.append(sum(seen) / n)
+    assert work[1] < 1.3 * max(work[0], 65), work
+
+
 def test_lines_odd_rows(spark):
     got = lines.drop_lines(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)

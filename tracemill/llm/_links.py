@@ -61,7 +61,18 @@ def shared_buckets(members: DataFrame) -> DataFrame:
     return out
 
 
-def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, may_link: Callable[[Column, Column, Column], Column] | None = None, facts: DataFrame | None = None, spread: int = 64) -> tuple[DataFrame, DataFrame]:
+def _rekeyed(rows: DataFrame, rekey: Callable[[DataFrame, int], DataFrame], most: int, tables: Tables) -> DataFrame:
+    """rows with their buckets of over `most` nodes replaced by those that rekey gives for the nodes in them."""
+    size = tables.put(rows.groupBy("key").agg(F.count("*").alias("n")))
+    large = tables.put(rows.join(size.where(F.col("n") > most), "key").groupBy("node").agg(F.first("weight").alias("weight"), F.first("component").alias("component")))
+    small = rows.join(size.where(F.col("n") <= most), "key").select("key", "node", "slot", "weight", "component")
+    if large.isEmpty():
+        return small
+    other = rekey(large.select("node"), most).join(large, "node").select("key", "node", F.lit(0).alias("slot"), "weight", "component")
+    return small.unionByName(other)
+
+
+def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine: Callable[[DataFrame, DataFrame], DataFrame] | None = None, may_link: Callable[[Column, Column, Column], Column] | None = None, facts: DataFrame | None = None, spread: int = 64, rekey: Callable[[DataFrame, int], DataFrame] | None = None, most: int = 64) -> tuple[DataFrame, DataFrame]:
     """Groups of nodes linked by verified pairs among those that share a bucket.
 
     members: key, node, slot, weight, as shared_buckets() gives them. verify: pairs (a, b) -> those looked at, with link (boolean).
@@ -73,18 +84,22 @@ def group(members: DataFrame, verify: Callable[[DataFrame], DataFrame], refine:
     leaders of other components only. The first round has one part, the second `spread` parts, and in the third every
     node leads: then all pairs of different components in the bucket have been compared or ruled out, so no link between
     components is missed. A large bucket whose nodes agree with its heaviest ends after one comparison a node.
+    With rekey, that holds in the last round for buckets of at most `most` nodes of several components; nodes of larger ones, which have something in common that many have without being
+    linked, meet by what rekey(nodes, most) gives instead: other buckets (key, node), none of more than `most` nodes, so that their pairs grow with the nodes and not with the square.
     Facts (node, facts) that are at hand hold from the first round; else refine is asked after it, for nodes of
     buckets that still hold several components. A round's tables are deleted when the next has its own.
     """
     tables = Tables(members.sparkSession)
     links, labels, done, checked = None, None, None, None
-    for part in (F.lit(0), F.pmod(F.xxhash64("node"), F.lit(spread)), F.col("node")):
+    for last_round, part in ((False, F.lit(0)), (False, F.pmod(F.xxhash64("node"), F.lit(spread))), (True, F.col("node"))):
         if labels is None:
             rows = members.withColumn("component", F.col("node"))
         else:
             rows = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
             mixed = rows.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
             rows = rows.join(mixed, "key", "left_semi")
+        if rekey is not None and last_round:
+            rows = _rekeyed(tables.put(rows), rekey, most, tables)
         if facts is None and refine is not None and labels is not None:
             rows = tables.put(rows)
             facts = tables.put(refine(rows.select("node", "weight").distinct(), checked))
