@@ -23,7 +23,7 @@ def compact_with(df: DataFrame, complete, facts: Column, cost_tokens: Column) ->
     Each distinct text is asked for once; a null answer is not accepted.
     """
     d = df.withColumn("key_", F.sha2("output", 256))
-    once = d.dropDuplicates(["key_"]).select("key_", complete(T.redact(F.col("output"))).alias("summary"))
+    once = d.select("key_", T.redact(F.col("output")).alias("clean_")).dropDuplicates(["key_"]).select("key_", complete("clean_").alias("summary"))
     d = d.join(once, "key_").drop("key_")
     d = d.withColumn("accepted", F.coalesce(summary_ok(F.col("output"), F.col("summary"), facts), F.lit(False)))
     saved = estimate_tokens(F.col("output")) - estimate_tokens(F.col("summary")) - cost_tokens
