@@ -369,6 +369,23 @@ def test_lines_that_share_a_phrase(spark, monkeypatch):
     assert work[1] < 1.3 * max(work[0], 65), work
 
 
+def test_lines_that_only_share_a_phrase_of_many(spark, monkeypatch):
+    """All that is left in common of a line and its edited copy is in more than 64 other lines: the same goes as when every pair is listed."""
+    rng = random.Random(22)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(4, 9)))
+    phrase, rows = [word() for _ in range(14)], []
+    for k in range(150):
+        own = [word() for _ in range(7)]
+        rows.append((2 * k, " ".join([*phrase, *own]), "en", "s", 1))
+        if k % 6 == 0:
+            rows.append((2 * k + 1, " ".join([*phrase, *[w[:2] + "z" + w[3:] for w in own]]), "en", "s", 1))
+    got = {r.id: r.keeper["id"] for r in lines.line_groups(documents(spark, rows)).collect()}
+    real = lines.group
+    monkeypatch.setattr(lines, "group", lambda *args, **settings: real(*args, **settings, most=10**9))
+    assert got == {r.id: r.keeper["id"] for r in lines.line_groups(documents(spark, rows)).collect()}
+    assert len(got) > 20
+
+
 def test_lines_odd_rows(spark):
     got = lines.drop_lines(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)
