@@ -218,6 +218,32 @@ def test_near_duplicates_around_a_hub(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), n=3, percent=85).collect()} == top
 
 
+def test_near_duplicates_far_from_each_other(spark, monkeypatch):
+    """Variants of one text that differ in other places, with no shingle of their own, are told apart without their sets; links among them stay."""
+    rng, real, compared = random.Random(12), minhash.group, []
+    base, rows = [f"b{k}" for k in range(150)], []
+    for k in range(80):
+        t = list(base)
+        for at in rng.sample(range(150), 12):
+            t[at] = f"c{at}"
+        rows.append((2 * k, " ".join(t), "en", "s", 1))
+        if k % 8 == 0:
+            t[rng.randrange(150)] = f"c{rng.randrange(3)}"
+            rows.append((2 * k + 1, " ".join(t), "en", "s", 1))
+
+    def counting(members, verify, *args, **settings):
+        def counted(pairs):
+            compared.append(pairs.count())
+            return verify(pairs)
+
+        return real(members, counted, *args, **settings)
+
+    monkeypatch.setattr(minhash, "group", counting)
+    _, top = near_brute(rows, 3, 85)
+    assert {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), n=3, percent=85).collect()} == top
+    assert sum(compared[1:]) < len(rows)
+
+
 def test_near_duplicates_odd_rows(spark):
     got = minhash.near_duplicates(documents(spark, ODD), n=3, percent=85).collect()
     assert len(got) == len(ODD)

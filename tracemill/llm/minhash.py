@@ -9,6 +9,10 @@ from ._links import group, shared_buckets
 from ._shared import Tables
 from ._words import Words, mix, read_words
 
+#: Parts of a set by the first bits of its hashes, counted apart to bound what two sets have in common; a count up to DEPTH is as many bits.
+BLOCKS, DEPTH = 64, 8
+LONGS = BLOCKS * DEPTH // 64
+
 
 def _shingles(w: Words, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of every shingle; a text of fewer than n words, but at least one, is one shingle."""
@@ -68,8 +72,18 @@ def _signer(n: int, rows: int, collections: int):
     return sign
 
 
+def _counts(hashes: np.ndarray, at: np.ndarray) -> pa.Array:
+    """For the sets that start at `at`: LONGS numbers with as many bits for each block as it has hashes, and how many are over DEPTH."""
+    of = np.repeat(np.arange(len(at)), np.diff(at, append=len(hashes)))
+    part = (hashes >> np.uint64(65 - BLOCKS.bit_length())).astype(np.int64)
+    count = np.bincount(of * BLOCKS + part, minlength=len(at) * BLOCKS).reshape(-1, BLOCKS)
+    bits = np.packbits(np.arange(DEPTH) < count[:, :, None], axis=2).reshape(len(at), -1).view(np.int64)
+    rows = np.column_stack([bits, np.maximum(count - DEPTH, 0).sum(axis=1)])
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, rows.size + 1, LONGS + 1, dtype=np.int32)), pa.array(rows.ravel()))
+
+
 def _set_rows(n: int):
-    """The set of each text as one array."""
+    """The set of each text as one array, and its _counts()."""
 
     def rows(batches):
         for batch in batches:
@@ -78,7 +92,7 @@ def _set_rows(n: int):
                 if len(doc):
                     texts, at = np.unique(doc, return_index=True)
                     lists = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)).astype(np.int32)), pa.array(hashes.view(np.int64)))
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.lo + texts)), lists], names=["id", "h"])
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(w.lo + texts)), lists, _counts(hashes, at)], names=["id", "h", "blocks"])
 
     return rows
 
@@ -109,7 +123,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key: Column = F.transform(F.array(*numbers), lambda t: F.struct(F.xxhash64(t.i, t.j, F.get(F.col("sketch"), t.i), F.get(F.col("sketch"), t.j)).alias("key"), (t.i * 256 + t.j).alias("slot")))
     members = shared_buckets(nodes.select("node", F.explode(key).alias("k")).select("k.key", "node", "k.slot"))
     # the sets of all texts of a candidate's id; a pair of candidates needs these and no text
-    sets = tables.put(slim.join(members.select(F.col("node").alias("id")).distinct(), "id").select("id", "t").mapInArrow(_set_rows(n), "id long, h array<long>"))
+    sets = tables.put(slim.join(members.select(F.col("node").alias("id")).distinct(), "id").select("id", "t").mapInArrow(_set_rows(n), "id long, h array<long>, blocks array<long>"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
@@ -122,7 +136,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         own = sets.join(open_.select(F.col("node").alias("id")), "id")
         once = own.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
         once = once.groupBy("id").agg(F.count("*").alias("once"))
-        size = own.groupBy("id").agg(F.min(F.size("h")).cast("long").alias("low"), F.max(F.size("h")).cast("long").alias("high"), F.count("*").alias("texts")).join(once, "id", "left")
+        size = own.groupBy("id").agg(F.min(F.size("h")).cast("long").alias("low"), F.max(F.size("h")).cast("long").alias("high"), F.count("*").alias("texts"), F.first("blocks").alias("blocks")).join(once, "id", "left")
         size = size.withColumn("shared", F.col("high") - F.when(F.col("texts") == 1, F.coalesce("once", F.lit(0))).otherwise(0))
         # the heaviest node that each was compared with, and how many shingles they have in common
         ends = checked.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both").unionByName(checked.select(F.col("b").alias("node"), F.col("a").alias("hub"), "both"))
@@ -132,20 +146,27 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         other = F.coalesce(F.struct("hub.weight", "hub.hub") > F.struct("weight", "node"), F.lit(False)) & (F.col("texts") == 1)
         hub, common = F.when(other, F.col("hub.hub")).otherwise(F.col("node")), F.when(other, F.col("hub.both")).otherwise(F.col("shared"))
         # an id with several sets has no one sketch by which to name the first table of a pair
-        return j.select("node", F.struct("low", "shared", hub.alias("hub"), common.alias("common"), F.when(F.col("sets") == 1, F.col("sketch")).alias("sketch")).alias("facts"))
+        return j.select("node", F.struct("low", "shared", hub.alias("hub"), common.alias("common"), F.when(F.col("sets") == 1, F.col("sketch")).alias("sketch"), F.when(F.col("texts") == 1, F.col("blocks")).alias("blocks")).alias("facts"))
+
+    def at_slot(x: Column, slot: Column) -> Column:
+        """Facts with the sketch's values of the collections before a table's two, by which a pair can be met in an earlier table."""
+        i, j = F.floor(slot / 256).cast("int"), (slot % 256).cast("int")
+        return x.withField("sketch", F.concat(F.slice(x.sketch, F.lit(1), j), F.slice(x.sketch, j + 2, i - j - 1)))
 
     def may_link(x: Column, y: Column, slot: Column) -> Column:
         """A shingle that one node alone has is in no intersection; with a hub in common, those in the hub and the others are bounded apart.
+        Nor do two sets have more in common than the smaller count of each block: near copies that differ in other places differ in other blocks.
 
-        Of the tables that a pair shares, the one of the first two collections in which they agree stands for all.
+        Of the tables that a pair shares, the one of the first two collections in which they agree stands for all. Written to be short as
+        bytecode: a join with a condition of over 8,000 bytes is not compiled by the JVM.
         """
-        i, j = F.floor(slot / 256), slot % 256
-        earlier = sum((F.when((F.get(x.sketch, F.lit(c)) == F.get(y.sketch, F.lit(c))) & (j != c) & (i > c), 1).otherwise(0) for c in range(collections)), F.lit(0))
         apart = F.least(x.common, y.common) + F.least(x.shared - x.common, y.shared - y.common)
         both = F.when(x.hub == y.hub, apart).otherwise(F.least(x.shared, y.shared))
-        return (100 * both >= percent * (x.low + y.low - both)) & (earlier == 0)
+        in_blocks = sum((F.bit_count(F.get(x.blocks, F.lit(k)).bitwiseAND(F.get(y.blocks, F.lit(k)))) for k in range(LONGS)), F.least(F.get(x.blocks, F.lit(LONGS)), F.get(y.blocks, F.lit(LONGS))))
+        enough = lambda both: (100 + percent) * both >= percent * (x.low + y.low)
+        return enough(both) & F.coalesce(enough(in_blocks), F.lit(True)) & ~F.coalesce(F.arrays_overlap(x.sketch, y.sketch), F.lit(False))
 
-    _, labels = group(members, verify, refine, may_link)
+    _, labels = group(members, verify, refine, may_link, at_slot=at_slot)
     joined = tables.put(nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")))
     tables.drop(sets, nodes)
     out = signed.drop("sketch").join(joined, same, "left")
