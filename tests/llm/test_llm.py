@@ -412,6 +412,25 @@ def test_lines_that_only_share_a_phrase_of_many(spark, monkeypatch):
     assert len(got) > 20
 
 
+def test_lines_meet_in_bands_of_length(spark):
+    """Lengths that may be linked are in bands beside each other, and a large bucket gives the same links with bands and without."""
+    for similarity in (1, 50, 80, 99, 100):
+        size = spark.range(1, 5000).select(F.col("id").alias("x"), (F.col("id") - F.floor(F.col("id") * (100 - similarity) / 100)).alias("y"))
+        assert size.where(lines._band(F.col("x"), similarity) - lines._band(F.col("y"), similarity) > 1).count() == 0, similarity
+    rng = random.Random(5)
+    sizes = [rng.choice((80, 100, 125, 156, rng.randint(20, 400))) for _ in range(150)]
+    members = spark.createDataFrame([(1, k, 0, 150) for k in range(150)], "key long, node long, slot int, weight long")
+    facts = spark.createDataFrame(list(enumerate(sizes)), "node long, facts int")
+    details = facts.select("node", F.struct(F.col("node").alias("n"), F.col("facts").alias("s")).alias("details"))
+    near = lambda x, y, slot: F.abs(x - y) <= F.floor(F.greatest(x, y) * 20 / 100)
+    decide = lambda a, b: near(F.col(f"{a}.s"), F.col(f"{b}.s"), None) & (F.pmod(F.col(f"{a}.n") + F.col(f"{b}.n"), F.lit(97)) == 0)
+    refuse = lambda pairs: pairs.select("a", "b", F.lit(False).alias("link")).where("false")
+    want = {(a, b) for a in range(150) for b in range(a) if abs(sizes[a] - sizes[b]) <= max(sizes[a], sizes[b]) * 20 // 100 and (a + b) % 97 == 0}
+    for band in (None, lambda size: lines._band(size, 80)):
+        links, _ = group(members, refuse, may_link=near, facts=facts, details=details, decide=decide, band=band)
+        assert {(max(r.a, r.b), min(r.a, r.b)) for r in links.collect()} == want and want
+
+
 def test_lines_odd_rows(spark):
     got = lines.drop_lines(documents(spark, ODD)).collect()
     assert len(got) == len(ODD)
