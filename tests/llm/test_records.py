@@ -45,6 +45,25 @@ def test_ids_are_those_of_whole_texts(plain, monkeypatch):
     assert encoded(texts) == want
 
 
+def test_only_ids_are_asked_for(plain):
+    """Pieces are encoded without their places in the text, and taken from their buffer; plain ones of which some are known already, too."""
+    encoder = records.Encoder(Path(PATH).read_text(), 2)
+    real = encoder.tokenizer
+
+    class OnlyIds:
+        def encode_batch_fast(self, texts, add_special_tokens):
+            return real.encode_batch_fast(texts, add_special_tokens=add_special_tokens)
+
+    encoder.tokenizer = OnlyIds()
+    words = [f" w{k % 700}q{k % 11}" for k in range(3000)]
+    for text in ("".join(words[:900]), "".join(words), "", "a\u3000b\xa0 c\x85d"):
+        got = [ids.tolist() for ids, _ in encoder.texts(pa.array([text]))]
+        assert got == [plain(text)]
+    some = pa.array([b"a", b"", b"bcd", b"e"], pa.large_binary())
+    for k in range(5):
+        assert records._values(some[k:]) == some[k:].to_pylist() and records._values(some[:k]) == some[:k].to_pylist()
+
+
 def test_checksums():
     """The published value for the nine digits, and plain bit by bit sums of parts of all lengths."""
 

@@ -11,6 +11,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -25,6 +26,8 @@ from ._shared import TIDY, Tables
 SHARD_BYTES, SLICE = 64 << 20, 4 << 20
 #: Distinct pieces after which a worker forgets those that it has not met since the last time.
 REMEMBERED = 300_000
+#: Plain pieces that are encoded as one text.
+TOGETHER = 250
 LETTER = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 HEAD, HEAD_SIZE = "<BBBxq", 12
 INDEX = "shard string, doc_id long, offset long, length long, start long, n_tokens long, ids_crc32 long"
@@ -87,6 +90,15 @@ def masked_crc32c(parts: list[bytes]) -> np.ndarray:
 # --- ids
 
 
+def _values(words: pa.LargeBinaryArray) -> list[bytes]:
+    """As to_pylist(), without a scalar for each value; there are no nulls."""
+    if not len(words):
+        return []
+    bounds = np.frombuffer(words.buffers()[1], np.int64)[words.offset : words.offset + len(words) + 1]
+    raw, bounds = bytes(words.buffers()[2][int(bounds[0]) : int(bounds[-1])]), (bounds - bounds[0]).tolist()
+    return [raw[x:y] for x, y in pairwise(bounds)]
+
+
 class Encoder:
     """Ids of texts by a tokenizer that cuts texts into words before anything else, as byte-level ones with its pattern do.
 
@@ -115,30 +127,34 @@ class Encoder:
         if len(self.known) > REMEMBERED:
             self.known, self.older = {}, self.known
         known, older = self.known, self.older
-        new = []
-        for w in words:
-            if w not in known:
-                if w in older:
-                    known[w] = older[w]
-                else:
-                    new.append(w)
-        plain, rest = [], []
-        for w in new:
-            (plain if self.PLAIN.fullmatch(w) else rest).append(w)
-        for lo in range(0, len(plain), 1000):
-            some = plain[lo : lo + 1000]
-            ids = np.array(self.tokenizer.encode(b"".join(some).decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4")
+        out = [known.get(w) for w in words]
+        plain, rest, new = [], [], [k for k, p in enumerate(out) if p is None]
+        for w in (words[k] for k in new):
+            if w in older:
+                known[w] = older[w]
+            elif self.PLAIN.fullmatch(w):
+                plain.append(w)
+            else:
+                rest.append(w)
+        for lo in range(0, len(plain), TOGETHER):
+            some = plain[lo : lo + TOGETHER]
+            ids = np.array(self._ids([b"".join(some)])[0].ids, "<u4")
             at = np.flatnonzero(self.spaced[ids])
             if len(at) != len(some):
                 rest += some
                 continue
             raw, bounds = ids.tobytes(), [*(4 * at).tolist(), 4 * len(ids)]
-            self.known.update((w, raw[bounds[k] : bounds[k + 1]]) for k, w in enumerate(some))
+            known.update(zip(some, [raw[x:y] for x, y in pairwise(bounds)], strict=True))
         for lo in range(0, len(rest), 10_000):
             some = rest[lo : lo + 10_000]
-            for w, e in zip(some, self.tokenizer.encode_batch([w.decode("utf-8", "replace") for w in some], add_special_tokens=False), strict=True):
-                self.known[w] = np.array(e.ids, "<u4").tobytes()
-        return [self.known[w] for w in words]
+            known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(some, self._ids(some), strict=True))
+        for k in new:
+            out[k] = known[words[k]]
+        return out
+
+    def _ids(self, texts: list[bytes]) -> list:
+        """Encodings of texts; only their ids are asked for, so places in the texts are not kept."""
+        return self.tokenizer.encode_batch_fast([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
 
     def texts(self, texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """For slices of the texts: all ids, and the bounds of each text's own; null is as empty, and each ends with the end id."""
@@ -168,7 +184,7 @@ class Encoder:
         words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(np.r_[start, len(data)].astype(np.int64)), pa.py_buffer(data)])
         distinct = words.dictionary_encode()
         code = np.asarray(distinct.indices)
-        pieces = self.pieces(distinct.dictionary.to_pylist())
+        pieces = self.pieces(_values(distinct.dictionary))
         flat, size = np.frombuffer(b"".join(pieces), "<u4"), np.array([len(p) // 4 for p in pieces], np.int64)
         length = size[code] if len(code) else np.zeros(0, np.int64)
         begin = (np.cumsum(size) - size)[code] if len(code) else length
