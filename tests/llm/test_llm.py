@@ -437,6 +437,24 @@ def test_lines_odd_rows(spark):
     assert lines.drop_lines(documents(spark, [])).count() == 0
 
 
+def test_joins_by_node_do_not_pass_the_driver(spark, monkeypatch):
+    """On small tables too, what is joined by node is shuffled and merged: dozens of broadcasts fill the driver."""
+    import re
+
+    from tracemill.llm._shared import Tables
+
+    plans, put = [], Tables.put
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(Tables, "put", lambda self, df: (plans.append(text(df)), put(self, df))[1])
+    df = spark.read.parquet(f"{SF}/documents.parquet").limit(60).cache()
+    for of in (lines.drop_lines, minhash.near_duplicates):
+        plans.clear()
+        plans.append(text(of(df.unionByName(df.withColumns({"doc_id": F.col("doc_id") + 1000, "text": F.concat("text", F.lit(" and so on"))})))))
+        joins = re.findall(r"(\w+Join) \[(?:node|id|a|b)#", "\n".join(plans))
+        assert set(joins) == {"SortMergeJoin"} and len(joins) > 4, joins
+    df.unpersist()
+
+
 # --- 7 classifier
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._links import group, shared_buckets
-from ._shared import Tables
+from ._shared import Tables, sorted_in
 from ._words import Words, mix, read_words
 
 #: Parts of a set by the first bits of its hashes, counted apart to bound what two sets have in common; a count up to DEPTH is as many bits.
@@ -123,26 +123,26 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     key: Column = F.transform(F.array(*numbers), lambda t: F.struct(F.xxhash64(t.i, t.j, F.get(F.col("sketch"), t.i), F.get(F.col("sketch"), t.j)).alias("key"), (t.i * 256 + t.j).alias("slot")))
     members = shared_buckets(nodes.select("node", F.explode(key).alias("k")).select("k.key", "node", "k.slot"))
     # the sets of all texts of a candidate's id; a pair of candidates needs these and no text
-    sets = tables.put(slim.join(members.select(F.col("node").alias("id")).distinct(), "id").select("id", "t").mapInArrow(_set_rows(n), "id long, h array<long>, blocks array<long>"))
+    sets = tables.put(slim.join(sorted_in(members.select(F.col("node").alias("id")).distinct()), "id").select("id", "t").mapInArrow(_set_rows(n), "id long, h array<long>, blocks array<long>"))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left = pairs.join(sets.select(F.col("id").alias("a"), F.col("h").alias("ha")), "a")
-        pair = left.join(sets.select(F.col("id").alias("b"), F.col("h").alias("hb")), "b")
+        left = pairs.join(sorted_in(sets.select(F.col("id").alias("a"), F.col("h").alias("ha"))), "a")
+        pair = left.join(sorted_in(sets.select(F.col("id").alias("b"), F.col("h").alias("hb"))), "b")
         pair = pair.where((100 * F.size("ha") >= percent * F.size("hb")) & (100 * F.size("hb") >= percent * F.size("ha")))
         pair = pair.select("a", "b", (F.size("ha") + F.size("hb")).alias("sum"), F.size(F.array_intersect("ha", "hb")).cast("long").alias("both"))
         return pair.groupBy("a", "b").agg(F.max("both").alias("both"), F.bool_or(100 * F.col("both") >= percent * (F.col("sum") - F.col("both"))).alias("link"))
 
     def refine(open_: DataFrame, checked: DataFrame) -> DataFrame:
-        own = sets.join(open_.select(F.col("node").alias("id")), "id")
+        own = sets.join(sorted_in(open_.select(F.col("node").alias("id"))), "id")
         once = own.select("id", F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1")
         once = once.groupBy("id").agg(F.count("*").alias("once"))
-        size = own.groupBy("id").agg(F.min(F.size("h")).cast("long").alias("low"), F.max(F.size("h")).cast("long").alias("high"), F.count("*").alias("texts"), F.first("blocks").alias("blocks")).join(once, "id", "left")
+        size = own.groupBy("id").agg(F.min(F.size("h")).cast("long").alias("low"), F.max(F.size("h")).cast("long").alias("high"), F.count("*").alias("texts"), F.first("blocks").alias("blocks")).join(sorted_in(once), "id", "left")
         size = size.withColumn("shared", F.col("high") - F.when(F.col("texts") == 1, F.coalesce("once", F.lit(0))).otherwise(0))
         # the heaviest node that each was compared with, and how many shingles they have in common
         ends = checked.select(F.col("a").alias("node"), F.col("b").alias("hub"), "both").unionByName(checked.select(F.col("b").alias("node"), F.col("a").alias("hub"), "both"))
-        ends = ends.join(open_.select(F.col("node").alias("hub"), "weight"), "hub").groupBy("node").agg(F.max(F.struct("weight", "hub", "both")).alias("hub"))
+        ends = ends.join(sorted_in(open_.select(F.col("node").alias("hub"), "weight")), "hub").groupBy("node").agg(F.max(F.struct("weight", "hub", "both")).alias("hub"))
         sketches = nodes.groupBy("node").agg(F.first("sketch").alias("sketch"), F.count("*").alias("sets"))
-        j = open_.join(size.withColumnRenamed("id", "node"), "node").join(ends, "node", "left").join(sketches, "node")
+        j = open_.join(sorted_in(size.withColumnRenamed("id", "node")), "node").join(sorted_in(ends), "node", "left").join(sorted_in(sketches), "node")
         other = F.coalesce(F.struct("hub.weight", "hub.hub") > F.struct("weight", "node"), F.lit(False)) & (F.col("texts") == 1)
         hub, common = F.when(other, F.col("hub.hub")).otherwise(F.col("node")), F.when(other, F.col("hub.both")).otherwise(F.col("shared"))
         # an id with several sets has no one sketch by which to name the first table of a pair
@@ -167,9 +167,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return enough(both) & F.coalesce(enough(in_blocks), F.lit(True)) & ~F.coalesce(F.arrays_overlap(x.sketch, y.sketch), F.lit(False))
 
     _, labels = group(members, verify, refine, may_link, at_slot=at_slot)
-    joined = tables.put(nodes.select(*same, "node").join(labels, "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")))
+    joined = tables.put(nodes.select(*same, "node").join(sorted_in(labels), "node", "left").select(*same, F.coalesce("component", "node").alias("component_id")))
     tables.drop(sets, nodes)
-    out = signed.drop("sketch").join(joined, same, "left")
+    out = signed.drop("sketch").join(sorted_in(joined), same, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("id").isNotNull(), F.col("component_id"))).otherwise(F.col("id"))
     out = out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
