@@ -94,13 +94,16 @@ def budget_clip(df: DataFrame, total: str = "body_bytes") -> DataFrame:
 
 
 def footprint_by_category(segments: DataFrame, bodies: DataFrame) -> DataFrame:
-    """Per request one row: bytes of each category (0 if none), what is unknown, tokens of the sum, and a status."""
-    p = segments.groupBy("request_id").pivot("category", list(CATEGORIES)).agg(F.sum("bytes"))
-    n = segments.groupBy("request_id").agg(F.count("*").alias("segments"), F.sum("bytes").alias("attributed"))
-    d = bodies.select("request_id", "body_bytes").join(p, "request_id", "left").join(n, "request_id", "left").na.fill(0, [*CATEGORIES, "segments", "attributed"])
+    """Per request one row: bytes of each category (0 if none), what is unknown, tokens of the sum, and a status.
+
+    Segments and bodies without a request are one request. Tokens are a quarter of the bytes, rounded up; of an estimate of a body that is below zero, by whole-number division like that of SQL.
+    """
+    sums = [F.sum(F.when(F.col("category") == c, F.col("bytes"))).alias(c) for c in CATEGORIES]
+    g = segments.groupBy(F.col("request_id").alias("of_")).agg(*sums, F.count("*").alias("segments"), F.sum("bytes").alias("attributed"))
+    d = bodies.select("request_id", "body_bytes").join(g, F.col("request_id").eqNullSafe(F.col("of_")), "left").drop("of_").na.fill(0, [*CATEGORIES, "segments", "attributed"])
     d = d.withColumn("unknown", F.col("unknown") + F.greatest(F.lit(0), F.col("body_bytes") - F.col("attributed")))
     status = F.when(F.col("segments") == 0, "unavailable").when(F.col("unknown") > 0, "partial").otherwise("complete")
-    return d.select("request_id", *[F.col(c).alias(c.replace("-", "_")) for c in CATEGORIES], "segments", "body_bytes", F.ceil(F.col("body_bytes") / 4).cast("long").alias("tokens"), status.alias("status"))
+    return d.select("request_id", *[F.col(c).alias(c.replace("-", "_")) for c in CATEGORIES], "segments", "body_bytes", F.expr("(body_bytes + 3) div 4").alias("tokens"), status.alias("status"))
 
 
 _USAGE_KEY = re.compile(r'"usage"\s*:')
