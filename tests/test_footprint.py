@@ -20,3 +20,7 @@ def short(spark):
 
 def test_footprint_of_bodies_below_zero(short):
     same_rows(history.footprint(short[0]), short[1], SQL["agg14_footprint_by_category"])
+
+
+def test_telemetry_of_bodies_below_zero(short):
+    same_rows(history.foot_telemetry(short[0]), short[1], SQL["agg26_footprint_telemetry"])

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import byte_bucket, count_bucket, coverage_bucket, latency_bucket, result_bucket, unknown_bucket
+from ..functions.numbers import byte_bucket, byte_step, count_bucket, count_step, coverage_bucket, latency_bucket, result_bucket, unknown_step
 
 #: Events that a day's counters are kept for.
 EVENTS = ("hook_summary", "proxy_summary", "hook_failure_summary", "proxy_failure_summary")
@@ -50,8 +50,8 @@ def gateway_stats(df: DataFrame) -> DataFrame:
 
 
 def footprint_telemetry(df: DataFrame) -> DataFrame:
-    """Captures by bucket of unknown share, body size and input tokens."""
-    return df.groupBy(unknown_bucket(F.col("unknown"), F.col("body_bytes")).alias("unknown_share"), byte_bucket(F.col("body_bytes")).alias("body_size"), count_bucket(F.col("tokens")).alias("input_tokens")).agg(F.count("*").alias("n"))
+    """Captures by bucket of unknown share, body size and input tokens, all three estimates: each capture counts, also one whose body is estimated at zero, below it, or not at all."""
+    return df.groupBy(unknown_step(F.col("unknown"), F.col("body_bytes")).alias("unknown_share"), byte_step(F.col("body_bytes")).alias("body_size"), count_step(F.col("tokens")).alias("input_tokens")).agg(F.count("*").alias("n"))
 
 
 def adoption_transitions(df: DataFrame) -> DataFrame:
