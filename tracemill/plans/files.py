@@ -51,10 +51,8 @@ _FILES = "SELECT strlen(output)::BIGINT + 1 AS bytes, sha256(output || chr(10))
 @query("src6_read_all_text_files", "v_results", sql=_FILES)
 def all_text_files(df: DataFrame) -> DataFrame:
     """A file for each result, many to a folder."""
-    folder = shared_folder(df.sparkSession)
-    spread = df.select(F.pmod("result_id", F.lit(16)).alias("bucket"), F.col("output").alias("value"))
-    spread.write.option("maxRecordsPerFile", 1).partitionBy("bucket").text(folder)
-    return R.read_text_files(df.sparkSession, folder).select("bytes", F.sha2("text", 256).alias("digest"))
+    folders = R.write_text_files(df, shared_folder(df.sparkSession), "output")
+    return R.each_text_file(df.sparkSession, folders, lambda files: files.select("bytes", F.sha2("text", 256).alias("digest")))
 
 
 @query("snk1_write_artifacts", "v_results", sql="SELECT DISTINCT sha256(output) AS digest, strlen(output)::BIGINT AS bytes FROM v_results")

@@ -1,15 +1,22 @@
 """Transcripts, ledgers, price profiles, redaction rules and text corpora as DataFrames; rollups as tables."""
 
 import json
+import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import digest
+from .shared import shared_folder
 
 #: Folders that are not a corpus of one's own.
 VENDORED = ("node_modules", "vendor", "dist", "build", ".git", "target", "__pycache__")
+#: Text files that write_text_files() puts into a folder, and folders that each_text_file() reads at a time: the driver lists no more files than both multiplied.
+FOLDER, FOLDERS = 1000, 64
 PRICES = "profile_id string, provider string, model string, service string, regional boolean, threshold long, " + ", ".join(f"{t}_{p} decimal(18,3)" for t in ("short", "long") for p in ("fresh", "read", "write", "output"))
 
 
@@ -100,13 +107,54 @@ def load_redaction_rules(text: str) -> tuple[tuple[str, ...], tuple[tuple[str, i
     return tuple(keys), tuple(prefixes), "sha256:" + hashlib.sha256(json.dumps([keys, prefixes], separators=(",", ":")).encode()).hexdigest()
 
 
-def read_text_files(spark: SparkSession, path: str, least: int = 1024, most: int = 4 << 20) -> DataFrame:
-    """path, text and bytes of files within a size range, outside vendored folders, without a NUL in the first 8 KiB."""
+def write_text_files(df: DataFrame, path: str, text: str = "value") -> list[str]:
+    """A file for each row's text and a line end (null: just that), of any number of rows; returns the folders made under path, of up to FOLDER files each.
+
+    A try of a task has folders of its own and only those of the tries that ended are returned, so that a task run twice leaves no file twice. Files are written through Arrow (local and shared
+    file systems, HDFS, S3 and the like): Spark's writer moves each file to its place one after the other on the driver, and on a file system without Hadoop's native library starts several processes a file.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = FileSystem.from_uri(path)
+        n = 0
+        for batch in batches:
+            for value in batch.column(0):
+                if n % FOLDER == 0:
+                    name = uuid.uuid4().hex
+                    store.create_dir(f"{top}/{name}")
+                    yield pa.record_batch({"folder": [f"{path}/{name}"]})
+                with store.open_output_stream(f"{top}/{name}/{n}.txt") as out:
+                    out.write((value.as_py() or b"") + b"\n")
+                n += 1
+
+    return [r.folder for r in df.select(F.col(text).cast("string").cast("binary")).mapInArrow(write, "folder string").collect()]
+
+
+def read_text_files(spark: SparkSession, path: str | list[str], least: int = 1024, most: int = 4 << 20) -> DataFrame:
+    """path, text and bytes of files within a size range, outside vendored folders, without a NUL in the first 8 KiB. The driver lists all files; a list of folders is read in a task for each.
+
+    Spark puts few small files into a partition, since it adds a fixed cost to the size of each: a folder of these would be thousands of tasks.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     vendored = "/(" + "|".join(v.replace(".", "\\.") for v in VENDORED) + ")/"
     some = files.where(F.col("length").between(least, most) & ~F.col("path").rlike(vendored))
     some = some.where(~F.contains(F.substring("content", 1, 8192), F.lit(bytearray(b"\0"))))
-    return some.select("path", F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"))
+    some = some.select("path", F.col("content").cast("string").alias("text"), F.col("length").alias("bytes"))
+    return some if isinstance(path, str) else some.coalesce(max(1, len(path)))
+
+
+def each_text_file(spark: SparkSession, folders: list[str], step: Callable[[DataFrame], DataFrame], least: int = 1024, most: int = 4 << 20) -> DataFrame:
+    """step(read_text_files()) over any number of folders, where step treats each row by itself. FOLDERS of them are read at a time and what step gives is kept as a table, so that the driver never lists all files."""
+    shares = [folders[k : k + FOLDERS] for k in range(0, len(folders), FOLDERS)]
+    if not shares:
+        return step(spark.createDataFrame([], "path string, text string, bytes long"))
+    if len(shares) == 1:
+        return step(read_text_files(spark, folders, least, most))
+    kept = shared_folder(spark)
+    for share in shares:
+        rows = step(read_text_files(spark, share, least, most))
+        rows.write.mode("append").parquet(kept)
+    return spark.read.schema(rows.schema).parquet(kept)
 
 
 def write_rollups(df: DataFrame, path: str, day: str = "day_utc") -> None:
