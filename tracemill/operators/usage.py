@@ -1,5 +1,7 @@
 """Token counters: normalising, de-duplicating, rolling up and pricing."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -124,27 +126,32 @@ def normalize_responses_usage(df: DataFrame, body: str = "usage") -> DataFrame:
         "cache_write": ["$.input_tokens_details.cache_write_tokens", "$.cache_write_input_tokens"],
         "reasoning": ["$.output_tokens_details.reasoning_tokens", "$.reasoning_output_tokens"],
     }
-    v = F.try_parse_json(F.col(body))
-    text = {n: [F.try_variant_get(v, p, "string") for p in ps] for n, ps in paths.items()}
-    number = lambda x: F.when(x.rlike("^[0-9]{1,16}$"), x.cast("long"))
-    first = {n: F.coalesce(*xs) for n, xs in text.items()}
-    value = {n: F.coalesce(number(x), F.lit(0)) for n, x in first.items()}
-    errors = [F.when(v.isNull(), "invalid-usage")]
-    for n, xs in text.items():
-        errors += [F.when(x.isNotNull() & number(x).isNull(), f"invalid-counter:{n}") for x in xs]
-        errors += [F.when(x.isNotNull() & (x != first[n]), f"conflicting-aliases:{n}") for x in xs[1:]]
+    every = {f"{n}{k}_": p for n, ps in paths.items() for k, p in enumerate(ps)} | {"total_": "$.total_tokens"}
+    # a body is parsed once, a text taken from it once and read as a number once: Spark joins these steps into one only where nothing is then computed twice
+    parsed = df.withColumn("usage_", F.try_parse_json(F.col(body)))
+    texts = parsed.withColumns({c: F.try_variant_get("usage_", p, "string") for c, p in every.items()})
+    numbers = texts.withColumns({f"{c}n_": F.when(F.col(c).rlike("^[0-9]{1,16}$"), F.col(c).cast("long")) for c in every})
+    text = {n: [f"{n}{k}_" for k in range(len(ps))] for n, ps in paths.items()}
+    first = {n: F.coalesce(*cs) for n, cs in text.items()}
+    counted = lambda cs: F.coalesce(F.expr("case " + " ".join(f"when {c} is not null then {c}n_" for c in cs) + " end"), F.lit(0))
+    values = numbers.withColumns({f"{n}_": counted(cs) for n, cs in text.items()})
+    value = {n: F.col(f"{n}_") for n in paths}
+    errors = [(F.col("usage_").isNull(), "invalid-usage")]
+    for n, cs in text.items():
+        errors += [(F.col(c).isNotNull() & F.col(f"{c}n_").isNull(), f"invalid-counter:{n}") for c in cs]
+        errors += [(F.col(c).isNotNull() & (F.col(c) != first[n]), f"conflicting-aliases:{n}") for c in cs[1:]]
         if n in ("input", "output"):
-            errors.append(F.when(first[n].isNull(), f"missing-required-counter:{n}"))
-    total = F.try_variant_get(v, "$.total_tokens", "string")
-    errors.append(F.when(value["cached"] + value["cache_write"] > value["input"], "cache-exceeds-input"))
-    errors.append(F.when(value["reasoning"] > value["output"], "reasoning-exceeds-output"))
-    errors.append(F.when(total.isNotNull() & ~number(total).eqNullSafe(value["input"] + value["output"]), "invalid-total"))
-    out = df.withColumn("errors", F.array_distinct(F.array_compact(F.array(*errors)))).withColumn("missing", F.array_compact(F.array(*[F.when(x.isNull(), n) for n, x in first.items()])))
-    ok = F.size("errors") == 0
-    for n, x in value.items():
-        out = out.withColumn(n, F.when(ok, x))
-    out = out.withColumn("total", F.when(ok, F.col("input") + F.col("output")))
-    return out.withColumn("status", F.when(~ok, "invalid").when(F.size("missing") > 0, "incomplete").otherwise("complete"))
+            errors.append((first[n].isNull(), f"missing-required-counter:{n}"))
+    errors.append((value["cached"] + value["cache_write"] > value["input"], "cache-exceeds-input"))
+    errors.append((value["reasoning"] > value["output"], "reasoning-exceeds-output"))
+    errors.append((F.col("total_").isNotNull() & ~F.col("total_n_").eqNullSafe(value["input"] + value["output"]), "invalid-total"))
+    # not by the size of the arrays, which need not be made where only the status is wanted
+    any_of = lambda tests: F.coalesce(reduce(Column.__or__, tests), F.lit(False))
+    judged = values.withColumns({"bad_": any_of(e for e, _ in errors), "lacking_": any_of(x.isNull() for x in first.values())})
+    out = judged.withColumn("errors", F.array_distinct(F.array_compact(F.array(*[F.when(e, name) for e, name in errors])))).withColumn("missing", F.array_compact(F.array(*[F.when(x.isNull(), n) for n, x in first.items()])))
+    out = out.withColumns({n: F.when(~F.col("bad_"), x) for n, x in value.items()}).withColumn("total", F.when(~F.col("bad_"), value["input"] + value["output"]))
+    out = out.withColumn("status", F.when(F.col("bad_"), "invalid").when(F.col("lacking_"), "incomplete").otherwise("complete"))
+    return out.drop("usage_", "bad_", "lacking_", *every, *[f"{c}n_" for c in every], *[f"{n}_" for n in paths])
 
 
 def normalize_anthropic_usage(df: DataFrame, body: str = "usage") -> DataFrame:
